@@ -223,7 +223,7 @@ def _(spark, sf):
 
 
 SCALED = ", ".join(
-    f"round(coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0), 5) AS {c}"
+    f"round(coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0), 5) + 0 AS {c}"
     for c in features.FEATURES
 )
 
@@ -544,7 +544,7 @@ def _(spark, sf):
 
 
 DELTAS = ", ".join(
-    f"round((b.{c} - a.{c}) / nullif(a.{c}, 0) * 100, 6) AS {c}_delta" for c in states.COMPARED
+    f"round((b.{c} - a.{c}) / nullif(a.{c}, 0) * 100, 6) + 0 AS {c}_delta" for c in states.COMPARED
 )
 
 

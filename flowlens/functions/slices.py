@@ -61,25 +61,21 @@ class TimeSlices:
 def time_slices(
     df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE, min_slices: int | None = None
 ) -> TimeSlices:
-    """Choose slices from a one-column pass (a quantile sketch of the starts)."""
+    """Choose slices: a row count, then a quantile sketch of the starts."""
     if min_slices is None:
         min_slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grid = [i / GRID for i in range(1, GRID)]
-    n, marks = df.agg(
-        F.count(F.lit(1)), F.percentile_approx(START, grid, 4 * GRID)
-    ).first()
-    count = max(1, min(GRID, max(min_slices, -(-n // rows_per_slice))))
-    if not marks or count == 1:
+    count = max(1, min(GRID, max(min_slices, -(-df.count() // rows_per_slice))))
+    cuts = [i / count for i in range(1, count)]
+    if not cuts:
         return TimeSlices()
-    picked = [marks[GRID * i // count - 1] for i in range(1, count)]
-    crowded = sorted({a for a, b in zip(picked, picked[1:]) if a == b})
-    bounds = sorted(set(picked) | {c + 1 for c in crowded})
+    marks = df.agg(F.percentile_approx(START, cuts, max(1000, 4 * count))).first()[0] or []
+    crowded = sorted({a for a, b in zip(marks, marks[1:]) if a == b})
+    bounds = sorted(set(marks) | {c + 1 for c in crowded})
     id_bounds: list[float] = []
     if crowded and FLOW_ID in df.columns:
-        cuts = [i / count for i in range(1, count)]
         ids = (
             df.where(F.col(START).isin(*crowded))
-            .agg(F.percentile_approx(FLOW_ID, cuts, 4 * GRID))
+            .agg(F.percentile_approx(FLOW_ID, cuts, max(1000, 4 * count)))
             .first()[0]
         )
         id_bounds = sorted({float(i) for i in ids or []})

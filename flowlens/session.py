@@ -17,7 +17,7 @@ SQL_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # collect_set over many small groups: stay hash-based instead of falling
     # back to a sort after 128 groups.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "200000",
 }
 
 
@@ -41,16 +41,23 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "flo
     return tune(spark)
 
 
+_test_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a session without ``spark.checkpoint.dir`` (a test) gets a local one.
+    Without ``spark.checkpoint.dir`` only a local session (a test) gets one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="flowlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _test_dirs:
+        _test_dirs[app] = tempfile.mkdtemp(prefix="flowlens-")
+    return _test_dirs[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

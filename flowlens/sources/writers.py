@@ -44,9 +44,10 @@ def append(spark: SparkSession, source: str | list[str], table_path: str, by_dat
     return spark.read.parquet(table_path)
 
 
-def save_table(f: DataFrame, name: str) -> None:
+def save_table(f: DataFrame, name: str, path: str | None = None) -> None:
     """The flows as a catalog table, replaced when it exists."""
-    f.write.mode("overwrite").saveAsTable(name)
+    writer = f.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def to_parquet(spark: SparkSession, csv_path: str, out: str, codec: str = "zstd") -> None:
