@@ -1,21 +1,20 @@
 """Headline queries at one scale; prints one JSON line.
 
 The flows are written once (timed as ``load``), as a user of the library would
-have them; each query is then run to the end with its rows counted by a no-op
-sink.
+have them.  Every query runs twice to a no-op sink: ``queries`` holds the second
+run, ``first_run`` the first (with code generation and worker start-up).
 """
 
 from __future__ import annotations
 
-import contextlib
 import json
 import os
-import sys
 import time
 
 from flow_fixture import STATE_SQL, flows
-from flowlens.operators import features, sessions, states, summaries
+from flowlens.operators import features, hunts, sessions, states, summaries
 from flowlens.plans import hmm
+from flowlens.plans.dashboard import build_summaries, dashboard
 from flowlens.session import local_session, scratch_path
 from flowlens.sources.writers import write_flows
 
@@ -24,30 +23,41 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 
 
 def main() -> None:
-    spark = local_session(CPUS, shuffle_partitions=int(CPUS) if CPUS.isdigit() else 8, app="bench")
-    seconds: dict[str, float] = {}
+    cores = int(CPUS) if CPUS.isdigit() else os.cpu_count() or 8
+    spark = local_session(CPUS, shuffle_partitions=cores, app="bench")
+    first: dict[str, float] = {}
+    second: dict[str, float] = {}
 
-    def timed(name, run):
-        began = time.perf_counter()
-        result = run()
-        if hasattr(result, "write"):
-            result.write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - began, 3)
-        return result
+    def sink(result):
+        tables = result.values() if isinstance(result, dict) else [result]
+        for table in tables:
+            if hasattr(table, "write"):
+                table.write.format("noop").mode("overwrite").save()
+
+    def timed(name, run, repeat=True):
+        for record in (first, second) if repeat else (first,):
+            began = time.perf_counter()
+            sink(run())
+            record[name] = round(time.perf_counter() - began, 3)
+        second.setdefault(name, first[name])
 
     path = scratch_path(spark, "bench")
-    timed("load", lambda: write_flows(flows(spark, SF_DIR).selectExpr("*", STATE_SQL), path))
+    table = flows(spark, SF_DIR).selectExpr("*", STATE_SQL)
+    timed("load", lambda: write_flows(table, path), repeat=False)
     f = spark.read.parquet(path)
     timed("A2_top_talkers", lambda: summaries.top_talkers(f, "src", "bytes"))
     timed("A6_timeline", lambda: summaries.timeline(f))
     timed("A10_dedup_flows", lambda: summaries.dedup_flows(f))
+    timed("A16_dashboard", lambda: dashboard(f))
+    timed("S13_build_summaries", lambda: build_summaries(f, path + "-summaries"))
     timed("K1_attack_sessions", lambda: sessions.attack_sessions(f))
     timed("K6_gap_sessions", lambda: sessions.gap_sessions(f))
     timed("M1_flow_features", lambda: features.flow_features(f))
     timed("M9_state_transitions", lambda: states.state_transitions(f))
     timed("M12_traffic_profiles", lambda: states.traffic_profiles(f))
+    timed("H3_beaconing", lambda: hunts.beaconing(f))
     seqs = hmm.sequences(features.scale(features.flow_features(f)))
-    timed("M5_layout", lambda: seqs.rows)
+    timed("M5_layout", lambda: seqs.rows, repeat=False)
     model = hmm.init_model(seqs, 5)
     timed("M5_em_round", lambda: hmm.fit_models(seqs, {5: model}, 1, 0.0))
     timed("M6_decode", lambda: hmm.decode(seqs, model))
@@ -55,9 +65,10 @@ def main() -> None:
         json.dumps(
             {
                 "metric": "total_query_seconds",
-                "value": round(sum(seconds.values()), 3),
+                "value": round(sum(second.values()), 3),
                 "unit": "sec",
-                "queries": seconds,
+                "queries": second,
+                "first_run": first,
                 "sf": os.path.basename(SF_DIR.rstrip("/")),
             }
         )
@@ -65,5 +76,4 @@ def main() -> None:
 
 
 if __name__ == "__main__":
-    with contextlib.redirect_stdout(sys.stdout):
-        main()
+    main()

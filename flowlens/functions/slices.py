@@ -63,7 +63,8 @@ def time_slices(
 ) -> TimeSlices:
     """Choose slices: a row count, then a quantile sketch of the starts."""
     if min_slices is None:
-        min_slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # twice the partitions, so that hashing the slices spreads them evenly
+        min_slices = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = max(1, min(GRID, max(min_slices, -(-df.count() // rows_per_slice))))
     cuts = [i / count for i in range(1, count)]
     if not cuts:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.functions.columns import bucket_start, start_time, total_bytes
-from flowlens.functions.slices import TimeSlices, with_previous_start
+from flowlens.functions.slices import TimeSlices, time_slices, with_previous_start
 from flowlens.schema import DST, FLOW_ID, SRC, START
 
 MINUTE_MS = 60_000
@@ -37,6 +37,7 @@ def beaconing(
     Pairs with too few flows are dropped by a count before anything is ordered.
     """
     pair = [SRC, DST, "L4_DST_PORT"]
+    slices = slices or time_slices(f)  # from the bare table, not from the join below
     rows = f.select(*pair, START, FLOW_ID).where(F.col("L4_DST_PORT").isNotNull())
     often = rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_flows)
     rows = rows.join(often.drop("_n"), pair, "left_semi")

@@ -49,15 +49,14 @@ def _sessions(
         )
         .where(F.size("tactics") >= min_tactics)
     )
-    wanted = None
+    members = rows
     if limit is not None:
         found = found.orderBy(F.col("start_time").desc(), *key).limit(limit)
         wanted = found.select(*key)
         if limit <= BROADCAST_SESSIONS:
             wanted = F.broadcast(wanted)
-    else:
-        wanted = found.select(*key)
-    members = rows.join(wanted, key, "left_semi")
+        members = rows.join(wanted, key, "left_semi")
+    # with no limit most buckets matter: reduce first, the join below selects
     targets = smallest_distinct(members, key, DST, MAX_TARGETS, "target_ips")
     ports = smallest_distinct(members, key, "L4_DST_PORT", MAX_PORTS, "target_ports")
     none = lambda kind: F.array().cast(f"array<{kind}>")
@@ -213,8 +212,8 @@ def gap_sessions(
     """
     gap_ms = gap * MINUTE_MS
     slices = slices or time_slices(f)
-    rows = slices.attach(f.select(by, START, END, "IN_BYTES", "OUT_BYTES")) if not slices.crowded \
-        else slices.attach(f.select(by, FLOW_ID, START, END, "IN_BYTES", "OUT_BYTES"))
+    tie = [FLOW_ID] if slices.crowded else []
+    rows = slices.attach(f.select(by, *tie, START, END, "IN_BYTES", "OUT_BYTES"))
     local = (
         _merge(rows, [by, SLICE], gap_ms, START, START)
         .groupBy(by, SLICE, "_run")

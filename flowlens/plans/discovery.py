@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
-from flowlens.operators.features import Scaler, eligible, flow_features
+from flowlens.operators.features import Scaler, flow_features
 from flowlens.operators.scoring import anomaly_scores, describe, suggest_tactics
 from flowlens.operators.states import traffic_profiles
-from flowlens.plans.hmm import FitResult, decode, fit_hmm, sample_sequences, select_k, sequences
+from flowlens.plans.hmm import FitResult, decode, fit_hmm, select_k, sequences
 from flowlens.session import materialize
 from flowlens.sources.writers import assign_states
 
@@ -38,27 +38,26 @@ def discover_states(
 ) -> Discovery:
     """Find behaviour states, label every flow, and describe the states.
 
-    Training uses about ``sample`` flows in whole destinations with at least
-    ``min_flows`` flows (``None``: all of them); decoding covers all flows.
-    ``k`` = 0 chooses the number of states.
+    Training and scaling use about ``sample`` flows in whole destinations with
+    at least ``min_flows`` flows (``None``: all of them); only these are cached.
+    Decoding covers all flows.  ``k`` = 0 chooses the number of states.
     """
     features = materialize(flow_features(f), "features")
-    usable = eligible(features, min_flows, by="dst_ip")
-    if usable.limit(MIN_ROWS).count() < MIN_ROWS:
-        raise ValueError(f"insufficient data for training (need at least {MIN_ROWS} flows)")
-    scaler = Scaler.fit(usable)
-    # one layout serves training (a narrow filter of it) and decoding
-    everything = sequences(scaler.transform(features))
-    train = sample_sequences(everything, sample, min_flows, seed)
-    if train.rows.count() < MIN_ROWS:  # an unlucky sample
+    train = sequences(features, sample_rows=sample, min_rows=min_flows, seed=seed)
+    if sample is not None and train.rows.count() < MIN_ROWS:  # an unlucky sample
         train.unpersist()
-        train = sample_sequences(everything, None, min_flows, seed)
+        train = sequences(features, min_rows=min_flows)
+    if train.rows.count() < MIN_ROWS:
+        raise ValueError(f"insufficient data for training (need at least {MIN_ROWS} flows)")
+    scaler = Scaler.fit(train.rows)
+    # scaling is a projection of the cached layout: order and partitions stay
+    scaled = replace(train, rows=scaler.transform(train.rows))
     if k <= 0:
-        k, _ = select_k(train, seed=seed)
-    fit = fit_hmm(train, k, MAX_ITER, TOL, seed)
+        k, _ = select_k(scaled, seed=seed)
+    fit = fit_hmm(scaled, k, MAX_ITER, TOL, seed)
     train.unpersist()
+    everything = sequences(scaler.transform(features), persist=False)
     states = materialize(decode(everything, fit.model), "states")
-    everything.unpersist()
     flows = assign_states(f, states)
     profiles = materialize(traffic_profiles(flows), "profiles")
     return Discovery(

@@ -139,39 +139,49 @@ class Sequences:
 
 
 def sequences(
-    scaled: DataFrame, features=FEATURES, key: str = "dst_ip", chunk_rows: int = CHUNK_ROWS
+    rows: DataFrame,
+    features=FEATURES,
+    key: str = "dst_ip",
+    chunk_rows: int = CHUNK_ROWS,
+    sample_rows: int | None = None,
+    min_rows: int = 1,
+    seed: int = 42,
+    persist: bool = True,
 ) -> Sequences:
-    """Lay the rows out for training and decoding, and cache that layout.
+    """Lay rows out for training or decoding; each round then reads without a shuffle.
 
-    Each round reads it without a shuffle; a lost executor's partitions are
-    rebuilt from ``scaled``.
+    ``sample_rows`` keeps about that many rows, as whole sequences (or chunks of
+    long ones), before anything is moved; sequences shorter than ``min_rows``
+    are left out.  The cached layout is rebuilt from ``rows`` where an executor
+    is lost.
     """
-    picked = scaled.select(
+    picked = rows.select(
         FLOW_ID, key, START, *[F.col(c).cast("double").alias(c) for c in features]
     )
-    rows, cut, total = with_chunks(picked, key, chunk_rows)
+    chunked, cut, total = with_chunks(picked, key, chunk_rows)
+    if sample_rows is not None and total > sample_rows:
+        chunked = chunked.where(_share(key, sample_rows / total, seed))
+        total = sample_rows
     order = [key, "chunk", START, FLOW_ID]
-    parts = int(scaled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(parts, -(-total // PARTITION_ROWS))
-    laid = rows.repartition(parts, key, "chunk").sortWithinPartitions(*order).persist()
-    return Sequences(laid, list(features), key, cut)
+    laid = chunked.repartition(parts, key, "chunk").sortWithinPartitions(*order)
+    if min_rows > 1:
+        laid = laid.mapInPandas(_drop_short_task(key, min_rows), laid.schema)
+    return Sequences(laid.persist() if persist else laid, list(features), key, cut)
 
 
-def sample_sequences(
-    seqs: Sequences, rows: int | None = None, min_rows: int = 1, seed: int = 42
-) -> Sequences:
-    """About ``rows`` rows made of whole sequences (or chunks of long ones).
+def _share(key: str, share: float, seed: int):
+    """True for about this share of the sequences."""
+    part = F.pmod(F.xxhash64(key, "chunk", F.lit(seed)), F.lit(1 << 30))
+    return part < F.lit(int(share * (1 << 30)))
 
-    Sequences shorter than ``min_rows`` are left out.  The layout is kept, so
-    nothing is shuffled.
-    """
-    kept = seqs.rows
-    total = kept.count()
-    if rows is not None and total > rows:
-        part = F.pmod(F.xxhash64(seqs.key, "chunk", F.lit(seed)), F.lit(1 << 30))
-        kept = kept.where(part < F.lit(int(rows / total * (1 << 30))))
-    if min_rows > 1:
-        kept = kept.mapInPandas(_drop_short_task(seqs.key, min_rows), kept.schema)
+
+def sample_sequences(seqs: Sequences, rows: int, seed: int = 42) -> Sequences:
+    """About ``rows`` rows of a layout as whole sequences; nothing is shuffled."""
+    kept, total = seqs.rows, seqs.rows.count()
+    if total > rows:
+        kept = kept.where(_share(seqs.key, rows / total, seed))
     return Sequences(kept.persist(), seqs.features, seqs.key, seqs.cut)
 
 
@@ -409,7 +419,7 @@ def select_k(
     """
     sample = seqs
     if seqs.rows.count() > when_above:
-        sample = sample_sequences(seqs, rows, seed=seed)
+        sample = sample_sequences(seqs, rows, seed)
     start = {k: init_model(sample, k, seed) for k in K_RANGE}
     fits = fit_models(sample, start, max_iter=10, tol=0.1)
     scores = bic(sample, {k: fit.model for k, fit in fits.items()})

@@ -169,6 +169,9 @@ def from_zeek(df: DataFrame) -> DataFrame:
     return df.select(*kept, *columns)
 
 
-def read_zeek(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Weekly Parquet logs read as one table."""
-    return from_zeek(spark.read.option("mergeSchema", True).parquet(*paths))
+def read_zeek(spark: SparkSession, paths: list[str], merge_schema: bool = False) -> DataFrame:
+    """Weekly Parquet logs read as one table.
+
+    ``merge_schema`` reads every footer; needed only when weeks differ in columns.
+    """
+    return from_zeek(spark.read.option("mergeSchema", merge_schema).parquet(*paths))

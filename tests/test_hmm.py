@@ -158,9 +158,20 @@ def test_sequences_of_one_and_few_points(spark):
 def test_short_sequences_are_left_out(spark):
     df, _ = synthetic(spark, n_seq=2, length=20)
     short, _ = synthetic(spark, n_seq=1, length=2)
-    seqs = hmm.sequences(df.unionByName(short.selectExpr(
-        f"{FLOW_ID} + 1000 AS {FLOW_ID}", "'s' AS dst_ip", "FLOW_START_MILLISECONDS", "x", "y")), NAMES)
-    assert hmm.sample_sequences(seqs, None, 3).rows.count() == 40
+    both = df.unionByName(short.selectExpr(
+        f"{FLOW_ID} + 1000 AS {FLOW_ID}", "'s' AS dst_ip", "FLOW_START_MILLISECONDS", "x", "y"))
+    assert hmm.sequences(both, NAMES, min_rows=3).rows.count() == 40
+    assert hmm.sequences(both, NAMES).rows.count() == 42
+
+
+def test_samples_are_whole_sequences(spark):
+    df, _ = synthetic(spark, n_seq=60, length=20)
+    for seqs in (
+        hmm.sequences(df, NAMES, sample_rows=300),
+        hmm.sample_sequences(hmm.sequences(df, NAMES), 300),
+    ):
+        sizes = [r["count"] for r in seqs.rows.groupBy("dst_ip").count().collect()]
+        assert set(sizes) == {20} and 2 <= len(sizes) <= 40
 
 
 def test_discovery(fixture_flows):
