@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowlens.functions.columns import or_zero, total_bytes
 from flowlens.functions.slices import TimeSlices, with_previous_start
 from flowlens.schema import DST, FLOW_ID, START
+from flowlens.session import materialize
 
 # Feature names, in the order of the model vector.
 FEATURES = (
@@ -110,14 +111,15 @@ def eligible(
 ) -> DataFrame:
     """Flows of destinations with at least ``min_flows`` flows.
 
-    ``max_groups`` keeps the busiest ones (ties by address).  Counting first
-    and joining back moves one row per destination instead of a window over
-    all flows.
+    ``max_groups`` keeps the busiest ones (ties by address).  The list of
+    destinations is written out first: with its size known, the optimizer sends
+    a short list to the flows and shuffles only for a long one.
     """
     counts = f.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_flows)
     if max_groups is not None:
         counts = counts.orderBy(F.col("_n").desc(), by).limit(max_groups)
-    return f.join(counts.select(by), by, "left_semi").select(*f.columns)
+    kept = materialize(counts.select(by), "eligible")
+    return f.join(kept, by, "left_semi").select(*f.columns)
 
 
 @dataclass

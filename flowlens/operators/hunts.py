@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.functions.columns import bucket_start, start_time, total_bytes
-from flowlens.functions.slices import TimeSlices, time_slices, with_previous_start
+from flowlens.functions.slices import TimeSlices, with_previous_start
 from flowlens.schema import DST, FLOW_ID, SRC, START
 
 MINUTE_MS = 60_000
@@ -32,15 +32,9 @@ def beaconing(
     max_cv: float = 0.5,
     slices: TimeSlices | None = None,
 ) -> DataFrame:
-    """Connections that repeat at even gaps: gap spread over mean at most ``max_cv``.
-
-    Pairs with too few flows are dropped by a count before anything is ordered.
-    """
+    """Connections that repeat at even gaps: gap spread over mean at most ``max_cv``."""
     pair = [SRC, DST, "L4_DST_PORT"]
-    slices = slices or time_slices(f)  # from the bare table, not from the join below
     rows = f.select(*pair, START, FLOW_ID).where(F.col("L4_DST_PORT").isNotNull())
-    often = rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_flows)
-    rows = rows.join(often.drop("_n"), pair, "left_semi")
     gap = (F.col(START) - F.col("_previous")).cast("double")
     stats = (
         with_previous_start(rows, pair, "_previous", slices)
@@ -52,7 +46,8 @@ def beaconing(
         )
     )
     cv = F.col("gap_stddev_ms") / F.col("mean_gap_ms")
-    return stats.where(F.col("mean_gap_ms") > 0).withColumn("gap_cv", cv).where(
+    enough = (F.col("flow_count") >= min_flows) & (F.col("mean_gap_ms") > 0)
+    return stats.where(enough).withColumn("gap_cv", cv).where(
         F.col("gap_cv") <= max_cv
     )
 

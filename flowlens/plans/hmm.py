@@ -33,6 +33,7 @@ CHUNK_ROWS = 500_000  # longest run of one sequence handled as a unit
 CHUNK_GRAIN_MS = 60_000
 BLOCK_ROWS = 100_000  # rows a task works on at a time
 PARTITION_ROWS = 1_000_000  # rows per partition of the layout
+PIECE_ROWS = 512  # shortest run worth cutting a sequence into
 
 
 @dataclass
@@ -230,8 +231,9 @@ def _drop_short_task(key: str, min_rows: int):
 class _Lockstep:
     """Index helper: step t of all sequences that are longer than t, longest first."""
 
-    def __init__(self, lengths: np.ndarray):
-        begin = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    def __init__(self, lengths: np.ndarray, begin: np.ndarray | None = None):
+        if begin is None:
+            begin = np.cumsum(lengths) - lengths
         order = np.argsort(-lengths, kind="stable")
         self.first = begin[order]
         self.lengths = lengths[order]
@@ -243,37 +245,127 @@ class _Lockstep:
         return self.first[: self.active[t]] + t
 
 
+@dataclass
+class _Pieces:
+    """Sequences cut so that long ones also run side by side.
+
+    A sequence of n rows takes n dependent steps; as about sqrt(n) pieces it
+    takes sqrt(n) steps to sum up every piece, sqrt(n) to chain the pieces, and
+    sqrt(n) to walk through all of them with what enters and leaves known.
+    """
+
+    lengths: np.ndarray  # rows per piece
+    first: np.ndarray  # first piece of each sequence
+    count: np.ndarray  # pieces per sequence
+
+    @classmethod
+    def of(cls, lengths: np.ndarray) -> "_Pieces":
+        size = max(PIECE_ROWS, int(np.sqrt(lengths.max())))
+        count = -(-lengths // size)
+        first = np.concatenate([[0], np.cumsum(count)[:-1]])
+        rows = np.full(int(count.sum()), size)
+        rows[first + count - 1] = lengths - (count - 1) * size
+        return cls(rows, first, count)
+
+    def steps(self):
+        """Piece numbers by place in their sequence; all that have a next piece."""
+        for j in range(int(self.count.max()) - 1):
+            yield self.first[self.count > j + 1] + j
+
+    @property
+    def chained(self) -> np.ndarray:
+        """Pieces of sequences that have more than one."""
+        return np.flatnonzero(np.repeat(self.count > 1, self.count))
+
+
+def _sum_pieces(b, move, begin, lengths):
+    """Per piece: weight of ending in j when its first row is in i, and its log scale."""
+    k = b.shape[1]
+    order = np.argsort(-lengths, kind="stable")
+    steps = _Lockstep(lengths, begin)
+    table = b[steps.at(0)][:, None, :] * np.eye(k)
+    scale = np.zeros((len(lengths), k))
+    for t in range(steps.steps):
+        at = steps.at(t)
+        now = table[: len(at)]
+        if t:
+            now = (now @ move) * b[at][:, None, :]
+        size = np.maximum(now.sum(axis=2), MIN_PROBABILITY)
+        table[: len(at)] = now / size[:, :, None]
+        scale[: len(at)] += np.log(size)
+    out, out_scale = np.empty_like(table), np.empty_like(scale)
+    out[order], out_scale[order] = table, scale
+    return out, np.exp(out_scale - out_scale.max(axis=1, keepdims=True))
+
+
+def _piece_edges(model: HmmModel, b: np.ndarray, move: np.ndarray, pieces: _Pieces):
+    """What each piece is entered with (state weights) and followed by (likelihoods)."""
+    n, k = len(pieces.lengths), model.k
+    enter = np.broadcast_to(model.initial, (n, k)).copy()
+    follow = np.ones((n, k))
+    chained = pieces.chained
+    if len(chained) == 0:
+        return enter, follow
+    begin = np.cumsum(pieces.lengths) - pieces.lengths
+    table, weight = np.zeros((n, k, k)), np.zeros((n, k))
+    table[chained], weight[chained] = _sum_pieces(b, move, begin[chained], pieces.lengths[chained])
+    links = list(pieces.steps())
+    for p in links:
+        out = np.einsum("pi,pij->pj", enter[p] * weight[p], table[p])
+        out /= np.maximum(out.sum(axis=1, keepdims=True), MIN_PROBABILITY)
+        enter[p + 1] = out @ move
+    for p in reversed(links):
+        tail = np.einsum("pij,pj->pi", table[p + 1], follow[p + 1]) * weight[p + 1]
+        back = tail @ move.T
+        follow[p] = back / np.maximum(back.max(axis=1, keepdims=True), MIN_PROBABILITY)
+    return enter, follow
+
+
 def _sufficient_statistics(model: HmmModel, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Expected counts of a block: [log-likelihood, rows, first, moves, mass, x, x*x]."""
-    k, steps = model.k, _Lockstep(lengths)
+    k = model.k
     log_b = model.log_emission(x)
     peak = log_b.max(axis=1)
     b = np.exp(log_b - peak[:, None])
     move = np.maximum(model.transition, MIN_PROBABILITY)
+    pieces = _Pieces.of(lengths)
+    enter, follow = _piece_edges(model, b, move, pieces)
+    begin = np.cumsum(pieces.lengths) - pieces.lengths
+    steps = _Lockstep(pieces.lengths, begin)
     alpha, norm = np.empty_like(b), np.empty(len(b))
     for t in range(steps.steps):
         at = steps.at(t)
-        ahead = model.initial[None, :] if t == 0 else alpha[at - 1] @ move
+        ahead = enter[np.argsort(-pieces.lengths, kind="stable")] if t == 0 else alpha[at - 1] @ move
         a = ahead * b[at]
         norm[at] = np.maximum(a.sum(axis=1), MIN_PROBABILITY)
         alpha[at] = a / norm[at][:, None]
-    beta = np.ones_like(b)
+    beta = np.empty_like(b)
+    beta[begin + pieces.lengths - 1] = follow
     moves = np.zeros((k, k))
-    for t in range(steps.steps - 2, -1, -1):
-        later = steps.at(t + 1)
-        now = later - 1
+
+    def count_moves(later):
+        """Expected moves into these rows; returns what their predecessors see."""
         tail = b[later] * beta[later]
         back = tail @ move.T
-        # expected moves: alpha_i * move_ij * tail_j, normalized per row
-        weight = np.maximum((alpha[now] * back).sum(axis=1), MIN_PROBABILITY)
-        moves += (alpha[now] / weight[:, None]).T @ tail * move
-        beta[now] = back / np.maximum(back.max(axis=1), MIN_PROBABILITY)[:, None]
+        now = alpha[later - 1]
+        weight = np.maximum((now * back).sum(axis=1), MIN_PROBABILITY)
+        moves[:] += (now / weight[:, None]).T @ tail * move
+        return back
+
+    for t in range(steps.steps - 2, -1, -1):
+        later = steps.at(t + 1)
+        back = count_moves(later)
+        beta[later - 1] = back / np.maximum(back.max(axis=1), MIN_PROBABILITY)[:, None]
+    inner = np.ones(len(begin), dtype=bool)
+    inner[pieces.first] = False
+    if inner.any():
+        count_moves(begin[inner])  # from the last row of one piece to the next piece
     gamma = alpha * beta
     gamma /= np.maximum(gamma.sum(axis=1), MIN_PROBABILITY)[:, None]
     return np.concatenate(
         [
             [np.log(norm).sum() + peak.sum(), len(x)],
-            gamma[steps.at(0)].sum(axis=0),
+            gamma[begin[pieces.first]].sum(axis=0),
             moves.ravel(),
             gamma.sum(axis=0),
             (gamma.T @ x).ravel(),
@@ -440,28 +532,74 @@ def select_k(
 # --------------------------------------------------------------- decoding
 
 
+def _best_of_pieces(log_b, log_move, begin, lengths):
+    """Per piece: best score of ending in j when its first row is in i."""
+    k = log_b.shape[1]
+    order = np.argsort(-lengths, kind="stable")
+    steps = _Lockstep(lengths, begin)
+    table = log_b[steps.at(0)][:, None, :] + np.where(np.eye(k) > 0, 0.0, -np.inf)
+    for t in range(1, steps.steps):
+        at = steps.at(t)
+        table[: len(at)] = _best_move(table[: len(at)], log_move) + log_b[at][:, None, :]
+    out = np.empty_like(table)
+    out[order] = table
+    return out
+
+
+def _best_move(score: np.ndarray, log_move: np.ndarray) -> np.ndarray:
+    """Best score per next state: max over i of score[..., i] + move[i, j]."""
+    return (score[..., :, None] + log_move).max(axis=-2)
+
+
 def _best_paths(log_b, lengths, entry, log_move, leave=None) -> np.ndarray:
     """Most likely states of each sequence.
 
     ``entry`` holds the scores each sequence starts from (one row per sequence,
     before its first emission); ``leave`` fixes the last state where given.
     """
-    steps = _Lockstep(lengths)
+    pieces = _Pieces.of(lengths)
+    n, k = len(pieces.lengths), log_b.shape[1]
+    begin = np.cumsum(pieces.lengths) - pieces.lengths
+    enter = np.empty((n, k))
+    enter[pieces.first] = entry
+    leaves = np.full(n, -1)
+    if leave is not None:
+        leaves[pieces.first + pieces.count - 1] = leave
+    chained = pieces.chained
+    if len(chained):
+        table, final = np.zeros((n, k, k)), np.zeros((n, k))
+        table[chained] = _best_of_pieces(log_b, log_move, begin[chained], pieces.lengths[chained])
+        links = list(pieces.steps())
+        for p in links:
+            final[p] = (enter[p][:, :, None] + table[p]).max(axis=1)
+            enter[p + 1] = _best_move(final[p], log_move)
+        last = (pieces.first + pieces.count - 1)[pieces.count > 1]
+        final[last] = (enter[last][:, :, None] + table[last]).max(axis=1)
+        leaves[last] = np.where(leaves[last] < 0, final[last].argmax(axis=1), leaves[last])
+        for p in reversed(links):
+            through = table[p + 1, :, leaves[p + 1]]
+            started = (enter[p + 1] + through).argmax(axis=1)
+            leaves[p] = (final[p] + log_move.T[started]).argmax(axis=1)
+    return _walk(log_b, begin, pieces.lengths, enter, leaves, log_move)
+
+
+def _walk(log_b, begin, lengths, enter, leaves, log_move) -> np.ndarray:
+    """Best path of every piece; a last state of -1 is free."""
     order = np.argsort(-lengths, kind="stable")
+    steps = _Lockstep(lengths, begin)
     back = np.zeros(log_b.shape, dtype=np.int16)
-    score = entry[order] + log_b[steps.at(0)]
+    score = enter[order] + log_b[steps.at(0)]
     final = np.zeros((len(lengths), log_b.shape[1]))
     for t in range(1, steps.steps):
         at = steps.at(t)
-        done = slice(len(at), len(score))
-        final[done] = score[done]
+        final[len(at) : len(score)] = score[len(at) :]
         options = score[: len(at), :, None] + log_move[None]
         back[at] = options.argmax(axis=1)
         score = options.max(axis=1) + log_b[at]
     final[: len(score)] = score
     path = np.zeros(len(log_b), dtype=np.int32)
-    current = final.argmax(axis=1) if leave is None else leave[order].copy()
-    path[steps.first + steps.lengths - 1] = current
+    fixed = leaves[order]
+    path[steps.first + steps.lengths - 1] = np.where(fixed < 0, final.argmax(axis=1), fixed)
     for t in range(steps.steps - 1, 0, -1):
         at = steps.at(t)
         path[at - 1] = back[at, path[at]]
@@ -470,9 +608,12 @@ def _best_paths(log_b, lengths, entry, log_move, leave=None) -> np.ndarray:
 
 def _final_scores(log_b: np.ndarray, entry: np.ndarray, log_move: np.ndarray) -> np.ndarray:
     """Best score of ending one run in each state, for several entry score rows."""
-    score = entry + log_b[0]
-    for row in log_b[1:]:
-        score = (score[:, :, None] + log_move[None]).max(axis=1) + row
+    pieces = _Pieces.of(np.array([len(log_b)]))
+    begin = np.cumsum(pieces.lengths) - pieces.lengths
+    score = entry
+    for p, table in enumerate(_best_of_pieces(log_b, log_move, begin, pieces.lengths)):
+        score = _best_move(score, log_move) if p else score
+        score = (score[:, :, None] + table[None]).max(axis=1)
     return score
 
 

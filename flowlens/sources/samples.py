@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from flowlens.schema import FLOW_ID
+from flowlens.session import materialize
 
 BINS = 1 << 14
 
@@ -19,8 +20,9 @@ def stratified_sample(
     """Per group ``min(n, int(target * n / total))`` flows with the smallest hash.
 
     A group may be most of the table, so it is never sorted as one: hash bins
-    are counted first (groups x 16384 rows), bins under the cut are taken whole
-    and only the bin the cut falls into is ranked.
+    are counted first (groups x 16384 rows); bins before the one the cut falls
+    into are taken whole and only that bin is ranked.  The cuts, one row per
+    group, are written out first so that the optimizer knows their size.
     """
     # the hash is 64 bits; its top fourteen number the bin, so bins follow hash order
     keyed = f.withColumn("_hash", _key(seed)).withColumn(
@@ -29,32 +31,30 @@ def stratified_sample(
     bins = keyed.groupBy(by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(by)
     everything = Window.partitionBy()
-    cut = (
+    cuts = (
         bins.withColumn("_size", F.sum("_n").over(group))
         .withColumn("_before", F.sum("_n").over(group.orderBy("_bin")) - F.col("_n"))
         .withColumn("_total", F.sum("_n").over(everything))
         .withColumn("_quota", F.least("_size", F.floor(target * F.col("_size") / F.col("_total"))))
-        .withColumn("_left", F.col("_quota") - F.col("_before"))
-        .where(F.col("_left") > 0)
-        .select(
-            F.col(by).alias("_by"),
-            F.col("_bin").alias("_b"),
-            "_left",
-            (F.col("_left") >= F.col("_n")).alias("_whole"),
+        .where(F.col("_before") < F.col("_quota"))
+        .groupBy(F.col(by).alias("_by"))
+        .agg(
+            F.max("_bin").alias("_cut"),
+            F.min(F.col("_quota") - F.col("_before")).alias("_left"),
         )
     )
     chosen = keyed.join(
-        cut, keyed[by].eqNullSafe(F.col("_by")) & (F.col("_bin") == F.col("_b"))
+        materialize(cuts, "cuts"),
+        keyed[by].eqNullSafe(F.col("_by")) & (F.col("_bin") <= F.col("_cut")),
     )
+    whole = chosen.where(F.col("_bin") < F.col("_cut")).select(*f.columns)
+    w = Window.partitionBy("_by", "_bin").orderBy("_hash", FLOW_ID)
     ranked = (
-        chosen.where(~F.col("_whole"))
-        .withColumn(
-            "_rank",
-            F.row_number().over(Window.partitionBy("_by", "_bin").orderBy("_hash", FLOW_ID)),
-        )
+        chosen.where(F.col("_bin") == F.col("_cut"))
+        .withColumn("_rank", F.row_number().over(w))
         .where(F.col("_rank") <= F.col("_left"))
     )
-    return chosen.where("_whole").select(*f.columns).unionByName(ranked.select(*f.columns))
+    return whole.unionByName(ranked.select(*f.columns))
 
 
 def fast_stratified_sample(

@@ -116,6 +116,32 @@ def test_statistics_equal_brute_force():
     assert hmm._best_paths(model.log_emission(x), lengths, entry, np.log(model.transition)).tolist() == best
 
 
+@pytest.mark.parametrize("rows", [1, 3, 7])
+def test_pieces_change_nothing(monkeypatch, rows):
+    """Cutting sequences inside a task gives the sums and paths of whole ones."""
+    rng = np.random.default_rng(5)
+    k, d = 4, 3
+    model = hmm.HmmModel(
+        rng.normal(size=(k, d)), rng.uniform(0.5, 2, (k, d)),
+        rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(k)),
+    )
+    lengths = np.array([40, 1, 7, 23, 2, 40])
+    x = rng.normal(size=(lengths.sum(), d))
+    log_b, move = model.log_emission(x), np.log(model.transition)
+    entry = np.broadcast_to(np.log(model.initial), (len(lengths), k))
+    leave = np.array([0, 1, 2, 3, 0, 1])
+    run = lambda: (
+        hmm._sufficient_statistics(model, x, lengths),
+        hmm._best_paths(log_b, lengths, entry, move),
+        hmm._best_paths(log_b, lengths, entry, move, leave),
+        hmm._final_scores(log_b, np.log(model.transition), move),
+    )
+    whole = run()
+    monkeypatch.setattr(hmm, "PIECE_ROWS", rows)
+    for a, b in zip(whole, run()):
+        assert np.allclose(a, b)
+
+
 def test_batches_may_split_sequences_anywhere(spark):
     import pandas as pd
 
