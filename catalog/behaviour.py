@@ -82,7 +82,9 @@ PHASES_ALL = _session_sql("MITRE_TACTIC", "''", ATTACK, "-", "", "*").replace(
 @check("K2_J2_phases_of_all_sessions", PHASES_ALL)
 def _(spark, sf):
     f = flows(spark, sf)
-    return sessions.kill_chain_phases_all(f, sessions.attack_sessions(f, limit=None))
+    return sessions.kill_chain_phases_all(
+        f, sessions.attack_sessions(f, limit=None, targets=False)
+    )
 
 
 FLOWS_IN = _session_sql("MITRE_TACTIC", "''", ATTACK, "-", "", "*").replace(
@@ -95,7 +97,9 @@ FLOWS_IN = _session_sql("MITRE_TACTIC", "''", ATTACK, "-", "", "*").replace(
 @check("P10_J2_flows_of_all_sessions", FLOWS_IN)
 def _(spark, sf):
     f = flows(spark, sf)
-    found = sessions.flows_in_sessions(f, sessions.attack_sessions(f, limit=None))
+    found = sessions.flows_in_sessions(
+        f, sessions.attack_sessions(f, limit=None, targets=False)
+    )
     return found.select("session_id", FLOW_ID)
 
 
@@ -120,7 +124,7 @@ ORDERED = _session_sql(STATE_TACTIC, "''", "HMM_STATE IS NOT NULL", "-hmm-", "",
 
 @check("K4_order_tactics", ORDERED)
 def _(spark, sf):
-    found = sessions.state_sessions(labelled_flows(spark, sf), STATE_TACTICS, limit=None)
+    found = sessions.state_sessions(labelled_flows(spark, sf), STATE_TACTICS, limit=None, targets=False)
     return sessions.with_ordered_tactics(found).select("session_id", "tactics")
 
 

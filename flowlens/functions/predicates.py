@@ -28,7 +28,9 @@ _COMPARE = {
 }
 FORBIDDEN_WORDS = ("DROP", "DELETE", "INSERT", "UPDATE", "CREATE", "ALTER", "TRUNCATE")
 FORBIDDEN_TEXT = re.compile(
-    r";|--|/\*|\bUNION\s+(?:ALL\s+)?SELECT\b|'\s*OR\s+'?1'?\s*=\s*'?1", re.IGNORECASE
+    rf";\s*(?:{'|'.join(FORBIDDEN_WORDS)})|--|/\*|\bUNION\s+(?:ALL\s+)?SELECT\b"
+    r"|'\s*OR\s+'?1'?\s*=\s*'?1",
+    re.IGNORECASE,
 )
 
 

@@ -62,10 +62,14 @@ def time_slices(
     df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE, min_slices: int | None = None
 ) -> TimeSlices:
     """Choose slices: a row count, then a quantile sketch of the starts."""
+    n = df.count()
     if min_slices is None:
-        # twice the partitions, so that hashing the slices spreads them evenly
-        min_slices = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    count = max(1, min(GRID, max(min_slices, -(-df.count() // rows_per_slice))))
+        # enough to keep the cluster busy (twice the partitions, so that hashing
+        # the slices spreads them evenly), but not for a handful of rows
+        spark = df.sparkSession
+        busy = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        min_slices = min(busy, max(spark.sparkContext.defaultParallelism, n // 10_000))
+    count = max(1, min(GRID, max(min_slices, -(-n // rows_per_slice))))
     cuts = [i / count for i in range(1, count)]
     if not cuts:
         return TimeSlices()

@@ -29,11 +29,12 @@ def _sessions(
     limit: int | None,
     techniques: Column,
     id_infix: str,
+    targets: bool,
 ) -> DataFrame:
     """Sessions of ``rows`` (which carry ``_tactic``) per source and time bucket.
 
     Small facts are aggregated for all buckets; targets and ports, which can be
-    many, are looked up only for the sessions that remain.
+    many, are looked up only for the sessions that remain (or not at all).
     """
     rows = rows.withColumn("_bucket", bucket(START, window_minutes * MINUTE_MS))
     key = [SRC, "_bucket"]
@@ -49,46 +50,51 @@ def _sessions(
         )
         .where(F.size("tactics") >= min_tactics)
     )
-    members = rows
+    wanted = None
     if limit is not None:
         found = found.orderBy(F.col("start_time").desc(), *key).limit(limit)
         wanted = found.select(*key)
-        if limit <= BROADCAST_SESSIONS:
-            wanted = F.broadcast(wanted)
-        members = rows.join(wanted, key, "left_semi")
-    # with no limit most buckets matter: reduce first, the join below selects
-    targets = smallest_distinct(members, key, DST, MAX_TARGETS, "target_ips")
-    ports = smallest_distinct(members, key, "L4_DST_PORT", MAX_PORTS, "target_ports")
-    none = lambda kind: F.array().cast(f"array<{kind}>")
-    return (
-        found.join(targets, key, "left")
-        .join(ports, key, "left")
-        .select(
-            F.concat_ws(id_infix, SRC, F.col("_bucket").cast("string")).alias("session_id"),
-            F.col(SRC).alias("src_ip"),
-            "start_time",
-            "end_time",
-            ((F.col("end_time") - F.col("start_time")) / 60000.0).alias("duration_minutes"),
-            "flow_count",
-            "tactics",
-            "techniques",
-            F.coalesce("target_ips", none("string")).alias("target_ips"),
-            F.coalesce("target_ports", none("bigint")).alias("target_ports"),
-            "total_bytes",
-        )
-        .orderBy(F.col("start_time").desc(), "session_id")
-    )
+        wanted = F.broadcast(wanted) if limit <= BROADCAST_SESSIONS else wanted
+    listed = []
+    if targets:
+        # with no limit most buckets matter: reduce first, the join selects
+        members = rows if wanted is None else rows.join(wanted, key, "left_semi")
+        for column, n, alias, kind in (
+            (DST, MAX_TARGETS, "target_ips", "string"),
+            ("L4_DST_PORT", MAX_PORTS, "target_ports", "bigint"),
+        ):
+            found = found.join(smallest_distinct(members, key, column, n, alias), key, "left")
+            listed.append(F.coalesce(alias, F.array().cast(f"array<{kind}>")).alias(alias))
+    return found.select(
+        F.concat_ws(id_infix, SRC, F.col("_bucket").cast("string")).alias("session_id"),
+        F.col(SRC).alias("src_ip"),
+        "start_time",
+        "end_time",
+        ((F.col("end_time") - F.col("start_time")) / 60000.0).alias("duration_minutes"),
+        "flow_count",
+        "tactics",
+        "techniques",
+        *listed,
+        "total_bytes",
+    ).orderBy(F.col("start_time").desc(), "session_id")
 
 
 def attack_sessions(
-    f: DataFrame, window: int = 30, min_tactics: int = 2, limit: int | None = 50
+    f: DataFrame,
+    window: int = 30,
+    min_tactics: int = 2,
+    limit: int | None = 50,
+    targets: bool = True,
 ) -> DataFrame:
-    """Sources that show several tactics inside one time bucket, newest first."""
+    """Sources that show several tactics inside one time bucket, newest first.
+
+    ``targets=False`` leaves out the target lists, where only the spans matter.
+    """
     rows = f.where((F.col("Label") == "Attack") & (F.col("MITRE_TACTIC") != "")).withColumn(
         "_tactic", F.col("MITRE_TACTIC")
     )
     technique = sorted_set(F.when(F.col("MITRE_TECHNIQUE") != "", F.col("MITRE_TECHNIQUE")))
-    return _sessions(rows, window, min_tactics, limit, technique, "-")
+    return _sessions(rows, window, min_tactics, limit, technique, "-", targets)
 
 
 def state_sessions(
@@ -97,6 +103,7 @@ def state_sessions(
     window: int = 30,
     min_tactics: int = 2,
     limit: int | None = 50,
+    targets: bool = True,
 ) -> DataFrame:
     """Sessions read off the discovered states instead of the labels."""
     names = state_tactics(f.sparkSession, tactics)
@@ -106,7 +113,7 @@ def state_sessions(
         .withColumn("_tactic", F.coalesce("tactic", F.lit("Unknown")))
     )
     no_techniques = F.first(F.array().cast("array<string>"))
-    return _sessions(rows, window, min_tactics, limit, no_techniques, "-hmm-")
+    return _sessions(rows, window, min_tactics, limit, no_techniques, "-hmm-", targets)
 
 
 def _phase_aggregates():

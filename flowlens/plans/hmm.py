@@ -32,7 +32,8 @@ K_RANGE = range(2, 11)
 CHUNK_ROWS = 500_000  # longest run of one sequence handled as a unit
 CHUNK_GRAIN_MS = 60_000
 BLOCK_ROWS = 100_000  # rows a task works on at a time
-PARTITION_ROWS = 1_000_000  # rows per partition of the layout
+PARTITION_ROWS = 2_000_000  # most rows per partition of the layout
+SMALL_PARTITION_ROWS = 10_000  # fewer are not worth a task
 PIECE_ROWS = 512  # shortest run worth cutting a sequence into
 
 
@@ -96,13 +97,14 @@ def with_chunks(
 
     Only long sequences pay for it: their rows are counted per minute, minutes
     are filled into chunks, and the chunk number is joined on (key, minute), so
-    no task ever holds a whole long sequence.  Also returns whether any was cut
-    and the number of rows.
+    no task ever holds a whole long sequence.  Adds ``chunk`` and ``long``;
+    also returns whether any sequence was long and the number of rows.
     """
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total, longest = sizes.agg(F.sum("_n"), F.max("_n")).first()
     if (longest or 0) <= chunk_rows:
-        return rows.withColumn("chunk", F.lit(0)), False, total or 0
+        plain = rows.withColumns({"chunk": F.lit(0), "long": F.lit(False)})
+        return plain, False, total or 0
     long = sizes.where(F.col("_n") > chunk_rows).select(key)
     minute = bucket(START, grain_ms)
     upto = F.sum("_m").over(Window.partitionBy(key).orderBy("_minute"))
@@ -120,7 +122,7 @@ def with_chunks(
     cut = (
         rows.withColumn("_minute", minute)
         .join(chunks, [key, "_minute"], "left")
-        .withColumn("chunk", F.coalesce("_chunk", F.lit(0)))
+        .withColumns({"chunk": F.coalesce("_chunk", F.lit(0)), "long": F.col("_chunk").isNotNull()})
         .drop("_minute", "_chunk")
     )
     return cut, True, total
@@ -128,7 +130,7 @@ def with_chunks(
 
 @dataclass
 class Sequences:
-    """Rows (FLOW_ID, key, chunk, start, features) partitioned and ordered by sequence."""
+    """Rows (FLOW_ID, key, chunk, long, start, features), partitioned and ordered by sequence."""
 
     rows: DataFrame
     features: list[str]
@@ -164,8 +166,8 @@ def sequences(
         chunked = chunked.where(_share(key, sample_rows / total, seed))
         total = sample_rows
     order = [key, "chunk", START, FLOW_ID]
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(parts, -(-total // PARTITION_ROWS))
+    busy = rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(min(busy, total // SMALL_PARTITION_ROWS), -(-total // PARTITION_ROWS), 1)
     laid = chunked.repartition(parts, key, "chunk").sortWithinPartitions(*order)
     if min_rows > 1:
         laid = laid.mapInPandas(_drop_short_task(key, min_rows), laid.schema)
@@ -645,11 +647,8 @@ def decode(seqs: Sequences, model: HmmModel) -> DataFrame:
     task = _decode_task(model, features, key)
     if not seqs.cut:
         return seqs.rows.select(*names).mapInPandas(task, out)
-    long_keys = seqs.rows.where(F.col("chunk") > 0).select(key).distinct()
-    whole = seqs.rows.join(long_keys, key, "left_anti")
-    # the join may reorder rows: lay the short sequences out again
-    whole = whole.repartition(key).sortWithinPartitions(key, START, FLOW_ID)
-    parts = seqs.rows.join(long_keys, key, "left_semi").select(*names, START)
+    whole = seqs.rows.where(~F.col("long"))
+    parts = seqs.rows.where("long").select(*names, START)
     log_start = np.log(np.maximum(model.initial, MIN_PROBABILITY))
     log_move = np.log(np.maximum(model.transition, MIN_PROBABILITY))
     k = model.k
