@@ -9,7 +9,7 @@ from flow_fixture import STATE_TACTICS, flows, state_flows as labelled_flows
 from flowlens.operators import features, hunts, scoring, sessions, states
 from flowlens.plans import discovery, hmm
 from flowlens.schema import FLOW_ID, STATE
-from flowlens.session import scratch_path
+from flowlens.session import materialize, scratch_path
 from flowlens.sources import writers
 from flowlens.streaming import jobs
 
@@ -242,8 +242,9 @@ def _(spark, sf):
 
 
 def _sequences(spark, sf):
-    found = features.eligible(features.flow_features(flows(spark, sf)), by="dst_ip")
-    return hmm.sequences(features.scale(found))
+    """All flows of destinations with at least three, laid out and scaled."""
+    table = materialize(features.flow_features(flows(spark, sf)), "features")
+    return discovery.training_sequences(table, sample=None)[0]
 
 
 def _model_rows(spark, model):

@@ -9,7 +9,14 @@ from pyspark.sql import DataFrame
 from flowlens.operators.features import Scaler, flow_features
 from flowlens.operators.scoring import anomaly_scores, describe, suggest_tactics
 from flowlens.operators.states import traffic_profiles
-from flowlens.plans.hmm import FitResult, decode, fit_hmm, select_k, sequences
+from flowlens.plans.hmm import (
+    FitResult,
+    Sequences,
+    decode,
+    fit_hmm,
+    select_k,
+    sequences,
+)
 from flowlens.session import materialize
 from flowlens.sources.writers import assign_states
 
@@ -29,6 +36,24 @@ class Discovery:
     scaler: Scaler
 
 
+def training_sequences(
+    features: DataFrame, sample: int | None = 10_000, min_flows: int = 3, seed: int = 42
+) -> tuple[Sequences, Scaler]:
+    """Cached, scaled sequences of about ``sample`` flows (``None``: all).
+
+    ``features`` is read more than once; pass a written table.
+    """
+    train = sequences(features, sample_rows=sample, min_rows=min_flows, seed=seed)
+    if sample is not None and train.rows.count() < MIN_ROWS:  # an unlucky sample
+        train.unpersist()
+        train = sequences(features, min_rows=min_flows)
+    if train.rows.count() < MIN_ROWS:
+        raise ValueError(f"insufficient data for training (need at least {MIN_ROWS} flows)")
+    scaler = Scaler.fit(train.rows)
+    # scaling is a projection of the cached layout: order and partitions stay
+    return replace(train, rows=scaler.transform(train.rows), cached=train.rows), scaler
+
+
 def discover_states(
     f: DataFrame,
     k: int = 0,
@@ -43,18 +68,10 @@ def discover_states(
     Decoding covers all flows.  ``k`` = 0 chooses the number of states.
     """
     features = materialize(flow_features(f), "features")
-    train = sequences(features, sample_rows=sample, min_rows=min_flows, seed=seed)
-    if sample is not None and train.rows.count() < MIN_ROWS:  # an unlucky sample
-        train.unpersist()
-        train = sequences(features, min_rows=min_flows)
-    if train.rows.count() < MIN_ROWS:
-        raise ValueError(f"insufficient data for training (need at least {MIN_ROWS} flows)")
-    scaler = Scaler.fit(train.rows)
-    # scaling is a projection of the cached layout: order and partitions stay
-    scaled = replace(train, rows=scaler.transform(train.rows))
+    train, scaler = training_sequences(features, sample, min_flows, seed)
     if k <= 0:
-        k, _ = select_k(scaled, seed=seed)
-    fit = fit_hmm(scaled, k, MAX_ITER, TOL, seed)
+        k, _ = select_k(train, seed=seed)
+    fit = fit_hmm(train, k, MAX_ITER, TOL, seed)
     train.unpersist()
     everything = sequences(scaler.transform(features), persist=False)
     states = materialize(decode(everything, fit.model), "states")

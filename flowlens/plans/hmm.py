@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
@@ -136,9 +138,10 @@ class Sequences:
     features: list[str]
     key: str
     cut: bool
+    cached: DataFrame | None = None  # what ``rows`` is a projection of
 
     def unpersist(self) -> None:
-        self.rows.unpersist()
+        (self.rows if self.cached is None else self.cached).unpersist()
 
 
 def sequences(
@@ -514,7 +517,10 @@ def select_k(
     sample = seqs
     if seqs.rows.count() > when_above:
         sample = sample_sequences(seqs, rows, seed)
-    start = {k: init_model(sample, k, seed) for k in K_RANGE}
+    # the start values are many small jobs: let a few run at a time
+    with ThreadPool(4) as pool:
+        run = inheritable_thread_target(seqs.rows.sparkSession)(lambda k: init_model(sample, k, seed))
+        start = dict(zip(K_RANGE, pool.map(run, K_RANGE)))
     fits = fit_models(sample, start, max_iter=10, tol=0.1)
     scores = bic(sample, {k: fit.model for k, fit in fits.items()})
     if sample is not seqs:
