@@ -13,8 +13,10 @@ from flowlens.functions.columns import (
     total_bytes,
 )
 from flowlens.functions.slices import SLICE, TimeSlices, time_slices
+from flowlens.functions.predicates import in_range
 from flowlens.operators.filters import session_flows
 from flowlens.schema import DST, END, FLOW_ID, SRC, START, STATE
+from flowlens.session import materialize
 from flowlens.sources.writers import state_tactics
 
 MINUTE_MS = 60_000
@@ -50,15 +52,23 @@ def _sessions(
         )
         .where(F.size("tactics") >= min_tactics)
     )
-    wanted = None
     if limit is not None:
         found = found.orderBy(F.col("start_time").desc(), *key).limit(limit)
-        wanted = found.select(*key)
-        wanted = F.broadcast(wanted) if limit <= BROADCAST_SESSIONS else wanted
     listed = []
     if targets:
-        # with no limit most buckets matter: reduce first, the join selects
-        members = rows if wanted is None else rows.join(wanted, key, "left_semi")
+        members = rows  # with no limit most buckets matter: reduce first, the join selects
+        if limit is not None:
+            # written once instead of found three times; its time span prunes the scans
+            found = materialize(found, "sessions")
+            first, last = found.agg(F.min("_bucket"), F.max("_bucket")).first()
+            width = window_minutes * MINUTE_MS
+            if first is not None:
+                members = rows.where(
+                    in_range(START, first * width, (last + 1) * width - 1)
+                )
+            wanted = found.select(*key)
+            wanted = F.broadcast(wanted) if limit <= BROADCAST_SESSIONS else wanted
+            members = members.join(wanted, key, "left_semi")
         for column, n, alias, kind in (
             (DST, MAX_TARGETS, "target_ips", "string"),
             ("L4_DST_PORT", MAX_PORTS, "target_ports", "bigint"),
@@ -89,6 +99,7 @@ def attack_sessions(
     """Sources that show several tactics inside one time bucket, newest first.
 
     ``targets=False`` leaves out the target lists, where only the spans matter.
+    With targets and a limit, the few sessions are found (one job) when called.
     """
     rows = f.where((F.col("Label") == "Attack") & (F.col("MITRE_TACTIC") != "")).withColumn(
         "_tactic", F.col("MITRE_TACTIC")
