@@ -29,7 +29,7 @@ def _value(v):
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, float):
-        return f"{v:.6g}" if abs(v) < 1e15 else repr(v)
+        return repr(v + 0.0)  # both sides are rounded already; -0.0 is 0.0
     return str(v)
 
 
