@@ -259,8 +259,13 @@ def _labelled(prefixes: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _hub_pairs(rows: DataFrame, step: int) -> DataFrame:
-    """Every row of a group with the group's hub, where the two are not known to be connected."""
-    hub = F.min(F.struct(F.xxhash64("uid", F.lit(step)), "uid", "n", "label"))
+    """Every row of a group with the group's hub, where the two are not known to be connected.
+
+    The hub is the class with the smallest share of shingles of its own, the one in the middle of a group of
+    edited copies; in later rounds one by chance.
+    """
+    middle = F.col("own") / F.col("n") if step == 0 else F.lit(0.0)
+    hub = F.min(F.struct(middle, F.xxhash64("uid", F.lit(step)), "uid", "n", "label"))
     hubs = rows.groupBy("token").agg(hub.alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     hubs = hubs.where("lo <> hi").select(
         "token", F.col("h.uid").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.label").alias("hub_label")
@@ -320,7 +325,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     place = F.col("k") + F.col("n") - F.col("r")
     prefix = F.expr(f"n - (n * {THRESHOLD} + 99) div 100 + 1")
     prefixes = materialize(
-        ranked.withColumn("place", place).where(F.col("place") <= prefix).select("uid", "n", "token", "place"), "prefixes"
+        ranked.withColumn("place", place).where(F.col("place") <= prefix)
+        .select("uid", "n", "token", "place", (F.col("n") - F.col("r")).alias("own")), "prefixes",
     )
 
     # Ranges of the order of shingles, as the fragments above but coarser.
