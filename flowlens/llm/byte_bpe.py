@@ -13,6 +13,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.llm.common import mix, pack_ids, prepare, split_at_spaces, text_of
@@ -85,38 +86,49 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
 
 
-def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+def pair_table(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Two neighbouring ids (as one number) to the id they merge into."""
+    out = {}
+    for word, rank in ranks.items():
+        for cut in range(1, len(word)):
+            left, right = ranks.get(word[:cut]), ranks.get(word[cut:])
+            if left is not None and right is not None:
+                out[left << 32 | right] = rank
+    return out
+
+
+def merge(word: bytes, single: list[int], pairs: dict[int, int]) -> list[int]:
     """Ids of one pre-token: the pair of lowest rank first, of equal ranks the leftmost, until none is left."""
-    n = len(word)
-    part = [word[i : i + 1] for i in range(n)]
+    part = [single[b] for b in word]
+    n = len(part)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    find = pairs.get
     heap = []
     for i in range(n - 1):
-        rank = ranks.get(word[i : i + 2])
+        rank = find(part[i] << 32 | part[i + 1])
         if rank is not None:
-            heap.append((rank, i, 2))
+            heap.append(rank << 32 | i)
     heapq.heapify(heap)
     while heap:
-        rank, i, size = heapq.heappop(heap)
-        left = part[i]
+        first = heapq.heappop(heap)
+        rank, i = first >> 32, first & 0xFFFFFFFF
         j = after[i]
-        # Stale: a side was merged away or has grown since.
-        if not left or j >= n or len(left) + len(part[j]) != size or ranks.get(left + part[j]) != rank:
+        # Stale: one side was merged away or has grown into something else.
+        if part[i] < 0 or j >= n or find(part[i] << 32 | part[j]) != rank:
             continue
-        part[i] = left = left + part[j]
-        part[j] = b""
+        part[i], part[j] = rank, -1
         j = after[i] = after[j]
         if j < n:
             before[j] = i
-            rank = ranks.get(left + part[j])
-            if rank is not None:
-                heapq.heappush(heap, (rank, i, len(left) + len(part[j])))
+            ahead = find(rank << 32 | part[j])
+            if ahead is not None:
+                heapq.heappush(heap, ahead << 32 | i)
         h = before[i]
         if h >= 0:
-            rank = ranks.get(part[h] + left)
-            if rank is not None:
-                heapq.heappush(heap, (rank, h, len(part[h]) + len(left)))
-    return [ranks[p] for p in part if p]
+            behind = find(part[h] << 32 | rank)
+            if behind is not None:
+                heapq.heappush(heap, behind << 32 | h)
+    return [p for p in part if p >= 0]
 
 
 class Codec:
@@ -139,16 +151,23 @@ class Codec:
         keys = [w for w, _ in self.words]
         self.slot_word = [keys[i] for i in self.hash.key_at.tolist()]
         self.slot_id = [self.words[i][1] for i in self.hash.key_at.tolist()]
-        self.by_id = {rank: w for w, rank in self.words}
+        self.pairs = pair_table(self.ranks)
+        self.single = [self.ranks[bytes([b])] for b in range(256)]
+        by_id = [b""] * (max(self.ranks.values()) + 1)
+        for w, rank in self.words:
+            by_id[rank] = w
+        self.by_id = pa.array(by_id, pa.large_binary())
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self._ready = True
 
-    def pre_tokens(self, tokens: list[bytes]) -> dict[bytes, list[int]]:
-        """Ids of distinct pre-tokens: perfect hash first, heap for what it doesn't hold."""
-        out = {}
-        for word, slot in zip(tokens, self.hash.slots(tokens).tolist()):
-            out[word] = [self.slot_id[slot]] if self.slot_word[slot] == word else merge(word, self.ranks)
-        return out
+    def pre_tokens(self, tokens: list[str]) -> None:
+        """Remember the ids of distinct pre-tokens: perfect hash first, heap for what it doesn't hold."""
+        raw = [t.encode("utf-8") for t in tokens]
+        single, pairs, pieces = self.single, self.pairs, self.pieces
+        for token, word, slot in zip(tokens, raw, self.hash.slots(raw).tolist()):
+            ids = [self.slot_id[slot]] if self.slot_word[slot] == word else merge(word, single, pairs)
+            pieces[token] = pack_ids(ids)
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
@@ -157,19 +176,25 @@ class Codec:
         cut = [split_at_spaces(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
-        fresh = set().union(*cut).difference(self.known)
-        fresh.discard("")
-        pieces = {w: [p.encode("utf-8") for p in self.find(w)] for w in fresh}
-        ids = self.pre_tokens(sorted(set().union(*pieces.values()))) if pieces else {}
-        for w, own in pieces.items():
-            self.known[w] = pack_ids([i for p in own for i in ids[p]])
-        self.known[""] = b""
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
-
-    def decode(self, ids: list[int]) -> bytes:
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {}
+        known, pieces, find = self.known, self.pieces, self.find
+        fresh = {w: find(w) for w in set().union(*cut).difference(known)}
+        missing = set().union(*fresh.values()).difference(pieces)
+        if missing:
+            self.pre_tokens(sorted(missing))
+        for w, own in fresh.items():
+            known[w] = pieces[own[0]] if len(own) == 1 else b"".join(map(pieces.__getitem__, own))
+        return [b"".join(map(known.__getitem__, words)) for words in cut]
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+        """The bytes of each row; ``ids`` of all rows together, ``ends`` where rows begin and end in them."""
         if not self._ready:
             self._prepare()
-        return b"".join(map(self.by_id.__getitem__, ids))
+        flat = self.by_id.take(pa.array(ids))
+        _, offsets, data = flat.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[: len(ids) + 1][ends]
+        return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(bounds.copy()), data])
 
 
 def codec(spark: SparkSession, path: str, pattern: str):
@@ -204,9 +229,12 @@ def decode(encoded: DataFrame, shared) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            data = [shared.value.decode(ids or []) for ids in batch.column(1).to_pylist()]
+            lists = batch.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            data = shared.value.decode(flat, np.cumsum([0, *sizes]).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["doc_id", "ids", "data"]
+                [batch.column(0), lists, data.cast(pa.binary())], names=["doc_id", "ids", "data"]
             )
 
     prepare(encoded.sparkSession)
