@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.llm.common import mix, pack_ids, prepare, split_at_spaces, text_of
 
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Keys to a displacement bucket of the perfect hash.
 BUCKET_KEYS = 4
 _PRIME = np.uint64(0x100000001B3)
