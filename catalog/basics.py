@@ -303,7 +303,7 @@ def _(spark, sf):
     return summaries.flow_count(hits)
 
 
-@check("P13_display_flows")
+@check("P13_display_flows", ALL + " WHERE Attack <> 'Benign'")
 def _(spark, sf):
     return filters.display_flows(flows(spark, sf))
 
@@ -542,7 +542,7 @@ def _(spark, sf):
 
 DASHBOARD_SQL = {
     "timeline": f"SELECT {HOUR} AS time, Attack AS attack, count(*) AS count FROM flows WHERE {{w}}"
-    " GROUP BY ALL ORDER BY time DESC, attack LIMIT 500",
+    " GROUP BY ALL ORDER BY time, attack",
     "attacks": SUMMARY_SQL["attacks"],
     "top_src": "SELECT IPV4_SRC_ADDR AS ip, count(*) AS value FROM flows WHERE {w} GROUP BY ALL"
     " ORDER BY value DESC, ip LIMIT 10",

@@ -587,12 +587,12 @@ PAIR = "IPV4_SRC_ADDR, IPV4_DST_ADDR, L4_DST_PORT"
 
 @check("H3_beaconing", f""", g AS (SELECT {PAIR}, CAST({MS} - lag({MS}) OVER (PARTITION BY {PAIR}
  ORDER BY {MS}, FLOW_ID) AS DOUBLE) AS gap FROM flows), s AS (SELECT {PAIR}, count(*) AS flow_count,
- avg(gap) AS mean_gap_ms, stddev_pop(gap) AS gap_stddev_ms FROM g GROUP BY {PAIR} HAVING count(*) >= 4)
+ avg(gap) AS mean_gap_ms, stddev_pop(gap) AS gap_stddev_ms FROM g GROUP BY {PAIR} HAVING count(*) >= 3)
  SELECT * REPLACE (round(mean_gap_ms, 6) AS mean_gap_ms, round(gap_stddev_ms, 4) AS gap_stddev_ms),
  round(gap_stddev_ms / mean_gap_ms, 6) AS gap_cv FROM s
- WHERE mean_gap_ms > 0 AND gap_stddev_ms / mean_gap_ms <= 0.5""")
+ WHERE mean_gap_ms > 0 AND gap_stddev_ms / mean_gap_ms <= 1.0""")
 def _(spark, sf):
-    found = hunts.beaconing(flows(spark, sf), min_flows=4)
+    found = hunts.beaconing(flows(spark, sf), min_flows=3, max_cv=1.0)
     return found.withColumn("gap_stddev_ms", F.round("gap_stddev_ms", 4))
 
 

@@ -11,8 +11,9 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from flowlens.functions.sqlcheck import check_expression
 from flowlens.schema import DST, END, SRC, START
 
 # Comparison operators and the words and patterns that a raw
@@ -80,6 +81,9 @@ def custom(text: str | None) -> Column | None:
     if not text or not text.strip():
         return None
     check_condition(text)
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        check_expression(spark, f"({text})")
     return F.expr(f"({text})")
 
 

@@ -50,18 +50,19 @@ def state_flows(f: DataFrame, state: int) -> DataFrame:
     return f.where(F.col(STATE) == state)
 
 
-def filter_by(f: DataFrame, label: str, value, limit: int | None = 1000) -> DataFrame:
+def filter_by(f: DataFrame, label: str, value, limit: int | None = None) -> DataFrame:
     """``label = value`` where the label is what the user calls the column."""
     column = LABELS.get(label.strip().lower())
     if column is None:
         raise ValueError(f"unknown label {label!r}")
     typed = F.lit(value).cast(FLOW_TYPES[column])
     hits = f.where(F.col(column) == typed)
-    return hits if limit is None else hits.limit(limit)
+    return hits if limit is None else hits.orderBy(START, FLOW_ID).limit(limit)
 
 
-def display_flows(f: DataFrame, limit: int = 10_000) -> DataFrame:
-    return hide_benign(f).limit(limit)
+def display_flows(f: DataFrame, limit: int | None = None) -> DataFrame:
+    rows = hide_benign(f)
+    return rows if limit is None else rows.orderBy(START, FLOW_ID).limit(limit)
 
 
 def flow_page(

@@ -34,7 +34,7 @@ def beaconing(
 ) -> DataFrame:
     """Connections that repeat at even gaps: gap spread over mean at most ``max_cv``."""
     pair = [SRC, DST, "L4_DST_PORT"]
-    rows = f.select(*pair, START, FLOW_ID).where(F.col("L4_DST_PORT").isNotNull())
+    rows = f.select(*pair, START, FLOW_ID)
     gap = (F.col(START) - F.col("_previous")).cast("double")
     stats = (
         with_previous_start(rows, pair, "_previous", slices)

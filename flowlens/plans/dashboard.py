@@ -15,7 +15,7 @@ from flowlens.operators.summaries import (
 
 SUMMARY_TABLES = ("timeline", "attacks", "top_src", "top_dst", "total")
 # Rows kept in the ranking tables and shown of each.
-RANKED, SHOWN, TIMELINE_SHOWN = 100, 10, 500
+RANKED, SHOWN = 100, 10
 
 
 def summary_tables(f: DataFrame) -> dict[str, DataFrame]:
@@ -85,7 +85,7 @@ def dashboard(
     )
     attacks = summaries["attacks"] if summaries is not None else attack_distribution(f)
     return {
-        "timeline": hours.orderBy(F.col("time").desc(), "attack").limit(TIMELINE_SHOWN),
+        "timeline": hours.orderBy("time", "attack"),
         "attacks": attacks.orderBy(F.col("count").desc(), "attack"),
         "top_src": ranking("top_src", "src"),
         "top_dst": ranking("top_dst", "dst"),

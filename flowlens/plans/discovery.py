@@ -37,16 +37,13 @@ class Discovery:
 
 
 def training_sequences(
-    features: DataFrame, sample: int | None = 10_000, min_flows: int = 3, seed: int = 42
+    features: DataFrame, sample: int | None = None, min_flows: int = 3, seed: int = 42
 ) -> tuple[Sequences, Scaler]:
-    """Cached, scaled sequences of about ``sample`` flows (``None``: all).
+    """Cached, scaled sequences of all flows, or of about ``sample`` if given.
 
     ``features`` is read more than once; pass a written table.
     """
     train = sequences(features, sample_rows=sample, min_rows=min_flows, seed=seed)
-    if sample is not None and train.rows.count() < MIN_ROWS:  # an unlucky sample
-        train.unpersist()
-        train = sequences(features, min_rows=min_flows)
     if train.rows.count() < MIN_ROWS:
         raise ValueError(f"insufficient data for training (need at least {MIN_ROWS} flows)")
     scaler = Scaler.fit(train.rows)
@@ -57,14 +54,14 @@ def training_sequences(
 def discover_states(
     f: DataFrame,
     k: int = 0,
-    sample: int | None = 10_000,
+    sample: int | None = None,
     min_flows: int = 3,
     seed: int = 42,
 ) -> Discovery:
     """Find behaviour states, label every flow, and describe the states.
 
-    Training and scaling use about ``sample`` flows in whole destinations with
-    at least ``min_flows`` flows (``None``: all of them); only these are cached.
+    Training and scaling use the flows of destinations with at least
+    ``min_flows`` flows: all of them, or about ``sample`` in whole destinations.
     Decoding covers all flows.  ``k`` = 0 chooses the number of states.
     """
     features = materialize(flow_features(f), "features")

@@ -508,15 +508,14 @@ def bic(seqs: Sequences, models: dict[int, HmmModel]) -> dict[int, float]:
 
 
 def select_k(
-    seqs: Sequences, rows: int = 10_000, when_above: int = 15_000, seed: int = 42
+    seqs: Sequences, rows: int | None = None, seed: int = 42
 ) -> tuple[int, dict[int, float]]:
     """Number of states with the lowest criterion; two rises in a row end the search.
 
-    Short fits on a sample of whole sequences; all candidates share the passes.
+    Short fits on all rows, or on whole sequences of about ``rows`` if given; all
+    candidates share the passes.
     """
-    sample = seqs
-    if seqs.rows.count() > when_above:
-        sample = sample_sequences(seqs, rows, seed)
+    sample = seqs if rows is None else sample_sequences(seqs, rows, seed)
     # the start values are many small jobs: let a few run at a time
     with ThreadPool(4) as pool:
         run = inheritable_thread_target(seqs.rows.sparkSession)(lambda k: init_model(sample, k, seed))

@@ -6,8 +6,9 @@ import re
 
 from pyspark.sql import DataFrame
 
-# Row limits and refused words.
-DEFAULT_ROWS, MAX_ROWS = 1000, 10_000
+from flowlens.functions.sqlcheck import check_query
+
+# Refused words.
 FORBIDDEN = re.compile(
     r"\b(DROP|DELETE|INSERT|UPDATE|ALTER|CREATE|TRUNCATE|EXEC|EXECUTE)\b", re.IGNORECASE
 )
@@ -22,13 +23,21 @@ def is_read_only(text: str) -> bool:
 def query(flows: DataFrame, text: str, max_rows: int | None = None) -> DataFrame:
     """Run a SELECT over the view ``flows``.
 
-    The result is cut to ``max_rows``, never above 10 000.  By default a query
-    with its own LIMIT gets up to 10 000 rows and any other 1000.
+    All rows come back unless ``max_rows`` is given.  The parsed text may read
+    ``flows`` and its own common table expressions only, and run no programs; a
+    view of that name that the caller has is put back.
     """
     if not is_read_only(text):
         raise ValueError("only SELECT statements are allowed")
-    if max_rows is None:
-        limited = re.search(r"\bLIMIT\s+\d+", text, re.IGNORECASE)
-        max_rows = MAX_ROWS if limited else DEFAULT_ROWS
+    spark = flows.sparkSession
+    check_query(spark, text, ("flows",))
+    theirs = spark.table("flows") if spark.catalog.tableExists("flows") else None
     flows.createOrReplaceTempView("flows")
-    return flows.sparkSession.sql(text).limit(min(max_rows, MAX_ROWS))
+    try:
+        result = spark.sql(text)
+    finally:
+        if theirs is None:
+            spark.catalog.dropTempView("flows")
+        else:
+            theirs.createOrReplaceTempView("flows")
+    return result if max_rows is None else result.limit(max_rows)

@@ -103,12 +103,12 @@ def l7_table(spark: SparkSession) -> DataFrame:
 
 
 def label_text(col):
-    """Any label spelling (text, 0/1, boolean) as ``Attack`` / ``Benign``."""
+    """Known label spellings (text, 0/1, boolean) as ``Attack`` / ``Benign``; others stay, empty is NULL."""
     text = F.lower(F.trim(col.cast("string")))
     return (
         F.when(text.isin("attack", "1", "1.0", "true", "duplicate"), "Attack")
-        .when(text.isNull(), F.lit(None).cast("string"))
-        .otherwise("Benign")
+        .when(text.isin("benign", "normal", "0", "0.0", "false"), "Benign")
+        .when(text != "", F.trim(col.cast("string")))
     )
 
 

@@ -70,16 +70,32 @@ def _from_text(name: str, kind: T.DataType):
     return value.alias(name)
 
 
+#: A text no file holds: the CSV reader's mark for NULL, which by default is the empty text.
+NO_TEXT = "\u0001"
+
+
 def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """CSV with a header row, typed from the flow schema without a type-detection pass.
 
-    Only the header line is read up front; columns the schema does not know
-    stay text.
+    Only the header lines are read up front; columns the schema does not know
+    stay text.  Files are read by their own header and joined by column name; a
+    folder whose files differ in it is refused.  An empty text in quotes stays
+    one, an empty field is NULL.
     """
-    first = path if isinstance(path, str) else path[0]
-    header = spark.read.option("header", True).csv(first).columns
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for one in [path] if isinstance(path, str) else path:
+        by_header.setdefault(tuple(spark.read.option("header", True).csv(one).columns), []).append(one)
+    parts = [_read_csv_like(spark, paths, list(header)) for header, paths in by_header.items()]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
+
+
+def _read_csv_like(spark: SparkSession, paths: list[str], header: list[str]) -> DataFrame:
     text = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    raw = spark.read.option("header", True).schema(text).csv(path)
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("nullValue", NO_TEXT)
+    raw = reader.schema(text).csv(paths)
     standard = {original: std for std, original in detect_columns(header).items()}
     kinds = {n: FLOW_TYPES.get(standard.get(n, n), T.StringType()) for n in header}
     return raw.select(*[_from_text(n, kind) for n, kind in kinds.items()])

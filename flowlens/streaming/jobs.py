@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from flowlens.functions.columns import start_time, total_bytes
 from flowlens.schema import END, FLOW_ID, SRC, START, conform
-from flowlens.sources.readers import map_columns
+from flowlens.sources.readers import NO_TEXT, map_columns
 from flowlens.sources.writers import with_flow_date
 
 # Room for flow ids: batch number, then partition (ten bits), then row.
@@ -26,7 +26,7 @@ def stream_flows(
     """Flows from the files of a folder, new ones as they arrive."""
     reader = spark.readStream.schema(schema).format(format)
     if format == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("nullValue", NO_TEXT)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return conform(map_columns(reader.load(folder)), fill_missing=False)

@@ -24,13 +24,16 @@ def connect(sf_dir: str):
 
 
 def _value(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
-        return ""
+    """A value with its kind, so that NULL, empty text, NaN and numbers written as text all differ."""
+    if v is None:
+        return ("null", "")
     if isinstance(v, bool):
-        return str(v)
+        return ("bool", str(v))
     if isinstance(v, float):
-        return repr(v + 0.0)  # both sides are rounded already; -0.0 is 0.0
-    return str(v)
+        return ("float", "nan" if math.isnan(v) else repr(v + 0.0))  # both sides are rounded already; -0.0 is 0.0
+    if isinstance(v, int):
+        return ("int", str(v))
+    return (type(v).__name__, str(v))
 
 
 def _rows(columns, rows):

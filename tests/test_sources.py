@@ -19,6 +19,15 @@ def test_header_variants(headers):
     ]
 
 
+def test_files_with_other_column_order_and_empty_text(spark, tmp_path):
+    from flowlens.sources.readers import read_csv
+
+    (tmp_path / "a.csv").write_text('sa,da,ibyt,obyt,note\n1.1.1.1,2.2.2.2,10,20,""\n')
+    (tmp_path / "b.csv").write_text("obyt,ibyt,da,sa,note\n200,100,4.4.4.4,3.3.3.3,\n")
+    rows = read_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).orderBy("ibyt").collect()
+    assert [(r.sa, r.ibyt, r.obyt, r.note) for r in rows] == [("1.1.1.1", 10, 20, ""), ("3.3.3.3", 100, 200, None)]
+
+
 def test_first_alias_wins():
     assert readers.detect_columns(["source", "src_ip", "da"])["IPV4_SRC_ADDR"] == "src_ip"
 
