@@ -3,11 +3,12 @@
 Only suffixes that can matter are sorted.  Each window of ``LENGTH`` bytes is led by one of its grams (the one with
 the smallest hash, leftmost), so equal windows have equal leading grams at equal places; windows whose leading gram
 no other place has cannot repeat.  The leading grams are combined in fragments (see :mod:`fragments`); the suffixes
-with a repeated one are range-partitioned by splitters sampled from them.  In each bucket the windows are ordered by
-their bytes (through a 64-bit hash; equal hashes are compared byte by byte) and, if equal, by position; every window
-but the first of its kind is removed.  Chunks of documents are compared inside the map task first, so a passage in
-a third of all documents reaches its bucket as one window for each chunk; what is left of the commonest leading
-grams (windows over the edge of such a passage, each different) is dealt out window by window instead of by gram.
+with a repeated one are range-partitioned by splitters sampled from them.  In each bucket the windows are sorted by multikey
+quicksort, eight bytes at a time and only where the bytes before tie; of equal windows all but the first are removed.
+Equal windows have equal leading grams and splitters cut between grams, so none of them lie across a boundary.
+Chunks of documents are compared inside the map task first (by 64-bit hash, then byte by byte), so a passage in a
+third of all documents reaches its bucket as one window for each chunk; what is left of the commonest leading grams
+(windows over the edge of such a passage, each different) is dealt out window by window instead of by gram.
 """
 
 from __future__ import annotations
@@ -110,6 +111,46 @@ def later_copies(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return later, hashes
 
 
+#: Where the characters of a window start: eight bytes each, the last one reaching back over the one before.
+_CHARACTERS = (*range(0, LENGTH - 8, 8), LENGTH - 8)
+
+
+def multikey_copies(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which windows equal one listed before them.
+
+    Multikey quicksort over eight-byte characters, all ranges of one depth together: a range of ties is sorted by
+    its next character and falls into smaller ranges; single windows are done, and a range that shares its next
+    character moves on unsorted.
+    """
+    later = np.zeros(len(starts), bool)
+    order = np.arange(len(starts))
+    head = np.zeros(len(starts), np.int64)  # for each window still tied, where its range begins in ``order``
+    characters = np.ndarray(max(0, len(raw) - 7), "<u8", np.ascontiguousarray(raw), strides=(1,))
+    for depth in _CHARACTERS:
+        if not len(order):
+            break
+        value = characters[starts[order] + depth].byteswap()
+        mixed = np.zeros(len(order), bool)
+        mixed[head[value != value[head]]] = True
+        moved = np.flatnonzero(mixed[head])
+        if len(moved) == len(order) and not head.any():
+            by = np.argsort(value)
+        else:
+            by = np.lexsort((value[moved], head[moved]))
+        order[moved], value[moved] = order[moved][by], value[moved][by]
+        first = np.ones(len(order), bool)
+        first[1:] = (head[1:] != head[:-1]) | (value[1:] != value[:-1])
+        begin = np.flatnonzero(first)
+        count = np.diff(np.append(begin, len(order)))
+        tied = np.repeat(count > 1, count)
+        order, count = order[tied], count[count > 1]
+        head = np.repeat(np.cumsum(count) - count, count)
+    if len(order):
+        later[order] = True
+        later[np.minimum.reduceat(order, np.unique(head))] = False
+    return later
+
+
 _META = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("sent", "u1"), ("offset", "<i8"), ("n", "<i8"), ("sha", "V32")])
 
 
@@ -335,7 +376,7 @@ def _bucket(key, group: pd.DataFrame) -> pd.DataFrame:
         raw = raw[np.repeat(at[order] - new, size) + np.arange(len(raw))]
         e = e[order]
         owner, step = _expand(e)
-        later, _ = later_copies(raw, new[owner] + step)
+        later = multikey_copies(raw, new[owner] + step)
         out += _spans(e["uid"][owner[later]], (e["start"][owner] + step)[later])
     windows = [np.frombuffer(p, _ROW) for p in group[group.kind == WINDOWS].payload]
     if windows:

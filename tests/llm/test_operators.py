@@ -213,3 +213,17 @@ def test_salvage(spark, tmp_path, compress):
     gaps = [(r.start, r.end) for r in read if r.kind == "gap"]
     assert gaps == [(victim.start, victim.end)]
     assert {r.record_id for r in read if r.kind == "record"} == {r.record_id for r in whole} - {victim.record_id}
+
+
+def test_multikey_sort_finds_every_later_window():
+    rng = np.random.default_rng(8)
+    for letters, copies in ((1, 1), (2, 3), (3, 1), (4, 6)):
+        raw = np.tile(rng.integers(97, 97 + letters, 700).astype(np.uint8), copies)
+        starts = np.flatnonzero(rng.random(len(raw) - 99) < 0.6)
+        seen, want = set(), []
+        for i in starts:
+            window = raw[i : i + 100].tobytes()
+            want.append(window in seen)
+            seen.add(window)
+        assert suffix_dedup.multikey_copies(raw, starts).tolist() == want
+    assert not len(suffix_dedup.multikey_copies(np.empty(0, np.uint8), np.empty(0, np.int64)))
