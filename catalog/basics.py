@@ -467,19 +467,27 @@ def _(spark, sf):
 
 
 TUPLE = "IPV4_SRC_ADDR, L4_SRC_PORT, IPV4_DST_ADDR, L4_DST_PORT, PROTOCOL"
-DEDUP = f"""SELECT {TUPLE}, string_agg(DISTINCT Attack, ', ' ORDER BY Attack) AS Attack,
- min(FLOW_START_MILLISECONDS) AS FLOW_START_MILLISECONDS,
- max(FLOW_END_MILLISECONDS) AS FLOW_END_MILLISECONDS,
- CAST(sum(FLOW_DURATION_MILLISECONDS) AS BIGINT) AS FLOW_DURATION_MILLISECONDS,
- CAST(sum(IN_BYTES) AS BIGINT) AS IN_BYTES, CAST(sum(OUT_BYTES) AS BIGINT) AS OUT_BYTES,
- CAST(sum(IN_PKTS) AS BIGINT) AS IN_PKTS, CAST(sum(OUT_PKTS) AS BIGINT) AS OUT_PKTS,
- max(Label) AS Label, max(CONN_STATE) AS CONN_STATE, max(SERVICE) AS SERVICE,
- max(COMMUNITY_ID) AS COMMUNITY_ID, max(L7_PROTO) AS L7_PROTO, max(TCP_FLAGS) AS TCP_FLAGS,
- max(MIN_TTL) AS MIN_TTL, max(MAX_TTL) AS MAX_TTL,
- string_agg(DISTINCT MITRE_TACTIC, ', ' ORDER BY MITRE_TACTIC) AS MITRE_TACTIC,
- string_agg(DISTINCT MITRE_TECHNIQUE, ', ' ORDER BY MITRE_TECHNIQUE)
-  FILTER (WHERE MITRE_TECHNIQUE <> '') AS MITRE_TECHNIQUE,
- coalesce(bool_or(Label = 'Attack'), FALSE) AS any_attack FROM flows GROUP BY {TUPLE}"""
+
+
+def _texts_of_tuple(column, where):
+    return f"""(SELECT nr, array_to_string(list(v ORDER BY v), ', ') AS {column}
+ FROM (SELECT DISTINCT nr, {column} AS v FROM numbered WHERE {where}) GROUP BY nr)"""
+
+
+# Tuples are numbered (NULL is a value there), and each list is joined on from its own distinct rows.
+DEDUP = f"""SELECT * EXCLUDE (nr) FROM (
+ WITH numbered AS (SELECT *, dense_rank() OVER (ORDER BY {TUPLE}) AS nr FROM flows),
+ spans AS (SELECT nr, {TUPLE}, min(FLOW_START_MILLISECONDS) AS FLOW_START_MILLISECONDS,
+  max(FLOW_END_MILLISECONDS) AS FLOW_END_MILLISECONDS,
+  count(*) FILTER (WHERE Label = 'Attack') > 0 AS any_attack FROM numbered GROUP BY ALL),
+ sums AS (SELECT nr, CAST(sum(COLUMNS('^(FLOW_DURATION_MILLISECONDS|(IN|OUT)_(BYTES|PKTS))$')) AS BIGINT) AS '\\0'
+  FROM numbered GROUP BY nr),
+ peaks AS (SELECT nr, max(COLUMNS('^(Label|CONN_STATE|SERVICE|COMMUNITY_ID|L7_PROTO|TCP_FLAGS|M(IN|AX)_TTL)$')) AS '\\0'
+  FROM numbered GROUP BY nr)
+ SELECT * FROM spans JOIN sums USING (nr) JOIN peaks USING (nr)
+ LEFT JOIN {_texts_of_tuple("Attack", "v IS NOT NULL")} USING (nr)
+ LEFT JOIN {_texts_of_tuple("MITRE_TACTIC", "v IS NOT NULL")} USING (nr)
+ LEFT JOIN {_texts_of_tuple("MITRE_TECHNIQUE", "v <> ''")} USING (nr))"""
 
 
 @check("A10_dedup_flows", DEDUP)

@@ -37,15 +37,17 @@ def joined_set(column: Column | str, separator: str = ", ") -> Column:
 
 
 def smallest_distinct(
-    df: DataFrame, keys: list[str], column: str, n: int, alias: str
+    df: DataFrame, keys: list[str], column: str, n: int | None, alias: str
 ) -> DataFrame:
-    """Per key, the ``n`` smallest distinct values of ``column`` as an array.
+    """Per key, the ``n`` smallest distinct values of ``column`` (None: all) as a sorted array.
 
     Duplicates go first (a map-side aggregate), then each task keeps at most
     ``n`` rows per key before the shuffle (window group limit), so a key with
     millions of values never meets in one task.
     """
     distinct = df.where(F.col(column).isNotNull()).select(*keys, column).distinct()
+    if n is None:
+        return distinct.groupBy(*keys).agg(F.sort_array(F.collect_list(column)).alias(alias))
     w = Window.partitionBy(*keys).orderBy(column)
     return (
         distinct.withColumn("_rank", F.row_number().over(w))

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from flowlens.schema import FLOW_ID, START
 
 SLICE = "_slice"
-GRID = 4096  # most slices ever made
 ROWS_PER_SLICE = 4_000_000
 
 
@@ -69,7 +68,7 @@ def time_slices(
         spark = df.sparkSession
         busy = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
         min_slices = min(busy, max(spark.sparkContext.defaultParallelism, n // 10_000))
-    count = max(1, min(GRID, max(min_slices, -(-n // rows_per_slice))))
+    count = max(1, min_slices, -(-n // rows_per_slice))
     cuts = [i / count for i in range(1, count)]
     if not cuts:
         return TimeSlices()

@@ -44,7 +44,16 @@ def upper_medians(df: DataFrame, columns: list[str], exact_rows: int = EXACT_ROW
     counts = df.agg(*[F.count(c) for c in columns]).first()
     if max(counts) <= exact_rows:
         return list(df.agg(*exact).first())
-    around = [0.5 - 4 / SKETCH, 0.5 + 4 / SKETCH]
+    for width in (4, 64, 1024, SKETCH):  # wider where a bracket missed the middle
+        values = _middles(df, columns, counts, min(0.5, width / SKETCH))
+        if len(values) == len(columns):
+            break
+    return [values.get(i) for i in range(len(columns))]
+
+
+def _middles(df: DataFrame, columns: list[str], counts, width: float) -> dict[int, float]:
+    """The middle values by column number, where they lie within ``width`` of the sketched median."""
+    around = [0.5 - width, 0.5 + width]
     brackets = df.agg(*[F.percentile_approx(c, around, SKETCH) for c in columns]).first()
     below = df.agg(
         *[F.count_if(F.col(c) < b[0]) for c, b in zip(columns, brackets)]
@@ -73,10 +82,7 @@ def upper_medians(df: DataFrame, columns: list[str], exact_rows: int = EXACT_ROW
         .where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
         .collect()  # one row per column
     )
-    values = {r.i: r.v for r in found}
-    if len(values) < len(columns):  # a bracket missed the middle
-        return list(df.agg(*exact).first())
-    return [values[i] for i in range(len(columns))]
+    return {r.i: r.v for r in found}
 
 
 def anomaly_scores(

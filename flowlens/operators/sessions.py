@@ -21,7 +21,6 @@ from flowlens.sources.writers import state_tactics
 
 MINUTE_MS = 60_000
 BROADCAST_SESSIONS = 10_000  # a session list cut to this size may be broadcast
-MAX_TARGETS, MAX_PORTS, MAX_PHASE_TARGETS = 10, 20, 5
 
 
 def _sessions(
@@ -32,6 +31,8 @@ def _sessions(
     techniques: Column,
     id_infix: str,
     targets: bool,
+    max_targets: int | None,
+    max_ports: int | None,
 ) -> DataFrame:
     """Sessions of ``rows`` (which carry ``_tactic``) per source and time bucket.
 
@@ -70,8 +71,8 @@ def _sessions(
             wanted = F.broadcast(wanted) if limit <= BROADCAST_SESSIONS else wanted
             members = members.join(wanted, key, "left_semi")
         for column, n, alias, kind in (
-            (DST, MAX_TARGETS, "target_ips", "string"),
-            ("L4_DST_PORT", MAX_PORTS, "target_ports", "bigint"),
+            (DST, max_targets, "target_ips", "string"),
+            ("L4_DST_PORT", max_ports, "target_ports", "bigint"),
         ):
             found = found.join(smallest_distinct(members, key, column, n, alias), key, "left")
             listed.append(F.coalesce(alias, F.array().cast(f"array<{kind}>")).alias(alias))
@@ -95,17 +96,20 @@ def attack_sessions(
     min_tactics: int = 2,
     limit: int | None = 50,
     targets: bool = True,
+    max_targets: int | None = None,
+    max_ports: int | None = None,
 ) -> DataFrame:
     """Sources that show several tactics inside one time bucket, newest first.
 
     ``targets=False`` leaves out the target lists, where only the spans matter.
+    Targets and ports are listed in full unless ``max_targets`` or ``max_ports`` cuts them.
     With targets and a limit, the few sessions are found (one job) when called.
     """
     rows = f.where((F.col("Label") == "Attack") & (F.col("MITRE_TACTIC") != "")).withColumn(
         "_tactic", F.col("MITRE_TACTIC")
     )
     technique = sorted_set(F.when(F.col("MITRE_TECHNIQUE") != "", F.col("MITRE_TECHNIQUE")))
-    return _sessions(rows, window, min_tactics, limit, technique, "-", targets)
+    return _sessions(rows, window, min_tactics, limit, technique, "-", targets, max_targets, max_ports)
 
 
 def state_sessions(
@@ -115,6 +119,8 @@ def state_sessions(
     min_tactics: int = 2,
     limit: int | None = 50,
     targets: bool = True,
+    max_targets: int | None = None,
+    max_ports: int | None = None,
 ) -> DataFrame:
     """Sessions read off the discovered states instead of the labels."""
     names = state_tactics(f.sparkSession, tactics)
@@ -124,7 +130,7 @@ def state_sessions(
         .withColumn("_tactic", F.coalesce("tactic", F.lit("Unknown")))
     )
     no_techniques = F.first(F.array().cast("array<string>"))
-    return _sessions(rows, window, min_tactics, limit, no_techniques, "-hmm-", targets)
+    return _sessions(rows, window, min_tactics, limit, no_techniques, "-hmm-", targets, max_targets, max_ports)
 
 
 def _phase_aggregates():
@@ -136,8 +142,8 @@ def _phase_aggregates():
     ]
 
 
-def _phases(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Phase rows by ``key`` + tactic + technique, with at most five targets."""
+def _phases(rows: DataFrame, key: list[str], max_targets: int | None) -> DataFrame:
+    """Phase rows by ``key`` + tactic + technique with their targets (None: all of them)."""
     rows = rows.select(
         *key,
         F.col("MITRE_TACTIC").alias("tactic"),
@@ -146,18 +152,20 @@ def _phases(rows: DataFrame, key: list[str]) -> DataFrame:
         START, END, DST, "IN_BYTES", "OUT_BYTES",
     )
     phase = [*key, "tactic", "technique"]
-    targets = smallest_distinct(rows, phase, DST, MAX_PHASE_TARGETS, "target_ips")
+    targets = smallest_distinct(rows, phase, DST, max_targets, "target_ips")
     found = rows.groupBy(*phase).agg(*_phase_aggregates()).join(targets, phase, "left")
     return found.withColumn("technique", F.nullif("technique", F.lit("\u0000"))).withColumn(
         "target_ips", F.coalesce("target_ips", F.array().cast("array<string>"))
     )
 
 
-def kill_chain_phases(f: DataFrame, src_ip: str, start: int, end: int) -> DataFrame:
+def kill_chain_phases(
+    f: DataFrame, src_ip: str, start: int, end: int, max_targets: int | None = None
+) -> DataFrame:
     """Tactic / technique steps of one source in a time span, in order."""
     rows = session_flows(f, src_ip, start, end).where(F.col("MITRE_TACTIC") != "")
     rows = rows.withColumn("src_ip", F.col(SRC)).withColumn("session_id", F.col(SRC))
-    return _phases(rows, ["session_id", "src_ip"]).orderBy("phase_start", "tactic", "technique")
+    return _phases(rows, ["session_id", "src_ip"], max_targets).orderBy("phase_start", "tactic", "technique")
 
 
 def flows_in_sessions(
@@ -192,12 +200,16 @@ def flows_in_sessions(
 
 
 def kill_chain_phases_all(
-    f: DataFrame, sessions: DataFrame, window: int = 30, salt: int = 8
+    f: DataFrame,
+    sessions: DataFrame,
+    window: int = 30,
+    salt: int = 8,
+    max_targets: int | None = None,
 ) -> DataFrame:
     """:func:`kill_chain_phases` for every session of a list in one job."""
     rows = flows_in_sessions(f.where(F.col("MITRE_TACTIC") != ""), sessions, window, salt)
     rows = rows.withColumn("src_ip", F.col(SRC))
-    return _phases(rows, ["session_id", "src_ip"])
+    return _phases(rows, ["session_id", "src_ip"], max_targets)
 
 
 def with_ordered_tactics(sessions: DataFrame) -> DataFrame:

@@ -28,14 +28,13 @@ def stratified_sample(
     keyed = f.withColumn("_hash", _key(seed)).withColumn(
         "_bin", (F.shiftright("_hash", 50) + F.lit(BINS // 2)).cast("int")
     )
+    total = max(1, f.count())
     bins = keyed.groupBy(by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(by)
-    everything = Window.partitionBy()
     cuts = (
         bins.withColumn("_size", F.sum("_n").over(group))
         .withColumn("_before", F.sum("_n").over(group.orderBy("_bin")) - F.col("_n"))
-        .withColumn("_total", F.sum("_n").over(everything))
-        .withColumn("_quota", F.least("_size", F.floor(target * F.col("_size") / F.col("_total"))))
+        .withColumn("_quota", F.least("_size", F.floor(target * F.col("_size") / F.lit(total))))
         .where(F.col("_before") < F.col("_quota"))
         .groupBy(F.col(by).alias("_by"))
         .agg(
@@ -60,7 +59,10 @@ def stratified_sample(
 def fast_stratified_sample(
     f: DataFrame, by: str = "Attack", target: int = 200_000, seed: int = 42
 ) -> DataFrame:
-    """Expected sizes instead of exact ones; no shuffle of the flows."""
+    """Expected sizes instead of exact ones; no shuffle of the flows.
+
+    The expected share ``target / total`` is the same in every group, so ``by`` changes nothing here.
+    """
     total = f.count()
     share = min(1.0, target / total) if total else 0.0
     return f.where(F.pmod(_key(seed), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))

@@ -5,9 +5,9 @@ import pytest
 from flowlens.operators import scoring, states
 
 BASE = dict(
-    state_id=0, flow_count=100, avg_in_bytes=1000.0, avg_out_bytes=500.0, bytes_ratio=2.0,
-    avg_duration_ms=5000.0, avg_pkts_per_sec=10.0, tcp_pct=0.8, udp_pct=0.15, icmp_pct=0.05,
-    well_known_pct=0.5, registered_pct=0.3, ephemeral_pct=0.2,
+    state_id=0, flow_count=260, avg_in_bytes=1400.0, avg_out_bytes=900.0, bytes_ratio=1.5,
+    avg_duration_ms=3200.0, avg_pkts_per_sec=14.0, tcp_pct=0.7, udp_pct=0.2, icmp_pct=0.1,
+    well_known_pct=0.45, registered_pct=0.35, ephemeral_pct=0.2,
 )
 OPTIONAL = ("conn_complete_pct", "no_reply_pct", "rejected_pct", "avg_bytes_per_pkt",
             "avg_inter_flow_gap_ms")
@@ -79,8 +79,8 @@ def test_narrowed_median_is_exact(spark):
 
 
 @pytest.mark.parametrize("change, tactic, confidence", [
-    (dict(no_reply_pct=0.5, avg_duration_ms=50.0, avg_in_bytes=100.0, avg_out_bytes=80.0), "Reconnaissance", 0.7),
-    (dict(rejected_pct=0.2, avg_duration_ms=30.0, avg_in_bytes=50.0, avg_out_bytes=50.0),
+    (dict(no_reply_pct=0.41, avg_duration_ms=72.0, avg_in_bytes=150.0, avg_out_bytes=130.0), "Reconnaissance", 0.7),
+    (dict(rejected_pct=0.26, avg_duration_ms=64.0, avg_in_bytes=90.0, avg_out_bytes=75.0),
      "Reconnaissance", 0.6),
     (dict(tcp_pct=0.95, avg_bytes_per_pkt=80.0, avg_in_bytes=300.0, avg_out_bytes=300.0,
           avg_inter_flow_gap_ms=60000.0, conn_complete_pct=0.75, bytes_ratio=6.0, well_known_pct=0.1),
@@ -165,7 +165,7 @@ def test_description(profiles, change, text):
 
 
 def test_compare_and_rank(profiles, spark):
-    df = profiles({}, {"avg_in_bytes": 1500.0, "avg_bytes_per_pkt": 5.0, "flow_count": 10},
+    df = profiles({}, {"avg_in_bytes": 2100.0, "avg_bytes_per_pkt": 5.0, "flow_count": 10},
                   {"avg_in_bytes": 0.0, "flow_count": 500})
     row = states.compare_profiles(df, 0, 1).first()
     assert row.avg_in_bytes_delta == 50.0 and row.avg_bytes_per_pkt_delta is None
