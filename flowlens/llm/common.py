@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import struct
 from collections.abc import Iterator
@@ -33,6 +34,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release_memory() -> None:
+    """At the end of a task: give freed memory back, as idle workers share an executor with busy ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Join batches into larger ones of about ``most`` bytes of text, never more than one document over."""
     held: list[pa.RecordBatch] = []

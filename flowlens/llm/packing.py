@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from flowlens.llm.common import pack_ids, prepare, split_at_spaces, text_of
+from flowlens.llm.common import pack_ids, prepare, release_memory, split_at_spaces, text_of
 from flowlens.session import materialize
 
 LENGTH = 1024
 END = 2
 #: Pieces that one packing partition is made for, partitions that join in a pool, rounds of exchange.
 PART_ITEMS, FAN_IN, ROUNDS = 4096, 8, 4
-#: Distinct words a worker remembers with their ids.
+#: Distinct words a task remembers with their ids.
 REMEMBERED = 400_000
 
 _encoders: dict[str, "_Encoder"] = {}
@@ -36,7 +36,7 @@ class _Encoder:
     """Text to packed ids with the vocabulary of a ``tokenizers`` byte-level BPE file.
 
     The merges run in tiktoken over the same vocabulary and ranks (same ids, several times as fast); words are
-    remembered with their ids, up to ``REMEMBERED`` of them.
+    remembered with their ids for the time of a task, up to ``REMEMBERED`` of them.
     """
 
     def __init__(self, path: str):
@@ -102,6 +102,8 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, wit
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(names), kinds)], names=names
             )
+        encoder(path).known = {}
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text")).mapInArrow(run, schema)
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowlens.llm.common import prepare, text_of
+from flowlens.llm.common import prepare, release_memory, text_of
 
 #: At most so many labelled rows are used to fit the trees.
 SAMPLE_ROWS = 20_000
@@ -129,6 +129,7 @@ def _stats_batches(batches):
         yield pa.RecordBatch.from_arrays(
             [batch.column("y"), pa.array(flat, pa.list_(pa.float64()))], names=["y", "x"]
         )
+    release_memory()
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
@@ -156,6 +157,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             x = np.array([statistics(t) for t in batch.column("text").to_pylist()], np.float64)
             values = walk(shared.value, x.reshape(batch.num_rows, N_FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], names=["doc_id", "score"])
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(
         run, "doc_id long, score double"
@@ -190,5 +192,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
             texts = [t or "" for t in batch.column(at).to_pylist()]
             x = np.array([statistics(t) for t in texts], np.float64).reshape(len(texts), N_FEATURES)
             yield batch.filter(pa.array(walk(shared.value, x) >= least))
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
