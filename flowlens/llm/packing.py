@@ -19,24 +19,21 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from flowlens.llm.common import pack_ids, prepare, release_memory, split_at_spaces, text_of
+from flowlens.llm.common import pack_ids, prepare, release_memory, text_of
 from flowlens.session import materialize
 
 LENGTH = 1024
 END = 2
 #: Pieces that one packing partition is made for, partitions that join in a pool, rounds of exchange.
 PART_ITEMS, FAN_IN, ROUNDS = 4096, 8, 4
-#: Distinct words a task remembers with their ids.
-REMEMBERED = 400_000
-
 _encoders: dict[str, "_Encoder"] = {}
 
 
 class _Encoder:
     """Text to packed ids with the vocabulary of a ``tokenizers`` byte-level BPE file.
 
-    The merges run in tiktoken over the same vocabulary and ranks (same ids, several times as fast); words are
-    remembered with their ids for the time of a task, up to ``REMEMBERED`` of them.
+    The merges run in tiktoken over the same vocabulary and ranks (same ids, several times as fast).  Words are
+    not remembered: most words of a task's texts occur there once or twice.
     """
 
     def __init__(self, path: str):
@@ -50,20 +47,9 @@ class _Encoder:
         letters |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
         ranks = {bytes(map(letters.__getitem__, w)): i for w, i in vocabulary.items() if not w.startswith("<|")}
         self.encode = tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, bytes] = {}
 
     def packed(self, text: str) -> bytes:
-        words = split_at_spaces(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known, encode = self.known, self.encode
-        for word in set(words).difference(known):
-            known[word] = pack_ids(encode(word))
-        return b"".join(map(known.__getitem__, words))
+        return np.array(self.encode(text), "<u4").tobytes()
 
 
 def encoder(path: str) -> _Encoder:
@@ -102,7 +88,6 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, wit
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(names), kinds)], names=names
             )
-        encoder(path).known = {}
         release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), text_of("text").alias("text")).mapInArrow(run, schema)
