@@ -63,8 +63,8 @@ def _scan(batches):
     for batch in batches:
         found = [[dict(zip(names, c)) for c in candidates(t)] for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("repo"), batch.column("owner"), pa.array(found, kind)],
-            names=["doc_id", "repo", "owner", "found"],
+            [*(batch.column(n) for n in ("doc_id", "key", "repo", "owner")), pa.array(found, kind)],
+            names=["doc_id", "key", "repo", "owner", "found"],
         )
 
 
@@ -83,9 +83,9 @@ def value_counts(exploded: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, repo_col: str = "source", owner_col: str = "source") -> DataFrame:
-    """One row per input row: doc_id, row, spans (array of kind, start, end, live, n_repos, n_owners), in order.
+    """One row per input row: doc_id, row, key, spans (array of kind, start, end, live, n_repos, n_owners), in order.
 
-    ``row`` tells rows with the same id apart.  A null text is empty and has no spans.  Null repositories or
+    ``row`` tells rows with the same id apart, ``key`` is a hash of the text.  A null text is empty and has no spans.  Null repositories or
     owners count as one unknown repository or owner.  Repeated rows are rows.  Other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
@@ -93,8 +93,9 @@ def scan(docs: DataFrame, repo_col: str = "source", owner_col: str = "source") -
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col(f"`{repo_col}`").cast("string").alias("repo"),
         F.col(f"`{owner_col}`").cast("string").alias("owner"),
+        F.xxhash64(text_of("text")).alias("key"),
         text_of("text").alias("text"),
-    ).mapInArrow(_scan, f"doc_id long, repo string, owner string, found {CANDIDATES}")
+    ).mapInArrow(_scan, f"doc_id long, key long, repo string, owner string, found {CANDIDATES}")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "candidates")
     flat = rows.where(F.size("found") > 0).select("doc_id", "row", "repo", "owner", F.explode("found").alias("c"))
     flat = flat.select(
@@ -118,9 +119,13 @@ def scan(docs: DataFrame, repo_col: str = "source", owner_col: str = "source") -
         .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", "n_repos", "n_owners"))).alias("spans"))
     )
     empty = spans.schema["spans"].dataType.simpleString()
-    none = rows.where(F.size("found") == 0).select("doc_id", "row", F.expr(f"cast(array() as {empty})").alias("spans"))
-    bare = rows.where(F.size("found") > 0).select("doc_id", "row").join(spans.drop("doc_id"), "row", "left")
-    bare = bare.withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {empty})")))
+    none = rows.where(F.size("found") == 0).select(
+        "doc_id", "row", "key", F.expr(f"cast(array() as {empty})").alias("spans")
+    )
+    bare = rows.where(F.size("found") > 0).select("doc_id", "row", "key").join(spans.drop("doc_id"), "row", "left")
+    bare = bare.select(
+        "doc_id", "row", "key", F.coalesce("spans", F.expr(f"cast(array() as {empty})")).alias("spans")
+    )
     return none.unionByName(bare)
 
 
@@ -165,18 +170,19 @@ def _mask(text: str, spans: list) -> str:
 def mask_live(docs: DataFrame, repo_col: str = "source", owner_col: str = "source") -> DataFrame:
     """``docs`` with every live-looking span replaced by ``MASK`` and ``n_chars`` counted anew where text changed.
 
-    Widely copied examples stay.  All rows and columns stay.
+    Widely copied examples stay.  All rows and columns stay.  Spans belong to an id and a text, so rows that share
+    an id, or have none, are cut each by its own.
     """
     spark = prepare(docs.sparkSession)
+    cut = F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"))
     live = (
         scan(docs, repo_col, owner_col)
-        .select("doc_id", F.filter("spans", lambda s: s["live"]).alias("spans"))
-        .where(F.size("spans") > 0)
-        .groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end")))))).alias("__cut"))
+        .select("doc_id", "key", F.explode(F.filter("spans", lambda s: s["live"])).alias("s"))
+        .groupBy(F.col("doc_id").alias("__doc"), F.col("key").alias("__key")).agg(F.collect_set(cut).alias("__cut"))
     )
-    live = materialize(live.withColumnRenamed("doc_id", "__doc"), "live")
-    joined = docs.join(live, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    live = materialize(live, "live")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text_of("text")) == F.col("__key"))
+    joined = docs.join(live, same, "left").drop("__doc", "__key")
     at = {name: k for k, name in enumerate(docs.columns)}
 
     def run(batches):

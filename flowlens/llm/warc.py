@@ -76,9 +76,10 @@ def _writer(folder: str, compress: bool):
         def close() -> None:
             nonlocal held, size
             if held:
-                name = f"part-{part:06d}-{len(done):04d}{ending}"
-                # Written aside and moved, so a lost or repeated attempt leaves no half archive behind.
-                aside = f"{base}/.{name}.{attempt}"
+                # Written aside and moved, so a lost attempt leaves no half archive behind; named by the attempt,
+                # so one that is repeated never writes over archives that another one lists.
+                name = f"part-{part:06d}-{len(done):04d}-{attempt}{ending}"
+                aside = f"{base}/.{name}"
                 with store.open_output_stream(aside) as out:
                     out.write(b"".join(held))
                 store.move(aside, f"{base}/{name}")

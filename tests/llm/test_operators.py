@@ -104,6 +104,15 @@ def test_widely_copied_values_are_no_live_secrets(spark):
     assert all([s.live for s in r.spans] == [False, True] for r in made)
 
 
+def test_masks_belong_to_a_text_and_not_to_an_id_alone(spark):
+    texts = ['x password = "hunter22" y', "a long clean text without any secret in it", None]
+    rows = [(i, t, "s") for i in (None, 7) for t in texts]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((str(r.doc_id), str(r.text)) for r in secrets.mask_live(table.unionByName(table)).collect())
+    want = ['x [SECRET]" y', texts[1], "None"]
+    assert got == sorted((str(i), t) for i in (None, 7) for t in want for _ in range(2))
+
+
 def test_fingerprints(docs):
     edited = brute.edited(DOCS)
     got = {r.doc_id: r for r in winnowing.report(winnowing.fingerprints(docs)).collect()}
