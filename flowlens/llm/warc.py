@@ -80,7 +80,7 @@ def _writer(folder: str, compress: bool):
                 # so one that is repeated never writes over archives that another one lists.
                 name = f"part-{part:06d}-{len(done):04d}-{attempt}{ending}"
                 aside = f"{base}/.{name}"
-                with store.open_output_stream(aside) as out:
+                with store.open_output_stream(aside, compression=None) as out:  # records are compressed one by one
                     out.write(b"".join(held))
                 store.move(aside, f"{base}/{name}")
                 done.append((f"{folder}/{name}", size, len(held)))
