@@ -3,7 +3,8 @@
 Writing: one gzip member for each record; a payload that an earlier page has already is a revisit record.
 Reading: every record is checked (gzip checksum, version line, length, block digest, payload digest).  After a
 failed check the reader looks for the next gzip member that begins a record, or in plain archives the next
-version line, goes on from there, and reports the skipped bytes as a gap.
+version line, goes on from there, and reports the skipped bytes as a gap.  A member may hold many records: inside
+one the reader goes on at the next version line, also when the member is damaged or has no end.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ _HEAD_LIMIT = 1 << 16
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_LENGTH = re.compile("[0-9]{1,18}")
 
 
 class Damaged(Exception):
@@ -149,7 +151,7 @@ def _head(data: bytes, at: int) -> tuple[dict[str, str], int]:
         if not colon:
             raise Damaged("bad header line")
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not fields.get("content-length", "").isdigit() or "warc-type" not in fields or "warc-record-id" not in fields:
+    if not _LENGTH.fullmatch(fields.get("content-length", "")) or "warc-type" not in fields or "warc-record-id" not in fields:
         raise Damaged("required header missing")
     return fields, end + 4
 
@@ -199,19 +201,38 @@ class _Source:
         return self.size
 
 
-def _member(source: _Source, at: int) -> tuple[bytes, int]:
-    """A whole gzip member and where it ends; its checksum is checked."""
+def _member(source: _Source, at: int) -> tuple[bytes, int | None, str]:
+    """The bytes of a gzip member, where it ends, and what is wrong with it; its checksum is checked.
+
+    Of a member that is wrong the end is not known, and the bytes are those that could be inflated.
+    """
     inflate, out, here = zlib.decompressobj(31), [], at
     while not inflate.eof:
         part = source.read(here, _STEP)
         if not part:
-            raise Damaged("member without end")
+            return b"".join(out), None, _CUT_OFF
         try:
             out.append(inflate.decompress(part))
         except zlib.error as e:
-            raise Damaged(f"gzip: {str(e)[:60]}") from None
+            return b"".join(out) + _before_error(source, at, here), None, f"gzip: {str(e)[:60]}"
         here += len(part)
-    return b"".join(out), here - len(inflate.unused_data)
+    return b"".join(out), here - len(inflate.unused_data), ""
+
+
+_CUT_OFF = "member without end"
+
+
+def _before_error(source: _Source, at: int, here: int) -> bytes:
+    """What the part at ``here``, which cannot be inflated whole, gives before its error."""
+    inflate, out = zlib.decompressobj(31), []
+    for k in range(at, here, _STEP):
+        inflate.decompress(source.read(k, _STEP))
+    try:
+        for byte in source.read(here, _STEP):
+            out.append(inflate.decompress(bytes((byte,))))
+    except zlib.error:
+        pass
+    return b"".join(out)
 
 
 def _begins_record(source: _Source, at: int) -> bool:
@@ -221,17 +242,57 @@ def _begins_record(source: _Source, at: int) -> bool:
         return False
 
 
-def _gz_records(source: _Source, at: int):
-    data, end = _member(source, at)
-    found, k = [], 0
+def _inside(data: bytes, sure: bool) -> list[tuple]:
+    """(fields, payload, "") and (None, None, what was skipped) in the order of a member's bytes.
+
+    ``sure``: nothing says that the bytes are not those written; else records without a digest of ours are skipped.
+    """
+    found, k, gap, reason = [], 0, None, ""
+
+    def skipped():
+        return None, None, f"{reason}, bytes {gap} to {k} of the member"
+
     while k < len(data):
-        fields, start = _head(data, k)
-        stop = start + int(fields["content-length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise Damaged("record length")
-        found.append((fields, _checked(fields, data[start:stop])))
-        k = stop + 4
-    return found, end
+        past = None
+        try:
+            fields, start = _head(data, k)
+            stop = start + int(fields["content-length"])
+            if data[stop : stop + 4] != b"\r\n\r\n":
+                raise Damaged("record length")
+            past = stop + 4
+            payload = _checked(fields, data[start:stop])
+            if not sure and not fields.get("warc-block-digest", "").startswith("sha256:"):
+                raise Damaged("no digest in a damaged member")
+        except Damaged as e:
+            gap, reason = (k, str(e)) if gap is None else (gap, reason)
+            if past is None or past < len(data) and not _VERSION.match(data, past):
+                version = _VERSION.search(data, k + 1)
+                past = version.start() if version else len(data)
+            k = past
+            continue
+        if gap is not None:
+            found.append(skipped())
+            gap = None
+        found.append((fields, payload, ""))
+        k = past
+    if gap is not None:
+        found.append(skipped())
+    return found
+
+
+def _gz_records(source: _Source, at: int):
+    """What a member holds, as of :func:`_inside`, and where the next one begins."""
+    data, end, wrong = _member(source, at)
+    found = _inside(data, wrong in ("", _CUT_OFF))
+    gaps = [x[2] for x in found if x[0] is None]
+    # Where the checksum of a single record fails, the damage is in that record.
+    if len(gaps) == len(found) and (found or wrong) or len(found) == 1 and wrong not in ("", _CUT_OFF):
+        raise Damaged(wrong or gaps[0].partition(",")[0])
+    if wrong and not gaps:
+        found.append((None, None, wrong))
+    elif wrong:
+        found = [(f, p, f"{wrong}, {skipped}" if f is None else "") for f, p, skipped in found]
+    return found, _next_begin(source, at + 1, True) if end is None else end
 
 
 def _plain_record(source: _Source, at: int):
@@ -242,29 +303,41 @@ def _plain_record(source: _Source, at: int):
     data = source.read(at + start, length + 4)
     if data[length:] != b"\r\n\r\n":
         raise Damaged("record length")
-    return [(fields, _checked(fields, data[:length]))], at + start + length + 4
+    return [(fields, _checked(fields, data[:length]), "")], at + start + length + 4
+
+
+def _next_begin(source: _Source, at: int, compressed: bool) -> int:
+    """Where a record may begin, or the size."""
+    while at < source.size:
+        at = source.find(_MAGIC if compressed else b"WARC/1.", at)
+        if at >= source.size or not compressed or _begins_record(source, at):
+            break
+        at += 1
+    return at
 
 
 def read_records(source: _Source, compressed: bool) -> Iterator[tuple]:
-    """("record", start, end, fields, payload) and ("gap", start, end, reason, None), in the order of the bytes."""
+    """("record", start, end, fields, payload) and ("gap", start, end, reason, None), in the order of the bytes.
+
+    A gap inside a gzip member has the start and end of the member, as its records have, and names the skipped
+    part of the inflated bytes in its reason.
+    """
     at, gap, reason = 0, None, ""
     while at < source.size:
         try:
             found, end = _gz_records(source, at) if compressed else _plain_record(source, at)
         except Damaged as e:
             gap, reason = (at, str(e)) if gap is None else (gap, reason)
-            at += 1
-            while at < source.size:
-                at = source.find(_MAGIC if compressed else b"WARC/1.", at)
-                if at >= source.size or not compressed or _begins_record(source, at):
-                    break
-                at += 1
+            at = _next_begin(source, at + 1, compressed)
             continue
         if gap is not None:
             yield "gap", gap, at, reason, None
             gap = None
-        for fields, payload in found:
-            yield "record", at, end, fields, payload
+        for fields, payload, skipped in found:
+            if fields is None:
+                yield "gap", at, end, skipped, None
+            else:
+                yield "record", at, end, fields, payload
         at = end
     if gap is not None:
         yield "gap", gap, source.size, reason, None
@@ -310,8 +383,9 @@ def _reader(batches):
 def read_archives(archives: DataFrame, tasks: int | None = None) -> DataFrame:
     """Records and gaps of the archives in column ``path``; rows of kind ``record`` or ``gap``.
 
-    Gaps name the first and the end byte that were skipped and the check that failed.  Records before and
-    after a gap are whole.  A record without payload (revisit) has null there.  An empty archive gives no rows.
+    Gaps name the first and the end byte that were skipped and the check that failed; one inside a gzip member has
+    the member's first and end byte, and the skipped part in its reason.  Records before and after a gap are whole.
+    Where a member of several records fails its checksum, those whose block digest holds are given out.  A record without payload (revisit) has null there.  An empty archive gives no rows.
     """
     spark = prepare(archives.sparkSession)
     tasks = tasks or 4 * spark.sparkContext.defaultParallelism

@@ -224,6 +224,41 @@ def test_salvage(spark, tmp_path, compress):
     assert {r.record_id for r in read if r.kind == "record"} == {r.record_id for r in whole} - {victim.record_id}
 
 
+def _one_member(tmp_path, name, records, cut=0, change=None):
+    import gzip
+
+    data = gzip.compress(b"".join(records), 6)
+    data = bytearray(data[: len(data) - cut])
+    if change is not None:
+        data[change] ^= 0xFF
+    (tmp_path / name).write_bytes(bytes(data))
+    source = warc._Source(open(tmp_path / name, "rb"), len(data))
+    read = list(warc.read_records(source, True))
+    assert all(x[1:3] == (0, len(data)) for x in read)
+    return [x[3]["warc-record-id"] for x in read if x[0] == "record"], [x[3] for x in read if x[0] == "gap"]
+
+
+def _records(n):
+    # Random text, so that every record takes bytes of its own in the member.
+    pages = [np.random.default_rng(k).bytes(3000).hex().encode() for k in range(n)]
+    return [warc.record(k, f"http://h/{k}", p, brute.sha(p), None) for k, p in enumerate(pages)]
+
+
+def test_salvage_inside_a_member(tmp_path):
+    made, names = _records(9), [f"<urn:page:{k}>" for k in range(9)]
+    at = len(b"".join(made[:4]))
+    for bad in (made[4][:-9] + b"?" + made[4][-8:], made[4][:-500], made[4].replace(b"WARC/1.1", b"WARC/?.1")):
+        got, gaps = _one_member(tmp_path, "bad.warc.gz", [*made[:4], bad, *made[5:]])
+        assert got == names[:4] + names[5:] and len(gaps) == 1
+        assert gaps[0].endswith(f"bytes {at} to {at + len(bad)} of the member")
+    got, gaps = _one_member(tmp_path, "cut.warc.gz", made, cut=2000)
+    assert got == names[:8] and len(gaps) == 1 and gaps[0].startswith("member without end")
+    got, gaps = _one_member(tmp_path, "end.warc.gz", made, cut=4)
+    assert got == names and gaps == ["member without end"]
+    got, gaps = _one_member(tmp_path, "flip.warc.gz", made, change=16_000)
+    assert got[:4] == names[:4] and len(gaps) == 1 and gaps[0].startswith("gzip: ")
+
+
 def test_multikey_sort_finds_every_later_window():
     rng = np.random.default_rng(8)
     for letters, copies in ((1, 1), (2, 3), (3, 1), (4, 6)):
