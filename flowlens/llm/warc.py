@@ -27,7 +27,7 @@ LEAST_SHARED = 100
 #: An archive is closed when it reaches this many bytes.
 ARCHIVE_BYTES = 16 << 20
 _STEP = 1 << 18
-_HEAD_LIMIT = 1 << 16
+_HEAD_STEP = 1 << 16
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -142,7 +142,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, compress: bool =
 def _head(data: bytes, at: int) -> tuple[dict[str, str], int]:
     if not _VERSION.match(data, at):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", at, at + _HEAD_LIMIT)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise Damaged("header without end")
     fields = {}
@@ -296,7 +296,13 @@ def _gz_records(source: _Source, at: int):
 
 
 def _plain_record(source: _Source, at: int):
-    fields, start = _head(source.read(at, _HEAD_LIMIT), 0)
+    size = _HEAD_STEP
+    data = source.read(at, size)
+    # Headers have no greatest length; one that has a line without colon is none.
+    while b"\r\n\r\n" not in data and len(data) == size and all(b":" in x for x in data.split(b"\r\n")[1:-1]):
+        size *= 4
+        data = source.read(at, size)
+    fields, start = _head(data, 0)
     length = int(fields["content-length"])
     if at + start + length + 4 > source.size:
         raise Damaged("record length")

@@ -259,6 +259,16 @@ def test_salvage_inside_a_member(tmp_path):
     assert got[:4] == names[:4] and len(gaps) == 1 and gaps[0].startswith("gzip: ")
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_long_urls_are_read_back(spark, tmp_path, compress):
+    pages = [(k, "http://h/" + "u" * n, f"<p>{k}</p>" * 40) for k, n in enumerate((5, 70_000, 400_000, 9))]
+    files = warc.write_archives(
+        spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "w"), compress
+    )
+    read = warc.read_archives(files).collect()
+    assert {(r.kind, r.target_uri) for r in read} == {("record", p[1]) for p in pages} and len(read) == 4
+
+
 def test_multikey_sort_finds_every_later_window():
     rng = np.random.default_rng(8)
     for letters, copies in ((1, 1), (2, 3), (3, 1), (4, 6)):
