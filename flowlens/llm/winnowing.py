@@ -1,8 +1,10 @@
 """Document fingerprints by winnowing, in SQL functions only.
 
-Tokens are runs of up to ``TOKEN_CHARS`` non-space characters.  The hashes of all ``K`` successive tokens are
+Tokens are words: runs of up to ``TOKEN_CHARS`` non-space characters.  A longer run (minified code, base64) and the
+scripts written without spaces have every character as a token, so that grams start at each.  The hashes of all ``K`` successive tokens are
 rolled over the text; of every ``WINDOW`` successive hashes the smallest is chosen, of equal ones the rightmost.
-Positions are kept, so two texts that share ``K + WINDOW - 1`` successive tokens always share a fingerprint.
+Positions are kept, so two texts that share ``K + WINDOW - 1`` successive tokens always share a fingerprint, and so
+do two that share a passage of more than ``TOKEN_CHARS`` characters without spaces, wherever it stands in its run.
 """
 
 from __future__ import annotations
@@ -15,6 +17,11 @@ from flowlens.llm.common import partitions, prepare, text_of
 from flowlens.session import materialize
 
 K, WINDOW, TOKEN_CHARS = 5, 6, 16
+_UNSPACED = "".join(
+    rf"\p{{Is{script}}}" for script in "Han Hiragana Katakana Bopomofo Thai Lao Khmer Myanmar Tibetan".split()
+)
+_OF_WORD = rf"[^\s{_UNSPACED}]"
+TOKEN = rf"(?<!{_OF_WORD}){_OF_WORD}{{1,{TOKEN_CHARS}}}+(?!{_OF_WORD})|\S"
 #: Buckets of neighbouring documents to a shuffle partition, and at most in all (they are listed in the plan).
 BUCKETS, MOST_BUCKETS = 4, 20_000
 
@@ -55,7 +62,7 @@ def fingerprint(text: Column) -> Column:
     A text with fewer than ``K`` tokens has one hash, over all of them; fewer hashes than a window are one window.
     """
     tokens = F.transform(
-        F.regexp_extract_all(text, F.lit(rf"\S{{1,{TOKEN_CHARS}}}"), F.lit(0)), lambda t: F.xxhash64(t)
+        F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t)
     )
     return _let(
         tokens,

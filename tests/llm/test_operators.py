@@ -126,6 +126,22 @@ def test_fingerprints(docs):
     assert all(b - a <= winnowing.WINDOW for a, b in zip(places, places[1:])) and places == sorted(set(places))
 
 
+def test_passages_without_spaces_are_found_at_any_offset(spark):
+    rng = np.random.default_rng(6)
+    code = "".join(rng.choice(list("abcdefgh0123456789+/"), 400))
+    han = "".join(chr(0x4E00 + k) for k in rng.integers(0, 3000, 400))
+    wrapped = "\n".join(han[k : k + 11] for k in range(0, 400, 11))
+    passage = code[100:117]  # the shortest that is always found
+    texts = [
+        code, "x=" + code, code[:200] + "!" + code[200:], prose(7, 30), han, "字" + han, wrapped, prose(8, 30),
+        "q" * 23 + passage + "Q" * 40, passage + "Z" * 3,
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = [r.near_next for r in sorted(winnowing.report(winnowing.fingerprints(rows)).collect())]
+    assert min(near[0], near[1], near[4], near[5]) > 0.9 and near[8] > 0
+    assert max(near[2], near[3], near[6]) == 0
+
+
 def test_byte_bpe(docs):
     import tiktoken
     from public_tokenizers import PATTERN
