@@ -25,15 +25,27 @@ from flowlens.session import materialize
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|math|object|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(?!(?:noscript|template|iframe|textarea|select|title)\b[^>]*/>)"
+    r"(script|style|noscript|template|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>"
     r"|<[!?][^>]*(?:>|\Z)|</?[a-z][^<>]*\Z",
     re.S | re.I,
 )
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike"
-    " strong sub sup time tt u var wbr".split()
+    " strong sub sup time tt u var wbr"
+    # formulas stand in their line
+    " math annotation maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts"
+    " mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
+# Left out without a break of the line when they are self-closed.
+_EMPTY = frozenset("svg noscript template iframe textarea select title".split())
+# Start tags that end an svg which was not closed, as in browsers, and elements of it that may hold them.
+_ENDS_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta"
+    " nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+_HOLDS_HTML = frozenset("foreignobject desc title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that end with the next of their kind when they are not closed; they never enclose others here.
 _LEAF = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6".split())
@@ -70,6 +82,7 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
     held: list[str] = []
     marked = inside = False
     leaf_marked = False
+    svg: list[str] = []  # open elements of an svg, which is left out up to its end or that of its parent
 
     def flush() -> None:
         if held:
@@ -81,13 +94,31 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
 
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not svg:
             held.append(page[at : m.start()])
         at = m.end()
         tag = m[3]
         if tag is None:
             continue
         tag = tag.lower()
+        closed = not m[2] and m[4].rstrip().endswith("/")
+        if svg:
+            if m[2]:
+                if tag in svg:
+                    while svg.pop() != tag:
+                        pass
+                    continue
+                if tag not in _LEAF and tag not in _INLINE and not any(x[0] == tag for x in stack):
+                    continue
+            elif tag not in _ENDS_SVG or not _HOLDS_HTML.isdisjoint(svg):
+                if not closed and tag not in _VOID:
+                    svg.append(tag)
+                continue
+            svg.clear()
+        if tag == "svg" or closed and tag in _EMPTY:
+            if tag == "svg" and not closed and not m[2]:
+                svg.append(tag)
+            continue
         if tag in _INLINE:
             continue
         if tag == "br":
@@ -103,14 +134,14 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
         if not m[2]:
             if tag == "body":
                 stack = [x for x in stack if x[0] != "head"]
-            if not m[4].rstrip().endswith("/"):
+            if not closed:
                 stack.append((tag, _marked(tag, m[4], inside), tag in _MAIN))
         elif any(x[0] == tag for x in stack):
             while stack.pop()[0] != tag:
                 pass
         marked = any(x[1] for x in stack)
         inside = any(x[2] for x in stack)
-    if at < len(page):
+    if at < len(page) and not svg:
         held.append(page[at:])
     flush()
     return lines

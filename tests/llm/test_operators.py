@@ -210,6 +210,24 @@ def test_pages(spark):
     assert got == {**{k: f"T{k}\nOne & two three\nBody {k}" for k in range(5)}, 9: ""}
 
 
+def test_embedded_elements_take_no_text_of_the_article():
+    def text(page):
+        return [x for x, inside, marked in page_diff.page_lines(page) if inside and not marked]
+
+    three = ["One two", "Three"]
+    for mark in (
+        '<svg class="i"/>', "<svg><text>a</text><svg><g/></svg></svg>", "<svg><foreignObject><p>a</p></foreignObject></svg>",
+        "<math/>", "<iframe src='x' />", "<span><svg><path d='a'></span>", "<svg><title>a</title><g><text>a</g></svg>",
+    ):
+        assert text(f"<article><p>One {mark} two</p><p>Three</p></article>") == three, mark
+    assert text("<article><p>One <svg><path></p><p>Three</p></article><svg></svg>") == ["One", "Three"]
+    assert text("<article><div>One<svg><g></div>two</article><p>Three</p>") == ["One", "two"]
+    assert text("<article><p>One <math><mi>x</mi><mo>=</mo><mn>2</mn></math> two") == ["One x=2 two"]
+    assert text("<article><div><object data=a><param name=b>old</object></div><div><object>two</div>Three") == [
+        "old", "two", "Three",
+    ]
+
+
 def test_common_lines():
     rng = np.random.default_rng(3)
     for _ in range(60):
