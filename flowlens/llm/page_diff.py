@@ -1,7 +1,7 @@
 """Main text of web pages by differencing against the page with the nearest URL.
 
-Every page becomes text lines.  Pages are ordered by host and URL path; each is paired with the neighbour on its
-own host whose path shares the longer beginning.  The lines of a pair are aligned by longest common subsequence,
+Every page becomes text lines.  Pages are ordered by host and URL path; pages of one host with the same lines are
+one kind, and each kind is paired with the neighbour of another kind whose path shares the longest beginning.  The lines of a pair are aligned by longest common subsequence,
 and lines that both pages have are deleted.  Two rules of markup stand beside that, because menus and adverts
 may differ from page to page and one article may stand on several pages: lines in elements marked as something
 else (navigation, advert, comments, ...) are deleted even when no other page has them, and lines inside the
@@ -244,26 +244,34 @@ def _choose(batches):
         rows = batch.to_pylist()
         picked = []
         for r in rows:
-            around = [x for x in (r["before"], r["after"]) if x and x["host"] == r["host"]]
-            picked.append(max(around, key=lambda x: _shared_prefix(x["path"], r["path"])) if around else None)
+            # The neighbour before wins a tie.
+            around = [
+                (_shared_prefix(x["path"], r["path"]), first, x)
+                for first, x in ((1, r["before"]), (0, r["after"]))
+                if x and x["host"] == r["host"] and x["kind"] != r["kind"]
+            ]
+            picked.append(max(around, key=lambda x: x[:2]) if around else (None, None, None))
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("page_id"), batch.column("key"),
-                pa.array([p and p["page_id"] for p in picked], pa.int64()),
-                pa.array([p and p["key"] for p in picked], pa.int64()),
+                batch.column("host"), batch.column("kind"),
+                pa.array([p[0] for p in picked], pa.int32()),
+                pa.array([p[1] for p in picked], pa.int32()),
+                pa.array([p[2] and p[2]["kind"] for p in picked], pa.int64()),
             ],
-            names=["page_id", "key", "near_id", "near_key"],
+            names=["host", "kind", "shared", "first", "near"],
         )
 
 
 def nearest(pages: DataFrame) -> DataFrame:
-    """(page_id, key, near_id, near_key) over (host, path, page_id, key): the neighbour in the order of URLs.
+    """(host, kind, near) over (host, path, page_id, key, kind): the nearest pages of another kind on the host.
 
+    Pages of one kind have the same lines.  The nearest page of another kind stands beside a page of the kind in
+    the order of URLs, as what lies between two pages shares at least as much of their paths.
     The order is global and cut into ranges of even size; what stands before and after a range comes from the
     ends of the others (one row for each range).  A host may span any number of ranges.
     """
     spark = pages.sparkSession
-    order = ["host", "path", "page_id", "key"]
+    order = ["host", "path", "page_id", "key", "kind"]
     ranged = pages.select(order).distinct().repartitionByRange(partitions(spark), *order)
     ranged = materialize(ranged.withColumn("part", F.spark_partition_id()), "urls")
     me = F.struct(*order)
@@ -279,20 +287,20 @@ def nearest(pages: DataFrame) -> DataFrame:
         F.coalesce("before", "last_before").alias("before"),
         F.coalesce("after", "first_after").alias("after"),
     )
-    return rows.mapInArrow(_choose, "page_id long, key long, near_id long, near_key long")
+    beside = rows.mapInArrow(_choose, "host string, kind long, shared int, first int, near long").where("near is not null")
+    best = F.max(F.struct("shared", "first", "near")).alias("best")
+    return beside.groupBy("host", "kind").agg(best).select("host", "kind", F.col("best.near").alias("near"))
 
 
 def _align(batches):
     for batch in batches:
-        cut = []
-        for mine, other, free in zip(*(batch.column(n).to_pylist() for n in ("lines", "near", "free")), strict=True):
-            shared = set(common_lines(mine, other))
-            drop = [k for k in free if k in shared]
-            # A page that is wholly a copy of its neighbour shows nothing about the template.
-            cut.append([] if len(shared) == len(mine) else drop)
+        shared = [
+            common_lines(mine, other)
+            for mine, other in zip(*(batch.column(n).to_pylist() for n in ("lines", "near_lines")), strict=True)
+        ]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("key"), pa.array(cut, pa.list_(pa.int32()))],
-            names=["page_id", "key", "cut"],
+            [batch.column("host"), batch.column("kind"), pa.array(shared, pa.list_(pa.int32()))],
+            names=["host", "kind", "shared"],
         )
 
 
@@ -328,18 +336,20 @@ def extract(pages: DataFrame) -> DataFrame:
     lines = materialize(
         rows.select("page_id", "key", "host", "path", "html").mapInArrow(
             _scan, "page_id long, key long, host string, path string, lines array<long>, free array<int>"
-        ),
+        ).withColumn("kind", F.xxhash64("lines")),
         "lines",
     )
-    pairs = nearest(lines).where("near_key is not null")
-    once = lines.dropDuplicates(["page_id", "key"])
-    mine = once.where(F.size("free") > 0).select("page_id", "key", "lines", "free")
-    near = once.select(F.col("page_id").alias("near_id"), F.col("key").alias("near_key"), F.col("lines").alias("near"))
-    same_page = (F.col("p.page_id").eqNullSafe(F.col("m.page_id"))) & (F.col("p.key") == F.col("m.key"))
-    paired = pairs.alias("p").join(mine.alias("m"), same_page).select("m.*", "near_id", "near_key").alias("p")
-    same_near = (F.col("p.near_id").eqNullSafe(F.col("n.near_id"))) & (F.col("p.near_key") == F.col("n.near_key"))
-    aligned = paired.join(near.alias("n"), same_near).select("p.page_id", "p.key", "p.lines", "p.free", "n.near")
-    cuts = aligned.mapInArrow(_align, "page_id long, key long, cut array<int>").where(F.size("cut") > 0)
+    pairs = materialize(nearest(lines), "pairs")
+    kinds = lines.groupBy("host", "kind").agg(F.first("lines").alias("lines"), F.max(F.size("free")).alias("most"))
+    mine = kinds.where("most > 0").drop("most")
+    near = kinds.select("host", F.col("kind").alias("near"), F.col("lines").alias("near_lines"))
+    aligned = pairs.join(mine, ["host", "kind"]).join(near, ["host", "near"]).select("host", "kind", "lines", "near_lines")
+    shared = aligned.mapInArrow(_align, "host string, kind long, shared array<int>").where(F.size("shared") > 0)
+    # One row for each kind; pages of a kind may differ in what stands in an article.
+    free = lines.where(F.size("free") > 0).select("host", "kind", "page_id", "key", "free").dropDuplicates(["page_id", "key"])
+    cuts = free.join(materialize(shared, "shared"), ["host", "kind"]).select(
+        "page_id", "key", F.array_intersect("free", "shared").alias("cut")
+    ).where(F.size("cut") > 0)
     # Written first, so that the size is known when the join is planned.
     cuts = materialize(cuts, "cuts").select(F.col("page_id").alias("cut_id"), F.col("key").alias("cut_key"), "cut")
     same = F.col("page_id").eqNullSafe(F.col("cut_id")) & (F.col("key") == F.col("cut_key"))

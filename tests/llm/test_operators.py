@@ -210,6 +210,17 @@ def test_pages(spark):
     assert got == {**{k: f"T{k}\nOne & two three\nBody {k}" for k in range(5)}, 9: ""}
 
 
+def test_copies_and_contained_pages_lose_the_template_too(spark):
+    page = "<body><div>Site notice</div>{0}<div>All rights</div></body>"
+    bodies = {k: "<article>Copied text</article><div>Own line</div>" for k in range(6)}
+    bodies |= {6: "", 7: "<article>Other text</article>"}
+    rows = [(k, f"http://h/a/{k}", page.format(b)) for k, b in bodies.items()] + [(8, "http://g/", page.format(""))]
+    got = {r.page_id: r.text for r in page_diff.extract(
+        spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    copies = {k: "Copied text\nOwn line" for k in range(6)}
+    assert got == {**copies, 6: "", 7: "Other text", 8: "Site notice\nAll rights"}
+
+
 def test_embedded_elements_take_no_text_of_the_article():
     def text(page):
         return [x for x, inside, marked in page_diff.page_lines(page) if inside and not marked]
