@@ -57,6 +57,18 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> It
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def pieces(text: str, separator: re.Pattern, most: int = 1 << 20) -> Iterator[str]:
+    """A text in parts of about ``most`` characters, cut only at separators; joined, the parts are the text."""
+    at = 0
+    while len(text) - at > most:
+        cut = separator.search(text, at + most)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a string column without nulls, and where each row starts (one more than rows)."""
     column = column.cast(pa.large_binary())
