@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 
 def sha(data: str | bytes) -> str:
     return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
 
 
-def components(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
-    """op4: id -> (set size, smallest id reachable), all pairs compared."""
+def components(docs: list[tuple[int, str | None]], shingle: int = 5) -> dict[int, tuple[int, int]]:
+    """op4, op13: id -> (set size, smallest id reachable), all pairs compared."""
     lower = {i: i + 32 for i in range(65, 91)}
     sets = {}
     for i, t in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        last = len(w) - shingle
+        sets[i] = {tuple(w[k : k + shingle]) for k in range(last + 1)} if last >= 0 else ({tuple(w)} if w else set())
     holders = defaultdict(list)
     for i, s in sets.items():
         for x in s:
@@ -88,3 +90,63 @@ def token_pieces(ids: list[int], length: int = 1024) -> list[tuple[int, int, int
     return [
         (a, b - a, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a:b]))) for a, b in zip(cuts, cuts[1:])
     ]
+
+
+_DOWN = {i: i + 32 for i in range(65, 91)}
+
+
+def spelling(docs: list[tuple[int | None, str | None]]) -> dict[str, tuple]:
+    """op11: word -> (form, root, n, n_near, form_n); near words by deleting each letter, no letter counts."""
+    counts: dict[str, int] = defaultdict(int)
+    for i, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = run.translate(_DOWN)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    n = {w: c for w, c in counts.items() if len(w) >= 7 and c >= 2}
+    near: dict[str, set[str]] = {w: set() for w in n}
+    holes = defaultdict(list)
+    for w in n:
+        for k in range(len(w)):
+            rest = w[:k] + w[k + 1 :]
+            holes[k, rest].append(w)
+            if rest in n:
+                near[w].add(rest)
+                near[rest].add(w)
+    for held in holes.values():
+        for a in held:
+            near[a].update(b for b in held if b != a)
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda o: (-n[o], o), default=None)
+        form[w] = best if best is not None and n[best] >= 10 * n[w] else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return {w: (form[w], root(w), n[w], len(near[w]), n.get(form[w])) for w in n}
+
+
+def ranked(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], k: int = 50) -> set[tuple]:
+    """op12: (item, rank, doc, score), every document scored."""
+    term = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+    held = {i: Counter(term.findall((t or "").translate(_DOWN))) for i, t in docs}
+    held = {i: c for i, c in held.items() if c}
+    total, df = sum(sum(c.values()) for c in held.values()), Counter(t for c in held.values() for t in c)
+    out = set()
+    for item, text in items:
+        scores = []
+        for i, c in held.items():
+            m = 50 + (50 * sum(c.values()) * len(held)) // total
+            score = 0
+            for t in set(term.findall((text or "").translate(_DOWN))) & c.keys():
+                w = math.floor(1000 * math.log((2 * len(held) + 2) / (2 * df[t] + 1)))
+                score += w * ((10**9 * c[t]) // (1000 * c[t] + 20 * m))
+            if score > 0:
+                scores.append((-score, i))
+        out |= {(item, r, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k], 1)}
+    return out
