@@ -121,43 +121,61 @@ def unpruned(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return alive
 
 
-DOCUMENTS = "uid long, doc_id long, n long, digest binary, tokens array<long>, signature binary, bands array<long>"
+DOCUMENTS = "uid long, row long, again long, doc_id long, n long, digest binary, bands array<long>"
+SETS = "uid long, tokens array<long>, signature binary"
 
 
-def _scan(batches):
-    part, given = TaskContext.get().partitionId(), 0
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
-    names = [c.split()[0] for c in DOCUMENTS.split(", ")]
+def _blocks_of(batches):
+    """Batches of (..., text), cut into blocks of about ``TEXT_BLOCK``, with the shingle sets of their rows."""
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        raw, starts = text_bytes(batch.column(1))
+        raw, starts = text_bytes(batch.column(batch.num_columns - 1))
         at = 0
-        while at < len(ids):
+        while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(starts, starts[at] + TEXT_BLOCK)) - 1)
-            to = min(to, len(ids))
+            to = min(to, batch.num_rows)
             tokens, counts = shingle_sets(raw[starts[at] : starts[to]], starts[at : to + 1] - starts[at])
             ends = np.cumsum(counts)
-            sets = [tokens[e - c : e] for e, c in zip(ends, counts)]
-            digests = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            first = {d: k for k, d in reversed(list(enumerate(digests)))}
-            own = [k for k, d in enumerate(digests) if len(sets[k]) and first[d] == k]
-            made = signatures(np.concatenate([sets[k] for k in own]), counts[own]) if own else None
-            keys = band_keys(made) if own else None
-            place = {k: i for i, k in enumerate(own)}
-            rows = [
-                (
-                    (part << 36) + given + k, ids[at + k], len(sets[k]), digests[k],
-                    sets[k].view(np.int64) if k in place else None,
-                    made[place[k]].tobytes() if k in place else None,
-                    keys[place[k]] if k in place else None,
-                )
-                for k in range(to - at)
-            ]
-            given += to - at
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            yield batch.slice(at, to - at), [tokens[e - c : e] for e, c in zip(ends, counts)]
             at = to
 
 
+def _scan(batches):
+    """Digest and bands of every set; of equal sets of a block only the first has bands."""
+    part, given = TaskContext.get().partitionId(), 0
+    for block, sets in _blocks_of(batches):
+        digests = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        first = {d: k for k, d in reversed(list(enumerate(digests)))}
+        own = [k for k, d in enumerate(digests) if len(sets[k]) and first[d] == k]
+        bands: list = [None] * len(sets)
+        if own:
+            made = signatures(np.concatenate([sets[k] for k in own]), np.array([len(sets[k]) for k in own]))
+            for k, keys in zip(own, band_keys(made)):
+                bands[k] = keys
+        uid = (part << 36) + given + np.arange(len(sets))
+        given += len(sets)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(uid), block.column(0), block.column(1), block.column(2),
+                pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                pa.array(bands, pa.list_(pa.int64())),
+            ],
+            names=["uid", "row", "again", "doc_id", "n", "digest", "bands"],
+        )
+
+
+def _set_task(batches):
+    for block, sets in _blocks_of(batches):
+        made = signatures(np.concatenate(sets), np.array([len(s) for s in sets]))
+        yield pa.RecordBatch.from_arrays(
+            [
+                block.column(0),
+                pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                pa.array([m.tobytes() for m in made], pa.binary()),
+            ],
+            names=["uid", "tokens", "signature"],
+        )
+
+
 def _prune_task(batches):
     for batch in batches:
         one, other = (
@@ -267,6 +285,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
+    # Two hashes that find a row again; equal rows have equal ones.
+    rows = rows.select(
+        F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit(1), "text", "doc_id").alias("again"), "doc_id", "text"
+    )
     all_docs = materialize(rows.mapInArrow(_scan, DOCUMENTS), "documents")
     known = all_docs.where("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("smallest"), F.min(F.when(F.col("bands").isNotNull(), F.col("uid"))).alias("uid")
@@ -280,9 +302,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = materialize(flat.join(shared, "key").select("key", "uid", "n", "k"), "buckets")
     meets = buckets.groupBy("uid").agg(F.sum(F.col("k") - 1).alias("meets"))
     buckets = materialize(buckets.drop("k").join(meets, "uid"), "buckets")
-    able = materialize(
-        classes.join(meets, "uid", "left_semi").select("uid", "tokens", "signature"), "able"
-    )
+    # Full sets and signatures are made again from the texts of the classes that share a bucket, not kept for all.
+    wanted = classes.join(buckets.select("uid").distinct(), "uid", "left_semi").select("uid", "row", "again")
+    texts = rows.join(wanted, ["row", "again"]).dropDuplicates(["uid"]).select("uid", "text")
+    able = materialize(texts.mapInArrow(_set_task, SETS), "able")
 
     links = labels = None
     for step in range(HUB_ROUNDS + 1):
