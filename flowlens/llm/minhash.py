@@ -20,6 +20,7 @@ from hashlib import blake2b
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -36,8 +37,10 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 32, 1e-6
 #: Rounds of comparison with a hub.
 HUB_ROUNDS = 2
-#: Classes to a block of a bucket, bytes of text a task works on at a time, shingles hashed at a time.
-BLOCK, TEXT_BLOCK, HASHED = 512, 2 << 20, 1 << 15
+#: Classes and shingles to a block of a bucket.
+BLOCK, BLOCK_TOKENS = 512, 1 << 20
+#: Bytes of text a task works on at a time, shingles hashed at a time.
+TEXT_BLOCK, HASHED = 2 << 20, 1 << 15
 
 _TURN = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 _FACTOR = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -228,30 +231,106 @@ def _compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.mapInArrow(_prune_task, PAIRS)
 
 
+def block_pairs(key: int, one: tuple, other: tuple, same: bool):
+    """Pairs of two blocks of a bucket that are to be verified: each i with all its j.
+
+    A block is (uids, sizes, labels, signatures).  The labels of a pair differ, its sizes allow a link, the
+    posterior does not prune it, and no earlier band holds it too.  Of a block with itself each pair comes once.
+    """
+    _, na, la, sa = one
+    _, nb, lb, sb = other
+    ka, kb = band_keys(sa), band_keys(sb)
+    band = int(np.flatnonzero(ka[0] == key)[0])
+    for i in range(len(na)):
+        able = (lb != la[i]) & (100 * np.minimum(nb, na[i]) >= THRESHOLD * np.maximum(nb, na[i]))
+        if same:
+            able[: i + 1] = False
+        j = np.flatnonzero(able)
+        if len(j):
+            j = j[(kb[j] == ka[i]).argmax(axis=1) == band]
+            j = j[unpruned(np.broadcast_to(sa[i], (len(j), HASHES)), sb[j])]
+            if len(j):
+                yield i, j
+
+
+#: What a pair of blocks has to verify: pairs (uid a, uid b, their sizes), or for many pairs the members of the two
+#: blocks that are in one (uid a, block 0 or 1 as b, size na, label nb).
+FOUND = "key long, ca long, cb long, dense boolean, a long, b long, na long, nb long"
+
+
 def _block_task(batches):
-    """Pairs of different labels of two blocks that are not pruned; of one block each pair once."""
+    """Compare the signatures of two blocks; neither pairs nor members that come out outgrow the members."""
+    names = [c.split()[0] for c in FOUND.split(", ")]
     for batch in batches:
-        found = []
+        out = []
         for k in range(batch.num_rows):
-            cols = [batch.column(c)[k] for c in range(8)]
-            ua, na, la, ub, nb, lb = (c.values.to_numpy() for c in cols[:6])
-            sa, sb = (np.frombuffer(b"".join(c.as_py()), np.uint32).reshape(-1, HASHES) for c in cols[6:])
-            for i in range(len(ua)):  # one class against a block
-                able = (lb != la[i]) & (100 * np.minimum(nb, na[i]) >= THRESHOLD * np.maximum(nb, na[i]))
-                if batch.column(8)[k].as_py():
-                    able[: i + 1] = False
-                j = np.flatnonzero(able)
-                if len(j):
-                    j = j[unpruned(np.broadcast_to(sa[i], (len(j), HASHES)), sb[j])]
-                    found += [(ua[i], ub[x], na[i], nb[x]) if ua[i] < ub[x] else (ub[x], ua[i], nb[x], na[i]) for x in j]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b", "na", "nb"])
-
-
-def _other_pairs(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """Unpruned pairs of classes of different labels in the buckets that hold several labels."""
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    sizes = sizes.where("lo <> hi").select("key", F.ceil(F.col("k") / BLOCK).alias("chunks"))
+            cols = [batch.column(c)[k] for c in range(batch.num_columns)]
+            key, ca, cb = (c.as_py() for c in cols[:3])
+            one, other = (
+                (*(c.values.to_numpy() for c in part[:3]), np.frombuffer(b"".join(part[3].as_py()), np.uint32).reshape(-1, HASHES))
+                for part in (cols[3:7], cols[7:11])
+            )
+            found = list(block_pairs(key, one, other, ca == cb))
+            mine = {i for i, _ in found}
+            theirs = set(np.concatenate([j for _, j in found]).tolist()) if found else set()
+            if sum(len(j) for _, j in found) <= len(mine) + len(theirs):
+                out += [
+                    (key, ca, cb, False, one[0][i], other[0][x], one[1][i], other[1][x]) for i, j in found for x in j
+                ]
+            else:
+                if ca == cb:
+                    mine, theirs = mine | theirs, set()
+                for side, block, members in ((0, one, mine), (1, other, theirs)):
+                    out += [(key, ca, cb, True, block[0][i], side, block[1][i], block[2][i]) for i in sorted(members)]
+        if out:
+            types = [pa.int64()] * 3 + [pa.bool_()] + [pa.int64()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+
+def shared_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """The sets as rows of bits, one for each token that several sets hold."""
+    tokens = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    keep = count[place] > 1
+    width = -(-(int(number[-1]) + 1) // 64) if len(number) else 0
+    bits = np.zeros((len(sets), max(1, width)), np.uint64)
+    at = number[place[keep]]
+    np.bitwise_or.at(bits, (owner[keep], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return bits
+
+
+def _dense_task(key, frame: pd.DataFrame) -> pd.DataFrame:
+    """Verify the pairs of two blocks on the full sets; links that join what is already joined are not given out."""
+    same = key[1] == key[2]
+    frame = frame.sort_values(["side", "uid"], ignore_index=True)
+    bits, sizes = shared_bits(frame["tokens"].tolist()), frame["n"].to_numpy()
+    uid, label = frame["uid"].to_numpy(), frame["label"].to_numpy()
+    sign = np.frombuffer(b"".join(frame["signature"]), np.uint32).reshape(-1, HASHES)
+    side = frame["side"].to_numpy()
+    where = [np.arange(len(frame))] * 2 if same else [np.flatnonzero(side == s) for s in (0, 1)]
+    blocks = [(uid[w], sizes[w], label[w], sign[w]) for w in where]
+    links = []
+    label = label.copy()  # joined labels become one
+    for i, js in block_pairs(key[0], *blocks, same):
+        i, js = int(where[0][i]), where[1][js]
+        js = js[label[js] != label[i]]
+        common = np.bitwise_count(bits[js] & bits[i]).sum(axis=1, dtype=np.int64)
+        for j in js[100 * common >= THRESHOLD * (sizes[i] + sizes[js] - common)]:
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                links.append((min(uid[i], uid[j]), max(uid[i], uid[j])))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def _other_links(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between classes of different labels, from the buckets that hold several labels."""
+    sizes = buckets.groupBy("key").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("chunks"),
+        F.min("label").alias("lo"), F.max("label").alias("hi"),
+    )
+    sizes = sizes.where("lo <> hi").select("key", "chunks")
     mixed = buckets.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")))
     mixed = mixed.join(classes.select("uid", "signature"), "uid")
     member = F.sort_array(F.collect_list(F.struct("uid", "n", "label", "signature")))
@@ -261,15 +340,21 @@ def _other_pairs(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     )
     names = ("uid", "n", "label", "signature")
     one = blocks.select(
-        "key", F.col("chunk").alias("a"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("b"),
+        "key", F.col("chunk").alias("ca"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("cb"),
         *[F.col(c).alias(f"{c}_a") for c in names],
     )
-    other = blocks.select("key", F.col("chunk").alias("b"), *[F.col(c).alias(f"{c}_b") for c in names])
-    several = "a <> b or array_min(label_a) <> array_max(label_a)"
-    met = one.join(other, ["key", "b"]).where(several).select(
-        *[f"{c}_{side}" for side in "ab" for c in names[:3]], "signature_a", "signature_b", (F.col("a") == F.col("b")).alias("same")
+    other = blocks.select("key", F.col("chunk").alias("cb"), *[F.col(c).alias(f"{c}_b") for c in names])
+    several = "array_min(array_union(label_a, label_b)) <> array_max(array_union(label_a, label_b))"
+    met = one.join(other, ["key", "cb"]).where(several).select(
+        "key", "ca", "cb", *[f"{c}_a" for c in names], *[f"{c}_b" for c in names]
+    )
+    found = materialize(met.mapInArrow(_block_task, FOUND), "met")
+    sparse = _verified(found.where("not dense").select("a", "b", "na", "nb").distinct(), classes)
+    dense = found.where("dense").select(
+        "key", "ca", "cb", F.col("a").alias("uid"), F.col("b").alias("side"), F.col("na").alias("n"), F.col("nb").alias("label")
     )
-    return met.mapInArrow(_block_task, PAIRS).distinct()
+    dense = dense.join(classes, "uid").groupBy("key", "ca", "cb").applyInPandas(_dense_task, "a long, b long")
+    return sparse.unionByName(dense)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -310,8 +395,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = labels = None
     for step in range(HUB_ROUNDS + 1):
         rows_of = _labelled(buckets, labels)
-        pairs = _compared(_hub_pairs(rows_of, step), able) if step < HUB_ROUNDS else _other_pairs(rows_of, able)
-        found = materialize(_verified(pairs, able), "found")
+        if step < HUB_ROUNDS:
+            found = _verified(_compared(_hub_pairs(rows_of, step), able), able)
+        else:
+            found = _other_links(rows_of, able)
+        found = materialize(found, "found")
         links = found if links is None else links.unionByName(found)
         labels = link_components(links)
 
