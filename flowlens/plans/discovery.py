@@ -72,7 +72,9 @@ def discover_states(
     train.unpersist()
     everything = sequences(scaler.transform(features), persist=False)
     states = materialize(decode(everything, fit.model), "states")
-    flows = assign_states(f, states)
+    everything.unpersist()
+    # Written once: the profiles read this several times, the caller again.
+    flows = materialize(assign_states(f, states), "flows")
     profiles = materialize(traffic_profiles(flows), "profiles")
     return Discovery(
         flows,

@@ -10,7 +10,9 @@ NumPy works inside the tasks, many sequences side by side.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+import operator
+from dataclasses import dataclass, field, replace
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -18,11 +20,12 @@ import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from flowlens.functions.columns import bucket
 from flowlens.operators.features import FEATURES
 from flowlens.schema import FLOW_ID, START, STATE
+from flowlens.session import materialize
 
 # Fixed values of the model and its training.
 MIN_VARIANCE = 1e-4
@@ -32,7 +35,10 @@ KMEANS_ROUNDS = 10
 K_RANGE = range(2, 11)
 
 CHUNK_ROWS = 500_000  # longest run of one sequence handled as a unit
-CHUNK_GRAIN_MS = 60_000
+RANGE_SHIFT = 32  # a chunk number is the range, then the place in it
+BROADCAST_KEYS = 100_000  # so many long sequences may be broadcast
+FAN_BITS = 8  # ranges chained as one group: two to the power of this
+SAMPLE_GRAIN_MS = 3_600_000
 BLOCK_ROWS = 100_000  # rows a task works on at a time
 PARTITION_ROWS = 2_000_000  # most rows per partition of the layout
 SMALL_PARTITION_ROWS = 10_000  # fewer are not worth a task
@@ -90,56 +96,96 @@ class FitResult:
 
 # --------------------------------------------------------------- layout
 
+# A sequence is (key, run); a long one is cut into chunks, numbered in order.
+RUN, CHUNK, LONG = "run", "chunk", "long"
 
-def with_chunks(
-    rows: DataFrame, key: str = "dst_ip", chunk_rows: int = CHUNK_ROWS,
-    grain_ms: int = CHUNK_GRAIN_MS,
-) -> tuple[DataFrame, bool, int]:
-    """Cut sequences longer than ``chunk_rows`` into runs of about that length.
 
-    Only long sequences pay for it: their rows are counted per minute, minutes
-    are filled into chunks, and the chunk number is joined on (key, minute), so
-    no task ever holds a whole long sequence.  Adds ``chunk`` and ``long``;
-    also returns whether any sequence was long and the number of rows.
+def _number_task(ids: list[str], chunk_rows: int):
+    """Chunk numbers for the ordered rows of a range: the range, then the place in it."""
+
+    def run(frames):
+        last, seen = None, 0
+        for frame in frames:
+            if frame.empty:
+                continue
+            columns = [frame[c].to_numpy() for c in ids]
+            new = np.zeros(len(frame), dtype=bool)
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            new[0] = tuple(c[0] for c in columns) != last
+            row = np.arange(len(frame))
+            begin = np.maximum.accumulate(np.where(new, row, -seen))
+            place = row - begin
+            last, seen = tuple(c[-1] for c in columns), int(place[-1]) + 1
+            frame[CHUNK] = (frame["_range"].to_numpy(dtype=np.int64) << RANGE_SHIFT) + place // chunk_rows
+            yield frame.drop(columns="_range")
+
+    return run
+
+
+def _same(left: list[str], right: list[str]):
+    """Equality of columns in which a missing value equals itself."""
+    return reduce(operator.and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
+
+
+def with_chunks(rows: DataFrame, ids: list[str], chunk_rows: int) -> tuple[DataFrame, int, int]:
+    """Cut sequences longer than ``chunk_rows`` rows into chunks of at most that many.
+
+    Only long sequences pay for it: their rows are range-partitioned by (sequence, start, flow id), so a
+    sequence with a third of all rows, or all rows of one instant, is spread over many tasks, and each task
+    numbers the chunks of its range.  Adds ``chunk`` and ``long``; also returns the number of ranges (0 if no
+    sequence is long) and the number of rows.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total, longest = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    if (longest or 0) <= chunk_rows:
-        plain = rows.withColumns({"chunk": F.lit(0), "long": F.lit(False)})
-        return plain, False, total or 0
-    long = sizes.where(F.col("_n") > chunk_rows).select(key)
-    minute = bucket(START, grain_ms)
-    upto = F.sum("_m").over(Window.partitionBy(key).orderBy("_minute"))
-    chunks = (
-        rows.join(long, key, "left_semi")
-        .groupBy(key, minute.alias("_minute"))
-        .agg(F.count(F.lit(1)).alias("_m"))
-        .select(
-            key,
-            "_minute",
-            F.floor((upto - F.col("_m")) / F.lit(chunk_rows)).cast("int").alias("_chunk"),
-        )
+    sizes = rows.groupBy(*ids).agg(F.count(F.lit(1)).alias("_n"))
+    is_long = F.col("_n") > chunk_rows
+    total, in_long, keys = sizes.agg(F.sum("_n"), F.sum(F.when(is_long, F.col("_n"))), F.count_if(is_long)).first()
+    plain = {CHUNK: F.lit(0).cast("long"), LONG: F.lit(False)}
+    if not in_long:
+        return rows.withColumns(plain), 0, total or 0
+    named = [f"_{c}" for c in ids]
+    long = sizes.where(is_long).select(*[F.col(c).alias(n) for c, n in zip(ids, named)])
+    long = F.broadcast(long) if keys <= BROADCAST_KEYS else long
+    ranges = _partitions(rows, in_long)
+    order = [*ids, START, FLOW_ID]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    numbered = (
+        rows.join(long, _same(ids, named), "left_semi")
+        .repartitionByRange(ranges, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("_range", F.spark_partition_id())
+        .mapInPandas(_number_task(ids, chunk_rows), f"{kinds}, {CHUNK} long")
+        .withColumn(LONG, F.lit(True))
     )
-    # dense numbers are not needed, only their order
-    cut = (
-        rows.withColumn("_minute", minute)
-        .join(chunks, [key, "_minute"], "left")
-        .withColumns({"chunk": F.coalesce("_chunk", F.lit(0)), "long": F.col("_chunk").isNotNull()})
-        .drop("_minute", "_chunk")
-    )
-    return cut, True, total
+    short = rows.join(long, _same(ids, named), "left_anti").withColumns(plain)
+    return short.unionByName(numbered), ranges, total
+
+
+def _partitions(rows: DataFrame, count: int) -> int:
+    busy = rows.sparkSession.sparkContext.defaultParallelism
+    return max(min(busy, count // SMALL_PARTITION_ROWS), -(-count // PARTITION_ROWS), 1)
 
 
 @dataclass
 class Sequences:
-    """Rows (FLOW_ID, key, chunk, long, start, features), partitioned and ordered by sequence."""
+    """Rows (FLOW_ID, key, run, chunk, long, start, features), partitioned and ordered by sequence.
+
+    ``ranges`` is the number of ranges that long sequences were cut from, 0 if none was cut.
+    """
 
     rows: DataFrame
     features: list[str]
     key: str
-    cut: bool
+    ranges: int
     cached: DataFrame | None = None  # what ``rows`` is a projection of
 
+    @property
+    def ids(self) -> list[str]:
+        return [self.key, RUN]
+
+    @property
+    def cut(self) -> bool:
+        return self.ranges > 0
+
     def unpersist(self) -> None:
         (self.rows if self.cached is None else self.cached).unpersist()
 
@@ -156,30 +202,45 @@ def sequences(
 ) -> Sequences:
     """Lay rows out for training or decoding; each round then reads without a shuffle.
 
-    ``sample_rows`` keeps about that many rows, as whole sequences (or chunks of
-    long ones), before anything is moved; sequences shorter than ``min_rows``
-    are left out.  The cached layout is rebuilt from ``rows`` where an executor
-    is lost.
+    ``chunk_rows`` bounds what a task holds of a sequence and changes no result.  ``sample_rows`` keeps about
+    that many rows, as whole sequences, before anything is moved; a sequence with more rows than the whole
+    sample is sampled by the hour, and each hour taken is a sequence of its own (a ``run``).  Sequences shorter
+    than ``min_rows`` are left out.  The cached layout is rebuilt from ``rows`` where an executor is lost; a
+    layout with cut sequences is always cached, as it is read several times.
     """
+    ids = [key, RUN]
     picked = rows.select(
-        FLOW_ID, key, START, *[F.col(c).cast("double").alias(c) for c in features]
+        FLOW_ID, key, F.lit(0).cast("long").alias(RUN), START, *[F.col(c).cast("double").alias(c) for c in features]
     )
-    chunked, cut, total = with_chunks(picked, key, chunk_rows)
-    if sample_rows is not None and total > sample_rows:
-        chunked = chunked.where(_share(key, sample_rows / total, seed))
-        total = sample_rows
-    order = [key, "chunk", START, FLOW_ID]
-    busy = rows.sparkSession.sparkContext.defaultParallelism
-    parts = max(min(busy, total // SMALL_PARTITION_ROWS), -(-total // PARTITION_ROWS), 1)
-    laid = chunked.repartition(parts, key, "chunk").sortWithinPartitions(*order)
+    if sample_rows is not None:
+        picked = _sampled(picked, key, sample_rows, seed)
+    chunked, ranges, total = with_chunks(picked, ids, chunk_rows)
+    laid = chunked.repartition(_partitions(rows, total), *ids, CHUNK)
+    laid = laid.sortWithinPartitions(*ids, CHUNK, START, FLOW_ID)
     if min_rows > 1:
-        laid = laid.mapInPandas(_drop_short_task(key, min_rows), laid.schema)
-    return Sequences(laid.persist() if persist else laid, list(features), key, cut)
+        laid = laid.mapInPandas(_drop_short_task(ids, min_rows), laid.schema)
+        if ranges:  # tell the planner again how the rows lie
+            laid = laid.repartition(_partitions(rows, total), *ids, CHUNK).sortWithinPartitions(*ids, CHUNK, START, FLOW_ID)
+    return Sequences(laid.persist() if persist or ranges else laid, list(features), key, ranges)
+
+
+def _sampled(rows: DataFrame, key: str, count: int, seed: int) -> DataFrame:
+    """About ``count`` of the rows as whole sequences, of very long ones as whole hours."""
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total, longest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    if (total or 0) <= count:
+        return rows
+    if longest > count:  # at most total / count keys
+        long = sizes.where(F.col("_n") > count).select(F.col(key).alias("_key"), F.lit(True).alias("_long"))
+        hour = bucket(START, SAMPLE_GRAIN_MS) + 1
+        rows = rows.join(long, _same([key], ["_key"]), "left")
+        rows = rows.withColumn(RUN, F.when(F.col("_long"), hour).otherwise(F.col(RUN))).drop("_key", "_long")
+    return rows.where(_share([key, RUN], count / total, seed))
 
 
-def _share(key: str, share: float, seed: int):
+def _share(ids: list[str], share: float, seed: int):
     """True for about this share of the sequences."""
-    part = F.pmod(F.xxhash64(key, "chunk", F.lit(seed)), F.lit(1 << 30))
+    part = F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(1 << 30))
     return part < F.lit(int(share * (1 << 30)))
 
 
@@ -187,15 +248,15 @@ def sample_sequences(seqs: Sequences, rows: int, seed: int = 42) -> Sequences:
     """About ``rows`` rows of a layout as whole sequences; nothing is shuffled."""
     kept, total = seqs.rows, seqs.rows.count()
     if total > rows:
-        kept = kept.where(_share(seqs.key, rows / total, seed))
-    return Sequences(kept.persist(), seqs.features, seqs.key, seqs.cut)
+        kept = kept.where(_share(seqs.ids, rows / total, seed))
+    return replace(seqs, rows=kept.persist(), cached=None)
 
 
 # ------------------------------------------------------------- task side
 
 
-def _blocks(frames, key: str, block_rows: int = BLOCK_ROWS):
-    """Whole sequences from the batches of a partition, some at a time.
+def _blocks(frames, ids: list[str], block_rows: int = BLOCK_ROWS):
+    """Whole sequences (or chunks of them) from the batches of a partition, some at a time.
 
     Yields (frame, lengths).  Batches split sequences anywhere; the unfinished
     last one is held back for the next block.
@@ -208,7 +269,7 @@ def _blocks(frames, key: str, block_rows: int = BLOCK_ROWS):
         if size < block_rows:
             continue
         block = pd.concat(held, ignore_index=True)
-        starts = _starts(block, key)
+        starts = _starts(block, ids)
         last = starts[-1]
         if last > 0:
             yield block.iloc[:last], np.diff(starts)
@@ -216,19 +277,22 @@ def _blocks(frames, key: str, block_rows: int = BLOCK_ROWS):
         block_rows = max(block_rows, 2 * size)  # a long sequence: wait for more
     if size:
         block = pd.concat(held, ignore_index=True)
-        starts = _starts(block, key)
+        starts = _starts(block, ids)
         yield block, np.diff(np.append(starts, len(block)))
 
 
-def _starts(block: pd.DataFrame, key: str) -> np.ndarray:
-    k, c = block[key].to_numpy(), block["chunk"].to_numpy()
-    return np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]) | (c[1:] != c[:-1])) + 1])
+def _starts(block: pd.DataFrame, ids: list[str]) -> np.ndarray:
+    new = np.zeros(len(block) - 1, dtype=bool)
+    for name in [*ids, CHUNK]:
+        c = block[name].to_numpy()
+        new |= c[1:] != c[:-1]
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
 
 
-def _drop_short_task(key: str, min_rows: int):
+def _drop_short_task(ids: list[str], min_rows: int):
     def run(frames):
-        for block, lengths in _blocks(frames, key):
-            yield block[np.repeat(lengths >= min_rows, lengths)]
+        for block, lengths in _blocks(frames, ids):
+            yield block[np.repeat(lengths >= min_rows, lengths) | block[LONG].to_numpy(dtype=bool)]
 
     return run
 
@@ -303,11 +367,14 @@ def _sum_pieces(b, move, begin, lengths):
     return out, np.exp(out_scale - out_scale.max(axis=1, keepdims=True))
 
 
-def _piece_edges(model: HmmModel, b: np.ndarray, move: np.ndarray, pieces: _Pieces):
-    """What each piece is entered with (state weights) and followed by (likelihoods)."""
-    n, k = len(pieces.lengths), model.k
-    enter = np.broadcast_to(model.initial, (n, k)).copy()
-    follow = np.ones((n, k))
+def _piece_edges(b, move, pieces: _Pieces, start, end):
+    """What each piece is entered with (state weights) and followed by (likelihoods).
+
+    ``start`` and ``end`` are these for the first and the last piece of a sequence.
+    """
+    n, k = len(pieces.lengths), b.shape[1]
+    enter = np.broadcast_to(start, (n, k)).copy()
+    follow = np.broadcast_to(end, (n, k)).copy()
     chained = pieces.chained
     if len(chained) == 0:
         return enter, follow
@@ -326,15 +393,32 @@ def _piece_edges(model: HmmModel, b: np.ndarray, move: np.ndarray, pieces: _Piec
     return enter, follow
 
 
-def _sufficient_statistics(model: HmmModel, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Expected counts of a block: [log-likelihood, rows, first, moves, mass, x, x*x]."""
-    k = model.k
+def _emission(model: HmmModel, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Densities of the rows over their largest, and the logarithm of that."""
     log_b = model.log_emission(x)
     peak = log_b.max(axis=1)
-    b = np.exp(log_b - peak[:, None])
-    move = np.maximum(model.transition, MIN_PROBABILITY)
+    return np.exp(log_b - peak[:, None]), peak
+
+
+def _moves(model: HmmModel) -> np.ndarray:
+    return np.maximum(model.transition, MIN_PROBABILITY)
+
+
+def _sufficient_statistics(
+    model: HmmModel, x: np.ndarray, lengths: np.ndarray,
+    before: np.ndarray | None = None, after: np.ndarray | None = None,
+) -> np.ndarray:
+    """Expected counts of a block: [log-likelihood, rows, first, moves, mass, x, x*x].
+
+    A chunk of a longer sequence is given what surrounds it: ``before``, the state weights of the row before
+    its first, and ``after``, the likelihoods of all that follows its last row.
+    """
+    k = model.k
+    b, peak = _emission(model, x)
+    move = _moves(model)
     pieces = _Pieces.of(lengths)
-    enter, follow = _piece_edges(model, b, move, pieces)
+    start = model.initial if before is None else before @ move
+    enter, follow = _piece_edges(b, move, pieces, start, np.ones(k) if after is None else after)
     begin = np.cumsum(pieces.lengths) - pieces.lengths
     steps = _Lockstep(pieces.lengths, begin)
     alpha, norm = np.empty_like(b), np.empty(len(b))
@@ -348,11 +432,11 @@ def _sufficient_statistics(model: HmmModel, x: np.ndarray, lengths: np.ndarray)
     beta[begin + pieces.lengths - 1] = follow
     moves = np.zeros((k, k))
 
-    def count_moves(later):
+    def count_moves(later, now=None):
         """Expected moves into these rows; returns what their predecessors see."""
         tail = b[later] * beta[later]
         back = tail @ move.T
-        now = alpha[later - 1]
+        now = alpha[later - 1] if now is None else now
         weight = np.maximum((now * back).sum(axis=1), MIN_PROBABILITY)
         moves[:] += (now / weight[:, None]).T @ tail * move
         return back
@@ -365,12 +449,14 @@ def _sufficient_statistics(model: HmmModel, x: np.ndarray, lengths: np.ndarray)
     inner[pieces.first] = False
     if inner.any():
         count_moves(begin[inner])  # from the last row of one piece to the next piece
+    if before is not None:
+        count_moves(begin[pieces.first], before[None, :])  # from the chunk before
     gamma = alpha * beta
     gamma /= np.maximum(gamma.sum(axis=1), MIN_PROBABILITY)[:, None]
     return np.concatenate(
         [
             [np.log(norm).sum() + peak.sum(), len(x)],
-            gamma[begin[pieces.first]].sum(axis=0),
+            gamma[begin[pieces.first]].sum(axis=0) if before is None else np.zeros(k),
             moves.ravel(),
             gamma.sum(axis=0),
             (gamma.T @ x).ravel(),
@@ -379,10 +465,15 @@ def _sufficient_statistics(model: HmmModel, x: np.ndarray, lengths: np.ndarray)
     )
 
 
-def _statistics_task(models: dict[int, HmmModel], features: list[str], key: str):
+STATISTICS = "m int, pos int, value double"
+
+
+def _statistics_task(models: dict[int, HmmModel], features: list[str], ids: list[str]):
+    """Sums over the whole sequences of a partition."""
+
     def run(frames):
         sums: dict[int, np.ndarray] = {}
-        for block, lengths in _blocks(frames, key):
+        for block, lengths in _blocks(frames, ids):
             x = block[features].to_numpy(dtype=float)
             for m, model in models.items():
                 s = _sufficient_statistics(model, x, lengths)
@@ -393,16 +484,46 @@ def _statistics_task(models: dict[int, HmmModel], features: list[str], key: str)
     return run
 
 
+def _chunk_statistics(models: dict[int, HmmModel], features: list[str]):
+    """Sums over one chunk, given what surrounds it under each model."""
+
+    def run(frame: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        x = frame.sort_values([START, FLOW_ID])[features].to_numpy(dtype=float)
+        out = [pd.DataFrame({"m": [], "pos": [], "value": []})]
+        for edge in edges.itertuples() if len(x) else ():
+            before = np.asarray(edge.before) if len(edge.before) else None
+            s = _sufficient_statistics(models[edge.m], x, np.array([len(x)]), before, np.asarray(edge.after))
+            out.append(pd.DataFrame({"m": edge.m, "pos": np.arange(len(s)), "value": s}))
+        return pd.concat(out[1:] or out, ignore_index=True)
+
+    return run
+
+
 def expectation(seqs: Sequences, models: dict[int, HmmModel]) -> dict[int, np.ndarray]:
-    """One pass over the data for any number of models; sums only come back."""
-    task = _statistics_task(models, seqs.features, seqs.key)
-    rows = (
-        seqs.rows.select(seqs.key, "chunk", *seqs.features)
-        .mapInPandas(task, "m int, pos int, value double")
-        .groupBy("m", "pos")
-        .agg(F.sum("value").alias("value"))
-        .collect()
+    """Expected counts for any number of models; sums only come back.
+
+    Whole sequences take one pass.  Of cut sequences a first pass sums up every chunk as a small matrix per
+    model, a tree chains these (:class:`_SumTree`), and a second pass counts in each chunk with its known edges.
+    """
+    ids, features = seqs.ids, seqs.features
+    whole = seqs.rows.where(~F.col(LONG)) if seqs.cut else seqs.rows
+    counted = whole.select(*ids, CHUNK, *features).mapInPandas(
+        _statistics_task(models, features, ids), STATISTICS
     )
+    nodes = None
+    if seqs.cut:
+        rows = seqs.rows.where(LONG)
+        tree = _SumTree(models)
+        nodes = _nodes(rows, seqs, tree).persist()
+        edges = _tree_edges(nodes, seqs, tree)
+        counted = counted.unionByName(
+            rows.select(*ids, CHUNK, START, FLOW_ID, *features).groupBy(*ids, CHUNK)
+            .cogroup(edges.withColumnRenamed("node", CHUNK).groupBy(*ids, CHUNK))
+            .applyInPandas(_chunk_statistics(models, features), STATISTICS)
+        )
+    rows = counted.groupBy("m", "pos").agg(F.sum("value").alias("value")).collect()
+    if nodes is not None:
+        nodes.unpersist()
     sizes = {m: 2 + 2 * mod.k + mod.k**2 + 2 * mod.means.size for m, mod in models.items()}
     out = {m: np.zeros(n) for m, n in sizes.items()}
     for r in rows:
@@ -410,6 +531,165 @@ def expectation(seqs: Sequences, models: dict[int, HmmModel]) -> dict[int, np.nd
     return out
 
 
+# ------------------------------------------------- chains of cut sequences
+
+
+class _SumTree:
+    """Sums over paths: how a run of rows carries state weights from its first row to its last.
+
+    A node is (table, weight): table[i] is the normalised outcome of starting in i, weight[i] its relative size.
+    """
+
+    def __init__(self, models: dict[int, HmmModel]):
+        self.models = models
+
+    def leaves(self, m: int, x: np.ndarray, lengths: np.ndarray):
+        """Nodes of the chunks of a block."""
+        b, _ = _emission(self.models[m], x)
+        pieces = _Pieces.of(lengths)
+        begin = np.cumsum(pieces.lengths) - pieces.lengths
+        table, weight = _sum_pieces(b, _moves(self.models[m]), begin, pieces.lengths)
+        out = [(table[f], weight[f]) for f in pieces.first]
+        for c, (first, count) in enumerate(zip(pieces.first, pieces.count)):
+            for p in range(first + 1, first + count):
+                out[c] = self.join(m, out[c], (table[p], weight[p]))
+        return out
+
+    def join(self, m: int, one, other):
+        table = one[0] @ (_moves(self.models[m]) @ (other[1][:, None] * other[0]))
+        size = np.maximum(table.sum(axis=1), MIN_PROBABILITY)
+        weight = one[1] * size
+        return table / size[:, None], weight / max(weight.max(), MIN_PROBABILITY)
+
+    def edges(self, m: int, nodes, outside):
+        """(before, after) of each node in a row of nodes; ``outside`` is that of the whole row."""
+        model, move = self.models[m], _moves(self.models[m])
+        none = np.empty(0)
+        before, after = outside or (none, np.ones(model.k))
+        befores, afters = [], []
+        for table, weight in nodes:
+            befores.append(before)
+            enter = before @ move if len(before) else model.initial
+            out = (enter * weight) @ table
+            before = out / max(out.sum(), MIN_PROBABILITY)
+        for table, weight in reversed(nodes):
+            afters.append(after)
+            back = move @ ((table @ after) * weight)
+            after = back / max(back.max(), MIN_PROBABILITY)
+        return list(zip(befores, reversed(afters)))
+
+
+class _BestTree:
+    """Best paths: the score of the best path through a run of rows from each first to each last state.
+
+    The edges of a node are the scores it is entered with and the state its last row is in.
+    """
+
+    def __init__(self, model: HmmModel):
+        self.models = {0: model}
+        self.log_start = np.log(np.maximum(model.initial, MIN_PROBABILITY))
+        self.log_move = np.log(_moves(model))
+
+    def leaves(self, m: int, x: np.ndarray, lengths: np.ndarray):
+        log_b = self.models[0].log_emission(x)
+        pieces = _Pieces.of(lengths)
+        begin = np.cumsum(pieces.lengths) - pieces.lengths
+        table = _best_of_pieces(log_b, self.log_move, begin, pieces.lengths)
+        out = [(table[f], np.empty(0)) for f in pieces.first]
+        for c, (first, count) in enumerate(zip(pieces.first, pieces.count)):
+            for p in range(first + 1, first + count):
+                out[c] = self.join(m, out[c], (table[p], np.empty(0)))
+        return [(t - t.max(), none) for t, none in out]
+
+    def join(self, m: int, one, other):
+        moved = _best_move(one[0], self.log_move)
+        table = (moved[:, :, None] + other[0][None]).max(axis=1)
+        return table - table.max(), np.empty(0)
+
+    def edges(self, m: int, nodes, outside):
+        entry, leave = outside or (self.log_start, None)
+        entries, finals = [], []
+        for table, _ in nodes:
+            entries.append(entry)
+            final = (entry[:, None] + table).max(axis=0)
+            finals.append(final - final.max())
+            entry = _best_move(finals[-1], self.log_move)
+        state = int(finals[-1].argmax()) if leave is None else int(leave[0])
+        leaves = [state]
+        for p in range(len(nodes) - 1, 0, -1):
+            started = int((entries[p] + nodes[p][0][:, state]).argmax())
+            state = int((finals[p - 1] + self.log_move[:, started]).argmax())
+            leaves.append(state)
+        return [(e, np.array([s], float)) for e, s in zip(entries, reversed(leaves))]
+
+
+def _id_kinds(rows: DataFrame, ids: list[str]) -> str:
+    kinds = dict(rows.dtypes)
+    return ", ".join(f"{c} {kinds[c]}" for c in ids)
+
+
+def _nodes(rows: DataFrame, seqs: Sequences, tree) -> DataFrame:
+    """One small matrix per chunk and model; nothing is shuffled."""
+    ids, features = seqs.ids, seqs.features
+
+    def run(frames):
+        for block, lengths in _blocks(frames, ids):
+            x = block[features].to_numpy(dtype=float)
+            heads = block.iloc[np.cumsum(lengths) - lengths][[*ids, CHUNK]].rename(columns={CHUNK: "node"})
+            for m in tree.models:
+                made = tree.leaves(m, x, lengths)
+                yield heads.assign(m=m, table=[t.ravel() for t, _ in made], weight=[w for _, w in made])
+
+    kind = f"{_id_kinds(rows, ids)}, node long, m int, table array<double>, weight array<double>"
+    return rows.select(*ids, CHUNK, *features).mapInPandas(run, kind)
+
+
+def _tree_edges(nodes: DataFrame, seqs: Sequences, tree) -> DataFrame:
+    """What surrounds every node: (ids, node, m, before, after).
+
+    The nodes of a sequence are joined in groups, those of one range first, then 2^``FAN_BITS`` neighbours at a
+    time, up to one group; then the edges go down the same way.  No group grows with the sequence.
+    """
+    ids = seqs.ids
+    kinds = _id_kinds(nodes, ids)
+    shifts = [RANGE_SHIFT] + [FAN_BITS] * -(-(seqs.ranges - 1).bit_length() // FAN_BITS)
+
+    def row_of(frame):
+        m = int(frame["m"].iloc[0])
+        frame = frame.sort_values("node")
+        k = tree.models[m].k
+        return m, frame, [(np.reshape(t, (k, k)), np.asarray(w)) for t, w in zip(frame["table"], frame["weight"])]
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        m, frame, row = row_of(frame)
+        table, weight = reduce(lambda a, b: tree.join(m, a, b), row)
+        head = frame.iloc[:1][[*ids]]
+        return head.assign(node=frame["parent"].iloc[0], m=m, table=[table.ravel()], weight=[weight])
+
+    def spread(frame: pd.DataFrame, outside: pd.DataFrame | None = None) -> pd.DataFrame:
+        m, frame, row = row_of(frame)
+        given = None
+        if outside is not None:
+            given = tuple(np.asarray(outside[c].iloc[0], dtype=float) for c in ("before", "after"))
+        found = tree.edges(m, row, given)
+        return frame[[*ids, "node"]].assign(m=m, before=[e[0] for e in found], after=[e[1] for e in found])
+
+    levels = []
+    for shift in shifts:
+        levels.append(nodes.withColumn("parent", F.shiftright("node", shift)))
+        nodes = levels[-1].groupBy(*ids, "m", "parent").applyInPandas(
+            join, f"{kinds}, node long, m int, table array<double>, weight array<double>"
+        )
+    edge = f"{kinds}, node long, m int, before array<double>, after array<double>"
+    edges = levels[-1].groupBy(*ids, "m").applyInPandas(lambda frame: spread(frame), edge)
+    for level in reversed(levels[:-1]):
+        above = edges.withColumnRenamed("node", "parent").groupBy(*ids, "m", "parent")
+        edges = level.groupBy(*ids, "m", "parent").cogroup(above).applyInPandas(
+            lambda frame, outside: spread(frame, outside), edge
+        )
+    return edges
+
+
 def maximization(model: HmmModel, sums: np.ndarray) -> HmmModel:
     """New parameters from the sums; a state that explains nothing keeps its own."""
     k, d = model.means.shape
@@ -493,7 +773,7 @@ def fit_models(
 def fit_hmm(
     seqs: Sequences, k: int, max_iter: int = 100, tol: float = 1e-4, seed: int = 42
 ) -> FitResult:
-    """Train one model.  A chunk of a cut sequence counts as a sequence of its own."""
+    """Train one model.  Cut sequences count as the whole sequences they are."""
     fit = fit_models(seqs, {k: init_model(seqs, k, seed)}, max_iter, tol)[k]
     fit.model = fit.model.relabelled()
     return fit
@@ -613,23 +893,12 @@ def _walk(log_b, begin, lengths, enter, leaves, log_move) -> np.ndarray:
     return path
 
 
-def _final_scores(log_b: np.ndarray, entry: np.ndarray, log_move: np.ndarray) -> np.ndarray:
-    """Best score of ending one run in each state, for several entry score rows."""
-    pieces = _Pieces.of(np.array([len(log_b)]))
-    begin = np.cumsum(pieces.lengths) - pieces.lengths
-    score = entry
-    for p, table in enumerate(_best_of_pieces(log_b, log_move, begin, pieces.lengths)):
-        score = _best_move(score, log_move) if p else score
-        score = (score[:, :, None] + table[None]).max(axis=1)
-    return score
-
-
-def _decode_task(model: HmmModel, features: list[str], key: str):
+def _decode_task(model: HmmModel, features: list[str], ids: list[str]):
     log_start = np.log(np.maximum(model.initial, MIN_PROBABILITY))
-    log_move = np.log(np.maximum(model.transition, MIN_PROBABILITY))
+    log_move = np.log(_moves(model))
 
     def run(frames):
-        for block, lengths in _blocks(frames, key):
+        for block, lengths in _blocks(frames, ids):
             log_b = model.log_emission(block[features].to_numpy(dtype=float))
             entry = np.broadcast_to(log_start, (len(lengths), model.k))
             states = _best_paths(log_b, lengths, entry, log_move)
@@ -638,80 +907,40 @@ def _decode_task(model: HmmModel, features: list[str], key: str):
     return run
 
 
+def _decode_chunk(model: HmmModel, features: list[str]):
+    log_move = np.log(_moves(model))
+
+    def run(frame: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([START, FLOW_ID])
+        log_b = model.log_emission(frame[features].to_numpy(dtype=float))
+        entry = np.asarray(edge["before"].iloc[0])[None, :]
+        leave = np.array([int(edge["after"].iloc[0][0])])
+        states = _best_paths(log_b, np.array([len(frame)]), entry, log_move, leave)
+        return pd.DataFrame({FLOW_ID: frame[FLOW_ID].to_numpy(), STATE: states})
+
+    return run
+
+
 def decode(seqs: Sequences, model: HmmModel) -> DataFrame:
     """The most likely state of every flow: FLOW_ID, HMM_STATE.
 
-    A cut sequence is decoded exactly: each chunk first reports, for every state
-    it could be entered from, the best score of leaving in every state; these
-    small matrices are chained per sequence; then every chunk is decoded with
-    its known entry scores and last state.
+    A cut sequence is decoded exactly: each chunk first reports, for every state it could be entered from, the
+    best score of leaving in every state; a tree chains these small matrices (:class:`_BestTree`); then every
+    chunk is decoded with its known entry scores and last state.
     """
     out = f"{FLOW_ID} long, {STATE} int"
-    key, features = seqs.key, seqs.features
-    names = [FLOW_ID, key, "chunk", *features]
-    task = _decode_task(model, features, key)
+    ids, features = seqs.ids, seqs.features
+    names = [FLOW_ID, *ids, CHUNK, *features]
+    task = _decode_task(model, features, ids)
     if not seqs.cut:
         return seqs.rows.select(*names).mapInPandas(task, out)
-    whole = seqs.rows.where(~F.col("long"))
-    parts = seqs.rows.where("long").select(*names, START)
-    log_start = np.log(np.maximum(model.initial, MIN_PROBABILITY))
-    log_move = np.log(np.maximum(model.transition, MIN_PROBABILITY))
-    k = model.k
-
-    def ordered(frame):
-        frame = frame.sort_values([START, FLOW_ID])
-        return frame, model.log_emission(frame[features].to_numpy(dtype=float))
-
-    def through(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, log_b = ordered(frame)
-        chunk = int(frame["chunk"].iloc[0])
-        entry = log_start[None, :] if chunk == 0 else log_move
-        scores = _final_scores(log_b, entry, log_move)
-        return pd.DataFrame(
-            {key: [frame[key].iloc[0]], "chunk": [chunk], "scores": [scores.ravel().tolist()]}
-        )
-
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("chunk")
-        tables = [np.array(s).reshape(-1, k) for s in frame["scores"]]
-        score, before, choice = tables[0][0], [log_start], []
-        for table in tables[1:]:
-            before.append((score[:, None] + log_move).max(axis=0))
-            options = score[:, None] + table
-            choice.append(options.argmax(axis=0))
-            score = options.max(axis=0)
-            score = score - score.max()
-        state = int(score.argmax())
-        leave = [state]
-        for back in reversed(choice):
-            state = int(back[state])
-            leave.append(state)
-        return pd.DataFrame(
-            {
-                key: frame[key].to_numpy(),
-                "chunk": frame["chunk"].to_numpy(),
-                "entry": [e.tolist() for e in before],
-                "leave": leave[::-1],
-            }
-        )
-
-    def finish(frame: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
-        frame, log_b = ordered(frame)
-        entry = np.array(edge["entry"].iloc[0])[None, :]
-        leave = edge["leave"].to_numpy()[:1]
-        states = _best_paths(log_b, np.array([len(frame)]), entry, log_move, leave)
-        return pd.DataFrame({FLOW_ID: frame[FLOW_ID].to_numpy(), STATE: states})
-
-    kind = dict(seqs.rows.dtypes)[key]
-    edges = (
-        parts.groupBy(key, "chunk")
-        .applyInPandas(through, f"{key} {kind}, chunk int, scores array<double>")
-        .groupBy(key)
-        .applyInPandas(chain, f"{key} {kind}, chunk int, entry array<double>, leave int")
-    )
+    whole = seqs.rows.where(~F.col(LONG)).select(*names).mapInPandas(task, out)
+    rows = seqs.rows.where(LONG)
+    tree = _BestTree(model)
+    edges = _tree_edges(materialize(_nodes(rows, seqs, tree), "nodes"), seqs, tree)
     cut = (
-        parts.groupBy(key, "chunk")
-        .cogroup(edges.groupBy(key, "chunk"))
-        .applyInPandas(finish, out)
-    )
-    return whole.select(*names).mapInPandas(task, out).unionByName(cut)
+        rows.select(*names, START).groupBy(*ids, CHUNK)
+        .cogroup(edges.withColumnRenamed("node", CHUNK).groupBy(*ids, CHUNK))
+        .applyInPandas(_decode_chunk(model, features), out)
+    )
+    return whole.unionByName(cut)

@@ -134,7 +134,8 @@ def test_pieces_change_nothing(monkeypatch, rows):
         hmm._sufficient_statistics(model, x, lengths),
         hmm._best_paths(log_b, lengths, entry, move),
         hmm._best_paths(log_b, lengths, entry, move, leave),
-        hmm._final_scores(log_b, np.log(model.transition), move),
+        np.array([t for t, _ in hmm._BestTree(model).leaves(0, x, lengths)]),
+        np.array([t for t, _ in hmm._SumTree({0: model}).leaves(0, x, lengths)]),
     )
     whole = run()
     monkeypatch.setattr(hmm, "PIECE_ROWS", rows)
@@ -145,32 +146,115 @@ def test_pieces_change_nothing(monkeypatch, rows):
 def test_batches_may_split_sequences_anywhere(spark):
     import pandas as pd
 
-    frame = pd.DataFrame({"dst_ip": list("aaabbbbbcd"), "chunk": [0, 0, 1, 0, 0, 0, 0, 0, 0, 0], "v": range(10)})
+    frame = pd.DataFrame({"dst_ip": list("aaabbbbbcd"), "run": 0, "chunk": [0, 0, 1, 0, 0, 0, 0, 0, 0, 0], "v": range(10)})
     for size in (1, 2, 3, 10):
         parts = [frame.iloc[i : i + size] for i in range(0, 10, size)]
-        blocks = list(hmm._blocks(iter(parts), "dst_ip", block_rows=2))
+        blocks = list(hmm._blocks(iter(parts), ["dst_ip", "run"], block_rows=2))
         assert [v for b, _ in blocks for v in b["v"]] == list(range(10))
         assert [n for _, lengths in blocks for n in lengths] == [2, 1, 5, 1, 1]
 
 
-def test_cut_sequences_decode_exactly(spark, data, fitted):
-    df, _ = synthetic(spark, n_seq=3, length=300, seed=9, stay=0.8)
-    extra, _ = synthetic(spark, n_seq=1, length=5, seed=4)
-    df = df.unionByName(extra.selectExpr(
-        f"{FLOW_ID} + 100000 AS {FLOW_ID}", "'short' AS dst_ip", "FLOW_START_MILLISECONDS", "x", "y"))
-    # overlapping states make the best path depend on its neighbours
+def overlapping(fitted):
+    """States that overlap make paths and counts depend on their neighbours."""
+    model = fitted.model
+    return hmm.HmmModel(
+        model.means, model.variances * 60, np.array([[0.97, 0.03], [0.1, 0.9]]), np.array([0.3, 0.7])
+    )
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """One destination with most rows, half of these in a single instant, and some short ones, one without a key."""
+    df, _ = synthetic(spark, n_seq=1, length=700, seed=9, stay=0.8)
+    few, _ = synthetic(spark, n_seq=9, length=23, seed=4)
+    instant = f"CASE WHEN {FLOW_ID} < 350 THEN 5 ELSE FLOW_START_MILLISECONDS END AS FLOW_START_MILLISECONDS"
+    return df.selectExpr(FLOW_ID, "dst_ip", instant, "x", "y").unionByName(few.selectExpr(
+        f"{FLOW_ID} + 100000 AS {FLOW_ID}", "CASE WHEN dst_ip <> 'd3' THEN 's' || dst_ip END AS dst_ip",
+        "FLOW_START_MILLISECONDS", "x", "y")).repartition(3)
+
+
+@pytest.fixture(scope="module", params=[40, 3])
+def both(spark, skewed, request):
+    """The layout whole, and cut into chunks that stand in many ranges."""
+    old = hmm.SMALL_PARTITION_ROWS, hmm.PARTITION_ROWS, hmm.FAN_BITS
+    whole = hmm.sequences(skewed, NAMES)
+    hmm.SMALL_PARTITION_ROWS, hmm.PARTITION_ROWS, hmm.FAN_BITS = 20, 60, 2
+    yield whole, hmm.sequences(skewed, NAMES, chunk_rows=request.param)
+    hmm.SMALL_PARTITION_ROWS, hmm.PARTITION_ROWS, hmm.FAN_BITS = old
+
+
+def test_chunks_are_small_and_in_order(both):
+    whole, cut = both
+    assert not whole.cut and cut.ranges > 8
+    rows = cut.rows.toPandas().sort_values(["dst_ip", "FLOW_START_MILLISECONDS", FLOW_ID])
+    assert len(rows) == whole.rows.count() == 907
+    assert rows.groupby(["dst_ip", "chunk"], dropna=False).size().max() <= 40
+    assert rows["long"].sum() >= 700 and rows.loc[rows.dst_ip == "d0", "chunk"].is_monotonic_increasing
+    assert rows.loc[rows.dst_ip == "d0", "chunk"].nunique() > 17
+
+
+def test_cut_sequences_decode_exactly(both, fitted):
+    model = overlapping(fitted)
+    a, b = (hmm.decode(s, model) for s in both)
+    assert a.count() == 907 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    assert 0 < a.where("HMM_STATE = 0").count() < 907
+
+
+def test_cut_sequences_count_exactly(both, fitted):
+    """Expected counts of two models at once do not depend on the cuts."""
+    models = {2: overlapping(fitted), 7: fitted.model}
+    a, b = (hmm.expectation(s, models) for s in both)
+    for m in models:
+        assert np.allclose(a[m], b[m], rtol=1e-9, atol=1e-9)
+        assert a[m][2:4].sum() == pytest.approx(10)  # one first row per sequence
+
+
+def test_training_does_not_depend_on_chunks(both):
+    start = {3: hmm.init_model(both[0], 3)}
+    a, b = (hmm.fit_models(s, start, 6, 0.0)[3] for s in both)
+    assert a.iterations == b.iterations == 6 and np.allclose(a.history, b.history)
+    for name in ("means", "variances", "transition", "initial"):
+        assert np.allclose(getattr(a.model, name), getattr(b.model, name), atol=1e-6)
+    a, b = (hmm.fit_hmm(s, 2, max_iter=8) for s in both)
+    assert a.log_likelihood == pytest.approx(b.log_likelihood) and np.allclose(a.model.means, b.model.means, atol=1e-6)
+
+
+def test_rounds_over_cut_sequences_move_no_rows(both, fitted):
+    """Only edges and sums are shuffled; the rows of chunks lie where the layout put them."""
+    cut = both[1]
+    tree = hmm._BestTree(fitted.model)
+    rows = cut.rows.where("long")
+    edges = hmm._tree_edges(hmm._nodes(rows, cut, tree), cut, tree).withColumnRenamed("node", "chunk")
+    met = rows.groupBy(*cut.ids, "chunk").cogroup(edges.groupBy(*cut.ids, "chunk")).applyInPandas(
+        hmm._decode_chunk(fitted.model, NAMES), f"{FLOW_ID} long, HMM_STATE int"
+    )
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    top = plan[plan.index("FlatMapCoGroupsInPandas") :]
+    assert "Exchange" not in top[: top.index("InMemoryTableScan")]
+
+
+def test_logarithms_of_far_states():
+    """A state that is impossible for a whole piece takes the counts of others with it nowhere."""
+    rng = np.random.default_rng(1)
     model = hmm.HmmModel(
-        fitted.model.means, fitted.model.variances * 60, np.array([[0.97, 0.03], [0.1, 0.9]]),
-        fitted.model.initial,
+        np.array([[0.0], [40.0]]), np.full((2, 1), 0.01), np.array([[1.0, 1e-300], [1e-300, 1.0]]), np.array([0.5, 0.5])
     )
-    whole = hmm.sequences(df, NAMES)
-    cut = hmm.sequences(df, NAMES, chunk_rows=40)
-    assert not whole.cut and cut.cut
-    assert cut.rows.select("dst_ip", "chunk").distinct().count() > 20
-    a = hmm.decode(whole, model)
-    b = hmm.decode(cut, model)
-    assert a.count() == 905 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
-    assert 0 < a.where("HMM_STATE = 0").count() < 905
+    x = np.concatenate([rng.normal(0, 0.1, (50, 1)), rng.normal(40, 0.1, (50, 1))])
+    tree = hmm._SumTree({0: model})
+    nodes = [tree.leaves(0, part, np.array([len(part)]))[0] for part in np.split(x, [30, 55, 80])]
+    edges = tree.edges(0, nodes, None)
+    parts = [
+        hmm._sufficient_statistics(model, part, np.array([len(part)]), before if len(before) else None, after)
+        for part, (before, after) in zip(np.split(x, [30, 55, 80]), edges)
+    ]
+    whole = hmm._sufficient_statistics(model, x, np.array([100]))
+    assert np.isfinite(whole).all() and np.allclose(sum(parts), whole)
+
+
+def test_samples_cut_long_sequences_by_the_hour(spark, skewed):
+    seqs = hmm.sequences(skewed.where("dst_ip = 'd0' AND FLOW_START_MILLISECONDS > 10"), NAMES, sample_rows=200)
+    sizes = seqs.rows.groupBy("dst_ip", "run").count().collect()
+    assert 1 <= len(sizes) < 7 and all(r["count"] <= 60 for r in sizes)
 
 
 def test_sequences_of_one_and_few_points(spark):

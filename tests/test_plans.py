@@ -97,8 +97,8 @@ def test_model_rounds_do_not_shuffle_flows(spark, table):
 
     seqs = hmm.sequences(features.flow_features(table))
     model = hmm.init_model(seqs, 2)
-    task = hmm._statistics_task({2: model}, seqs.features, seqs.key)
-    out = seqs.rows.select("dst_ip", "chunk", *seqs.features).mapInPandas(
+    task = hmm._statistics_task({2: model}, seqs.features, seqs.ids)
+    out = seqs.rows.select("dst_ip", "run", "chunk", *seqs.features).mapInPandas(
         task, "m int, pos int, value double"
     )
     text = plan(out)
