@@ -634,11 +634,18 @@ def _(spark, sf):
 # ----------------------------------------------------------------- streams
 
 
-def _landed(spark, sf, name):
+def _land(f, folder, first, last, of=4):
+    """Deliver some quarters of the flows as files; each quarter holds flows of all times."""
+    part = F.pmod(F.xxhash64(FLOW_ID), F.lit(of))
+    for k in range(first, last):
+        f.where(part == k).coalesce(1).write.mode("append").parquet(folder)
+
+
+def _landed(spark, sf, name, quarters=4):
     """The flows as files in a folder, for a file stream."""
     folder = scratch_path(spark, name)
     f = flows(spark, sf)
-    f.repartition(4, FLOW_ID).write.parquet(folder)
+    _land(f, folder, 0, quarters)
     return f.schema, folder
 
 
@@ -647,24 +654,30 @@ def _(spark, sf):
     schema, folder = _landed(spark, sf, "x1-in")
     table, state = scratch_path(spark, "x1"), scratch_path(spark, "x1-state")
     jobs.ingest_new_files(spark, folder, table, state, schema, files_per_batch=2).awaitTermination()
-    return spark.read.parquet(table).select(
+    return jobs.ingested(spark, table).select(
         FLOW_ID, "IPV4_SRC_ADDR", "FLOW_START_MILLISECONDS", "Attack"
     )
 
 
+def _kept(spark, sf, name, part):
+    """A view kept over four files in three batches, the last one after the stream had ended."""
+    schema, folder = _landed(spark, sf, f"{name}-in", 3)
+    view, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    for late in (False, True):
+        if late:
+            _land(flows(spark, sf), folder, 3, 4)
+        live = jobs.stream_flows(spark, folder, schema, files_per_batch=2)
+        jobs.keep_view(live, part, view, state).awaitTermination()
+    return view
+
+
 @check("X2_live_timeline", f", t AS (SELECT {MS} // 3600000 * 3600000 AS time, Attack AS attack,"
        f" count(*) AS count FROM flows GROUP BY ALL) SELECT * FROM t")
 def _(spark, sf):
-    schema, folder = _landed(spark, sf, "x2-in")
-    jobs.close_stream(spark, folder, schema)
-    live = jobs.live_timeline(jobs.stream_flows(spark, folder, schema))
-    return jobs.run_to_table(live, scratch_path(spark, "x2"), scratch_path(spark, "x2-state"))
+    return jobs.timeline_view(spark, _kept(spark, sf, "x2", jobs.timeline_part()))
 
 
 @check("X3_live_gap_sessions", GAP_RUNS + " SELECT src_ip, session_start, last_start, session_end,"
        " flow_count, total_bytes FROM gap")
 def _(spark, sf):
-    schema, folder = _landed(spark, sf, "x3-in")
-    jobs.close_stream(spark, folder, schema)
-    live = jobs.live_sessions(jobs.stream_flows(spark, folder, schema))
-    return jobs.run_to_table(live, scratch_path(spark, "x3"), scratch_path(spark, "x3-state"))
+    return jobs.sessions_view(spark, _kept(spark, sf, "x3", jobs.sessions_part()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -57,12 +59,42 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _test_dirs:
         _test_dirs[app] = tempfile.mkdtemp(prefix="flowlens-")
+        atexit.register(shutil.rmtree, _test_dirs[app], ignore_errors=True)
     return _test_dirs[app]
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path inside :func:`shared_dir`."""
-    return f"{shared_dir(spark)}/flowlens/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/flowlens/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this process has written to scratch paths; returns how many there were.
+
+    Call it once the results that were wanted are stored elsewhere: tables returned by the operators may still read
+    their scratch files.
+    """
+    gone = 0
+    while _scratch:
+        place, files = _located(spark, _scratch.pop())
+        gone += bool(files.exists(place) and files.delete(place, True))
+    return gone
+
+
+def _located(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever store it names."""
+    place, files = _located(spark, path)
+    return bool(files.exists(place))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

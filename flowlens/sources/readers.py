@@ -119,14 +119,20 @@ def probe(spark: SparkSession, path: str) -> int:
     return df.count()
 
 
+SPLIT_BITS, MAX_ID = 33, (1 << 63) - 1  # rows of a split; the largest id
+
+
 def with_flow_id(df: DataFrame, base: int = 0) -> DataFrame:
     """Number the flows, at ingest only, before any shuffle.
 
     The number is (input split, row in split), so a retried task gives the same
     ones; once written with the table it is the stable identity of the flow.
+    Numbers after ``base`` are refused where the splits would not fit into 63 bits.
     """
     if FLOW_ID in df.columns:
         return df
+    if base and base + (df.rdd.getNumPartitions() << SPLIT_BITS) > MAX_ID:
+        raise OverflowError(f"no room for flow ids after {base}; number the table anew")
     return df.select((F.monotonically_increasing_id() + F.lit(base)).alias(FLOW_ID), "*")
 
 

@@ -8,7 +8,9 @@ from flowlens.functions.columns import start_time
 from flowlens.schema import FLOW_ID, START, STATE, FLOW_SCHEMA
 from flowlens.sources.readers import read_flows, with_flow_id
 
-DATE = "flow_date"
+DATE, BATCH = "flow_date", "ingest_batch"
+#: The number of the rows that a table starts with when deliveries are to be ingested into it.
+LOADED = -1
 
 
 def with_flow_date(f: DataFrame) -> DataFrame:
@@ -16,23 +18,38 @@ def with_flow_date(f: DataFrame) -> DataFrame:
 
 
 def write_flows(
-    f: DataFrame, path: str, mode: str = "overwrite", by_date: bool = True, codec: str = "zstd"
+    f: DataFrame, path: str, mode: str = "overwrite", by_date: bool = True, codec: str = "zstd",
+    batch: int | None = None,
 ) -> None:
     """Write the table, partitioned by start date.
 
     The rebalance hint gathers each date into few files and lets adaptive
-    execution split a date that holds too much for one task.
+    execution split a date that holds too much for one task.  With ``batch`` a
+    date is partitioned by delivery too, and the rows of that delivery, if the
+    table has some already, are replaced; all others stay.
     """
     writer = f
-    if by_date:
+    if by_date or batch is not None:
         writer = with_flow_date(f).hint("rebalance", DATE)
+    if batch is not None:
+        writer = writer.withColumn(BATCH, F.lit(batch))
+        mode = "overwrite"
     out = writer.write.mode(mode).option("compression", codec)
-    (out.partitionBy(DATE) if by_date else out).parquet(path)
+    if batch is not None:
+        out.option("partitionOverwriteMode", "dynamic").partitionBy(DATE, BATCH).parquet(path)
+    else:
+        (out.partitionBy(DATE) if by_date else out).parquet(path)
 
 
-def load(spark: SparkSession, source: str | list[str], table_path: str, by_date: bool = True):
-    """Create or replace the flows table from files; returns the table."""
-    write_flows(with_flow_id(read_flows(spark, source)), table_path, "overwrite", by_date)
+def load(
+    spark: SparkSession, source: str | list[str], table_path: str, by_date: bool = True, for_ingest: bool = False
+):
+    """Create or replace the flows table from files; returns the table.
+
+    ``for_ingest`` lays a new table out so that deliveries can be added by stream.
+    """
+    rows = with_flow_id(read_flows(spark, source))
+    write_flows(rows, table_path, "overwrite", by_date, batch=LOADED if for_ingest else None)
     return spark.read.parquet(table_path)
 
 

@@ -1,21 +1,25 @@
-"""Incremental and live versions of ingest, timeline and sessions."""
+"""Incremental and live versions of ingest, timeline and sessions.
+
+Two kinds of live results: views kept in parts (:func:`keep_view`), which equal the batch operators on all flows seen
+so far, and append-only streams (:func:`live_timeline`, :func:`live_sessions`), which give a row out once a watermark
+has passed it and never change it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 from flowlens.functions.columns import start_time, total_bytes
+from flowlens.operators.sessions import MINUTE_MS, gap_sessions
+from flowlens.operators.summaries import timeline
 from flowlens.schema import END, FLOW_ID, SRC, START, conform
-from flowlens.sources.readers import NO_TEXT, map_columns
-from flowlens.sources.writers import with_flow_date
-
-# Room for flow ids: batch number, then partition (ten bits), then row.
-BATCH_SHIFT = 43
-MAX_PARTITIONS = 1 << 10
-CLOSING_TIME = 4_102_444_800_000  # the year 2100
-
+from flowlens.session import path_exists
+from flowlens.sources.readers import NO_TEXT, map_columns, with_flow_id
+from flowlens.sources.writers import BATCH, LOADED, write_flows
 
 def stream_flows(
     spark: SparkSession,
@@ -33,6 +37,44 @@ def stream_flows(
     return conform(map_columns(reader.load(folder)), fill_missing=False)
 
 
+def _batches(table_path: str) -> str:
+    """Where the batches that are in the table are noted; readers of the table pass over the folder."""
+    return f"{table_path}/_batches"
+
+
+NOTE = "batch int, rows long, next_id long"
+
+
+def _noted(spark: SparkSession, table_path: str) -> DataFrame:
+    return spark.read.schema(NOTE).option("recursiveFileLookup", True).parquet(_batches(table_path))
+
+
+def _next_id(spark: SparkSession, table_path: str, number: int) -> int:
+    """The first free flow id before batch ``number``, the same each time that batch is run."""
+    if path_exists(spark, _batches(table_path)):
+        noted = _noted(spark, table_path).where(F.col("batch") < number)
+        last = noted.agg(F.max("next_id")).first()[0]
+        if last is not None:
+            return last
+    if not path_exists(spark, table_path):
+        return 0
+    table = spark.read.parquet(table_path)
+    if BATCH not in table.columns:
+        raise ValueError(f"{table_path} is not laid out for deliveries; load it with for_ingest=True")
+    last = table.where(F.col(BATCH) < number).agg(F.max(FLOW_ID)).first()[0]
+    return 0 if last is None else last + 1
+
+
+def _note_batch(spark: SparkSession, table_path: str, number: int, first_id: int) -> None:
+    rows, last = 0, None
+    if path_exists(spark, table_path):
+        mine = spark.read.parquet(table_path).where(F.col(BATCH) == number)
+        rows, last = mine.agg(F.count(F.lit(1)), F.max(FLOW_ID)).first()
+    following = first_id if last is None else max(first_id, last + 1)
+    note = spark.createDataFrame([(number, rows, following)], NOTE)
+    note.coalesce(1).write.mode("overwrite").parquet(f"{_batches(table_path)}/{number}")
+
+
 def ingest_new_files(
     spark: SparkSession,
     folder: str,
@@ -44,17 +86,16 @@ def ingest_new_files(
 ) -> StreamingQuery:
     """Append the files not seen before, then stop.
 
-    Each batch owns one directory of the table and overwrites it, so a batch
-    that is run again after a failure leaves no duplicates.
+    The table is partitioned by flow date and by batch: a filter on time prunes dates as in a loaded table, and a
+    batch that is run again after a failure replaces its own rows of each date and leaves no duplicates.  A batch is
+    noted when all of it is written; :func:`ingested` reads the noted ones.  Ids go on after those of the batch
+    before, from any number of tasks.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        if FLOW_ID not in batch.columns:
-            batch = batch.coalesce(MAX_PARTITIONS).select(
-                (F.monotonically_increasing_id() + F.lit(number << BATCH_SHIFT)).alias(FLOW_ID), "*"
-            )
-        out = f"{table_path}/ingest_batch={number}"
-        with_flow_date(batch).write.mode("overwrite").parquet(out)
+        first_id = _next_id(spark, table_path, number)
+        write_flows(with_flow_id(batch, first_id), table_path, batch=number)
+        _note_batch(spark, table_path, number, first_id)
 
     return (
         stream_flows(spark, folder, schema, format, files_per_batch)
@@ -65,12 +106,98 @@ def ingest_new_files(
     )
 
 
+def ingested(spark: SparkSession, table_path: str) -> DataFrame:
+    """The table without batches that are still being written.
+
+    Batches end in order, so one number divides them, and the comparison prunes partitions.
+    """
+    last = LOADED
+    if path_exists(spark, _batches(table_path)):
+        last = _noted(spark, table_path).agg(F.max("batch")).first()[0]
+    return spark.read.parquet(table_path).where(F.col(BATCH) <= last).drop(BATCH)
+
+
+# ------------------------------------------------------------ kept views
+
+
+def keep_view(
+    stream: DataFrame, partial: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
+) -> StreamingQuery:
+    """Add what is new in a stream to a view that is kept in parts, then stop.
+
+    ``partial`` sums up the rows of one batch by batch operators; parts of different batches can be merged exactly,
+    whatever order flows arrive in, so there is no window to close, no late row and no state to hold in memory.  A
+    batch that is run again replaces its own part.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # read several times
+        try:
+            partial(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def timeline_part(minutes: int = 60) -> Callable[[DataFrame], DataFrame]:
+    return lambda batch: timeline(batch, minutes, ordered=False)
+
+
+def sessions_part(gap: int = 30) -> Callable[[DataFrame], DataFrame]:
+    """Sessions inside one batch; a source with many flows is cut into time slices, as in the batch operator."""
+    return lambda batch: gap_sessions(batch, gap).drop("session_no")
+
+
+def timeline_view(spark: SparkSession, path: str, minutes: int = 60, until: int | None = None) -> DataFrame:
+    """time, attack, count of all flows seen so far; ``until`` (ms) leaves out windows that end later."""
+    parts = spark.read.parquet(path)
+    if until is not None:
+        parts = parts.where(F.col("time") + F.lit(minutes * MINUTE_MS) <= until)
+    return parts.groupBy("time", "attack").agg(F.sum("count").alias("count"))
+
+
+def sessions_view(spark: SparkSession, path: str, gap: int = 30, until: int | None = None) -> DataFrame:
+    """Idle-gap sessions of all flows seen so far; ``until`` (ms) leaves out those that could still go on then.
+
+    The parts of a source are merged where the next begins at most the gap after the latest start before it; that is
+    where the flows of both would be one session.
+    """
+    parts = spark.read.parquet(path).drop("batch")
+    gap_ms = gap * MINUTE_MS
+    order = Window.partitionBy("src_ip").orderBy("session_start", "last_start")
+    before = F.max("last_start").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("session_start") - before <= gap_ms, 0).otherwise(1)
+    merged = (
+        parts.withColumn("_new", new)
+        .withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("src_ip", "_run")
+        .agg(
+            F.min("session_start").alias("session_start"),
+            F.max("last_start").alias("last_start"),
+            F.max("session_end").alias("session_end"),
+            F.sum("flow_count").alias("flow_count"),
+            F.sum("total_bytes").alias("total_bytes"),
+        )
+        .drop("_run")
+    )
+    return merged if until is None else merged.where(F.col("last_start") + F.lit(gap_ms) < until)
+
+
+# ---------------------------------------------------- append-only streams
+
+
 def live_timeline(
     flows: DataFrame, minutes: int = 60, lateness: str = "10 minutes"
 ) -> DataFrame:
     """Counts per window and attack, for a streaming (or a static) table.
 
-    In append mode a window is given out once the watermark has passed it.
+    In append mode a window is given out once the watermark has passed it; later rows of it are dropped.
     """
     timed = flows.withColumn("ts", start_time())
     if flows.isStreaming:
@@ -107,20 +234,6 @@ def live_sessions(flows: DataFrame, gap: int = 30, lateness: str = "10 minutes")
     )
 
 
-def close_stream(spark: SparkSession, folder: str, schema: StructType) -> None:
-    """Deliver a last Parquet file to a finished stream, so that its open windows are given out.
-
-    The one row in it lies in the year 2100 and its own window never closes.  Rows delivered later
-    count as late.
-    """
-    spark.range(1).select(
-        *[
-            F.lit(CLOSING_TIME if c.name in (START, END) else None).cast(c.dataType).alias(c.name)
-            for c in schema.fields
-        ]
-    ).write.mode("append").parquet(folder)
-
-
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Process what is available into Parquet and return the table."""
     q = (

@@ -72,18 +72,139 @@ def test_rows_behind_the_watermark_are_dropped(spark, make_flows):
     assert rows(table, ["time", "count"]) == [(0, 1), (hour, 1), (5 * hour, 1), (6 * hour, 1)]
 
 
+def ingest(spark, folder, table, state, schema, **more):
+    jobs.ingest_new_files(spark, folder, table, state, schema, files_per_batch=1, **more).awaitTermination()
+
+
 def test_ingest_takes_each_file_once(spark, make_flows):
     folder, table, state = (scratch_path(spark, f"t-in-{n}") for n in ("in", "table", "state"))
     f = make_flows([{"IN_BYTES": i} for i in range(40)]).drop(FLOW_ID)
     for part in (f.where("IN_BYTES < 10"), f.where("IN_BYTES >= 10")):
         deliver(folder, part)
         for _ in range(2):  # the second run finds nothing new
-            jobs.ingest_new_files(
-                spark, folder, table, state, f.schema, files_per_batch=1
-            ).awaitTermination()
-    out = spark.read.parquet(table)
+            ingest(spark, folder, table, state, f.schema)
+    out = jobs.ingested(spark, table)
     assert out.count() == 40 and out.select(FLOW_ID).distinct().count() == 40
     assert sorted(r.IN_BYTES for r in out.collect()) == list(range(40))
+    notes = [tuple(r) for r in jobs._noted(spark, table).orderBy("batch").collect()]
+    assert sum(n[1] for n in notes) == 40 and all(a[2] <= b[2] for a, b in zip(notes, notes[1:]))
+
+
+DAY = 86_400_000
+
+
+def test_a_repeated_batch_replaces_its_rows(spark, make_flows):
+    """As after a failure between writing a batch and ending it; other batches and dates stay as they are."""
+    folder, table, state = (scratch_path(spark, f"t-again-{n}") for n in ("in", "table", "state"))
+    f = make_flows([{"IN_BYTES": i, "FLOW_START_MILLISECONDS": DAY * (19_700 + i % 3)} for i in range(12)]).drop(FLOW_ID)
+    for low in (0, 6):
+        f.where(f"IN_BYTES >= {low} AND IN_BYTES < {low + 6}").coalesce(1).write.mode("append").parquet(folder)
+        ingest(spark, folder, table, state, f.schema)
+    before = rows(jobs.ingested(spark, table), [FLOW_ID, "IN_BYTES"])
+    again = jobs.with_flow_id(spark.read.parquet(folder).where("IN_BYTES >= 6"), jobs._next_id(spark, table, 1))
+    jobs.write_flows(again, table, batch=1)
+    assert [b for _, b in rows(jobs.ingested(spark, table), [FLOW_ID, "IN_BYTES"])] == [b for _, b in before]
+    assert len({i for i, _ in rows(jobs.ingested(spark, table), [FLOW_ID, "IN_BYTES"])}) == 12
+
+
+def test_a_batch_is_seen_when_it_is_noted(spark, make_flows):
+    table = scratch_path(spark, "t-noted")
+    f = make_flows([{"IN_BYTES": i} for i in range(4)])
+    jobs.write_flows(f, table, batch=0)
+    jobs._note_batch(spark, table, 0, 0)
+    jobs.write_flows(f, table, batch=1)  # and no note yet
+    assert spark.read.parquet(table).count() == 8 and jobs.ingested(spark, table).count() == 4
+
+
+def test_ingest_into_a_loaded_table(spark, make_flows):
+    from flowlens.sources.writers import load
+
+    source, folder, table, state = (scratch_path(spark, f"t-loaded-{n}") for n in ("src", "in", "table", "state"))
+    f = make_flows([{"IN_BYTES": i} for i in range(10)]).drop(FLOW_ID)
+    f.where("IN_BYTES < 5").write.parquet(source)
+    load(spark, source, table, for_ingest=True)
+    deliver(folder, f.where("IN_BYTES >= 5"))
+    ingest(spark, folder, table, state, f.schema)
+    out = jobs.ingested(spark, table)
+    assert rows(out, ["IN_BYTES"]) == [(i,) for i in range(10)] and out.select(FLOW_ID).distinct().count() == 10
+    other = scratch_path(spark, "t-loaded-plain")
+    load(spark, source, other)
+    with pytest.raises(ValueError, match="for_ingest"):
+        jobs._next_id(spark, other, 0)
+
+
+def test_ingested_dates_are_pruned(spark, make_flows):
+    from flowlens.functions.predicates import FlowFilter, flow_filter
+    from tests.test_plans import plan
+
+    table = scratch_path(spark, "t-prune")
+    f = make_flows([{"FLOW_START_MILLISECONDS": DAY * (19_700 + i)} for i in range(5)])
+    jobs.write_flows(f, table, batch=0)
+    jobs._note_batch(spark, table, 0, 0)
+    spec = FlowFilter(start=DAY * 19_701, end=DAY * 19_703)
+    hits = jobs.ingested(spark, table).where(flow_filter(spec, "flow_date"))
+    text = plan(hits)
+    filters = text[text.index("PartitionFilters") :].split("\n")[0]
+    assert "flow_date" in filters and "ingest_batch" in filters and hits.count() == 2
+
+
+def test_ids_that_do_not_fit_are_refused(spark, make_flows):
+    from flowlens.sources.readers import MAX_ID, with_flow_id
+
+    f = make_flows([{}] * 3).drop(FLOW_ID)
+    assert with_flow_id(f, 7).count() == 3
+    with pytest.raises(OverflowError):
+        with_flow_id(f, MAX_ID - 5)
+
+
+def keep(spark, folder, schema, part, name):
+    view, state = scratch_path(spark, f"{name}-view"), scratch_path(spark, f"{name}-state")
+
+    def run():
+        live = jobs.stream_flows(spark, folder, schema, files_per_batch=1)
+        jobs.keep_view(live, part, view, state).awaitTermination()
+        return view
+
+    return run
+
+
+SESSION = ["src_ip", "session_start", "last_start", "session_end", "flow_count", "total_bytes"]
+
+
+def test_views_equal_batch_results_with_late_files(spark, landed):
+    """Later and earlier halves in the wrong order, a second run, and an untouched input folder."""
+    f, (first, second, _) = landed
+    folder = scratch_path(spark, "t-view-in")
+    timelines = keep(spark, folder, f.schema, jobs.timeline_part(), "t-tl-view")
+    sessions = keep(spark, folder, f.schema, jobs.sessions_part(), "t-gs-view")
+    for part in (second, first):
+        deliver(folder, part)
+        timelines(), sessions()
+    assert spark.read.parquet(folder).count() == f.count()
+    got = jobs.timeline_view(spark, timelines())
+    assert rows(got, ["time", "attack", "count"]) == rows(timeline(f), ["time", "attack", "count"])
+    assert rows(jobs.sessions_view(spark, sessions()), SESSION) == rows(gap_sessions(f), SESSION)
+
+
+def test_sessions_of_a_hot_source_merge_across_batches(spark, make_flows):
+    """A third of all flows of one source, dealt over batches so that parts interleave and enclose one another."""
+    minute = 60_000
+    starts = [k * 7 * minute for k in range(40)] + [2000 * minute, 2029 * minute, 2060 * minute]
+    made = [{"IPV4_SRC_ADDR": "hot", "FLOW_START_MILLISECONDS": t} for t in starts]
+    made += [{"IPV4_SRC_ADDR": f"s{k % 9}", "FLOW_START_MILLISECONDS": k * 11 * minute} for k in range(80)]
+    f = make_flows(made)
+    folder = scratch_path(spark, "t-hot-in")
+    run = keep(spark, folder, f.schema, jobs.sessions_part(), "t-hot")
+    for k in (2, 0, 1):
+        f.where(f"FLOW_ID % 3 = {k}").coalesce(1).write.mode("append").parquet(folder)
+        view = run()
+    assert rows(jobs.sessions_view(spark, view), SESSION) == rows(gap_sessions(f), SESSION)
+    hot = [r for r in rows(jobs.sessions_view(spark, view), SESSION) if r[0] == "hot"]
+    assert [r[4] for r in hot] == [40, 2, 1]
+    ended = jobs.sessions_view(spark, view, until=2031 * minute)
+    assert [r[4] for r in rows(ended, SESSION) if r[0] == "hot"] == [40]
+    early = rows(jobs.timeline_view(spark, keep(spark, folder, f.schema, jobs.timeline_part(), "t-early")(), until=120 * minute), ["time", "count"])
+    assert {t for t, _ in early} == {0, 60 * minute}
 
 
 def test_csv_stream(spark, make_flows):
@@ -91,4 +212,4 @@ def test_csv_stream(spark, make_flows):
     f = make_flows([{"IN_BYTES": i} for i in range(5)])
     f.write.option("header", True).csv(folder)
     jobs.ingest_new_files(spark, folder, table, state, f.schema, "csv").awaitTermination()
-    assert spark.read.parquet(table).count() == 5
+    assert jobs.ingested(spark, table).count() == 5
