@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from catalog import check
 from flow_fixture import flows, state_flows as labelled_flows
@@ -168,14 +168,38 @@ def _(spark, sf):
     return sample.groupBy("Attack").agg(F.count_distinct(FLOW_ID).alias("cnt"))
 
 
-@check("S11_stratified_sample_fast")
+def _members(f, sample, by):
+    """Rows of a sample by group: how many are flows of the table, each counted once."""
+    known = sample.join(f.select(FLOW_ID, F.col(by).alias("_by")), FLOW_ID)
+    same = F.col(by).eqNullSafe(F.col("_by"))
+    return known.groupBy(by).agg(F.count_distinct(F.when(same, F.col(FLOW_ID))).alias("cnt"), F.count("*").alias("rows"))
+
+
+@check(
+    "S11_stratified_sample_fast",
+    ", g AS (SELECT Attack, count(*) AS n, (SELECT count(*) FROM flows) AS total FROM flows GROUP BY Attack)"
+    " SELECT Attack, n, true AS near_share, true AS members FROM g WHERE 6000 * n >= 20 * total",
+)
 def _(spark, sf):
-    return samples.fast_stratified_sample(flows(spark, sf), target=6000)
+    """Groups that expect 20 rows or more hold about that many, within five standard deviations."""
+    f = flows(spark, sf)
+    sizes = f.groupBy("Attack").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    got = _members(f, samples.fast_stratified_sample(f, target=6000), "Attack")
+    expected = F.lit(6000) * F.col("n") / F.col("total")
+    near = F.abs(F.coalesce("cnt", F.lit(0)) - expected) <= 5 * F.sqrt(expected)
+    return sizes.where("6000 * n >= 20 * total").join(got, "Attack", "left").select(
+        "Attack", "n", near.alias("near_share"), (F.col("cnt") == F.col("rows")).alias("members")
+    )
 
 
-@check("S12_random_sample")
+@check("S12_random_sample", "SELECT least(1000, count(*)) AS cnt, least(1000, count(*)) AS \"rows\", true AS repeats FROM flows")
 def _(spark, sf):
-    return samples.random_sample(flows(spark, sf), 1000)
+    """A sample of the asked size, of flows of the table, the same each time."""
+    f = flows(spark, sf)
+    one, other = samples.random_sample(f, 1000), samples.random_sample(f.repartition(3), 1000)
+    total = _members(f, one, "Attack").agg(F.sum("cnt").alias("cnt"), F.sum("rows").alias("rows"))
+    again = one.join(other.select(FLOW_ID), FLOW_ID, "left_anti").agg((F.count("*") == 0).alias("repeats"))
+    return total.join(again)
 
 
 HOUR = "FLOW_START_MILLISECONDS // 3600000 * 3600000"
@@ -474,16 +498,17 @@ def _texts_of_tuple(column, where):
  FROM (SELECT DISTINCT nr, {column} AS v FROM numbered WHERE {where}) GROUP BY nr)"""
 
 
+# The columns that are summed, and those of which the greatest value stays.
+SUMMED = ("FLOW_DURATION_MILLISECONDS", "IN_BYTES", "OUT_BYTES", "IN_PKTS", "OUT_PKTS")
+PEAKS = ("Label", "CONN_STATE", "SERVICE", "COMMUNITY_ID", "L7_PROTO", "TCP_FLAGS", "MIN_TTL", "MAX_TTL")
 # Tuples are numbered (NULL is a value there), and each list is joined on from its own distinct rows.
 DEDUP = f"""SELECT * EXCLUDE (nr) FROM (
  WITH numbered AS (SELECT *, dense_rank() OVER (ORDER BY {TUPLE}) AS nr FROM flows),
  spans AS (SELECT nr, {TUPLE}, min(FLOW_START_MILLISECONDS) AS FLOW_START_MILLISECONDS,
   max(FLOW_END_MILLISECONDS) AS FLOW_END_MILLISECONDS,
   count(*) FILTER (WHERE Label = 'Attack') > 0 AS any_attack FROM numbered GROUP BY ALL),
- sums AS (SELECT nr, CAST(sum(COLUMNS('^(FLOW_DURATION_MILLISECONDS|(IN|OUT)_(BYTES|PKTS))$')) AS BIGINT) AS '\\0'
-  FROM numbered GROUP BY nr),
- peaks AS (SELECT nr, max(COLUMNS('^(Label|CONN_STATE|SERVICE|COMMUNITY_ID|L7_PROTO|TCP_FLAGS|M(IN|AX)_TTL)$')) AS '\\0'
-  FROM numbered GROUP BY nr)
+ sums AS (SELECT nr, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in SUMMED)} FROM numbered GROUP BY nr),
+ peaks AS (SELECT nr, {", ".join(f"max({c}) AS {c}" for c in PEAKS)} FROM numbered GROUP BY nr)
  SELECT * FROM spans JOIN sums USING (nr) JOIN peaks USING (nr)
  LEFT JOIN {_texts_of_tuple("Attack", "v IS NOT NULL")} USING (nr)
  LEFT JOIN {_texts_of_tuple("MITRE_TACTIC", "v IS NOT NULL")} USING (nr)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
 
-from catalog import check
+from pyspark.sql import Window, functions as F
+
+from catalog import check, tactics
 from flow_fixture import STATE_TACTICS, flows, state_flows as labelled_flows
 from flowlens.operators import features, hunts, scoring, sessions, states
 from flowlens.plans import discovery, hmm
@@ -201,7 +203,7 @@ _LOGS = (
 _FLAGS = (
     ("is_tcp", "PROTOCOL IS NOT DISTINCT FROM 6"), ("is_udp", "PROTOCOL IS NOT DISTINCT FROM 17"),
     ("is_icmp", "PROTOCOL IS NOT DISTINCT FROM 1"), ("is_conn_complete", "conn = 'SF'"),
-    ("is_conn_no_reply", "conn = 'S0'"), ("is_conn_rejected", "conn LIKE 'REJ' OR conn SIMILAR TO 'RST[OR]'"),
+    ("is_conn_no_reply", "conn = 'S0'"), ("is_conn_rejected", "conn IN ('REJ', 'RSTO', 'RSTR')"),
 )
 FEATURE_SQL = f"""SELECT FLOW_ID, IPV4_DST_ADDR AS dst_ip, {MS}, ratio AS bytes_ratio, pace AS pkts_per_second,
  coalesce(band, 2) AS port_category, {", ".join(f"ln({c} + 1) AS log1p_{n}" for n, c in _LOGS)},
@@ -260,12 +262,24 @@ def _model_rows(spark, model):
     return spark.createDataFrame(rows, "state int, feature string, mean double, variance double")
 
 
-@check("M4_init_model")
+@check("M4_init_model", """SELECT CAST(s AS INT) AS state, CAST(t AS INT) AS next_state, 0.25::DOUBLE AS initial,
+ CASE WHEN s = t THEN 0.7::DOUBLE ELSE 0.1::DOUBLE END AS move, true AS floored, true AS centred
+ FROM range(4) a(s), range(4) b(t)""")
 def _(spark, sf):
+    """Start values: uniform, sticky, no variance below the floor, mean of the means (by size) that of all flows."""
     seqs = _sequences(spark, sf)
     model = hmm.init_model(seqs, 4)
+    x = seqs.rows.select(*[F.avg(c) for c in features.FEATURES], *[F.min(c) for c in features.FEATURES],
+                         *[F.max(c) for c in features.FEATURES]).first()
     seqs.unpersist()
-    return _model_rows(spark, model)
+    d = len(features.FEATURES)
+    inside = all(lo - 1e-9 <= m <= hi + 1e-9 for row in model.means for m, lo, hi in zip(row, x[d:2 * d], x[2 * d:]))
+    rows = [
+        (s, t, float(model.initial[s]), round(float(model.transition[s, t]), 9),
+         bool((model.variances[s] >= hmm.MIN_VARIANCE).all()), inside)
+        for s in range(4) for t in range(4)
+    ]
+    return spark.createDataFrame(rows, "state int, next_state int, initial double, move double, floored boolean, centred boolean")
 
 
 @check("M5_fit_hmm")
@@ -342,9 +356,47 @@ def _(spark, sf):
     return states.state_timeline(labelled_flows(spark, sf))
 
 
-@check("M8_state_samples")
+@check("M8_state_samples", """SELECT HMM_STATE, least(20, count(*)) AS cnt, least(20, count(*)) AS last_rank,
+ true AS members, true AS repeats FROM flows WHERE HMM_STATE IS NOT NULL GROUP BY HMM_STATE""")
+def _(spark, sf):
+    """Of every state the asked number of its own flows, ranked without gaps, the same each time."""
+    f = labelled_flows(spark, sf)
+    sample = states.state_samples(f)
+    again = states.state_samples(f.repartition(3)).select(FLOW_ID, F.lit(1).alias("again"))
+    known = f.select(FLOW_ID, F.col(STATE).alias("own"))
+    joined = sample.join(known, FLOW_ID, "left").join(again, FLOW_ID, "left")
+    return joined.groupBy(STATE).agg(
+        F.count_distinct(FLOW_ID).alias("cnt"),
+        F.max("rank").cast("long").alias("last_rank"),
+        F.bool_and(F.col("own").eqNullSafe(F.col(STATE))).alias("members"),
+        F.bool_and(F.col("again").isNotNull()).alias("repeats"),
+    )
+
+
+def _detail_sql(part, column, n, condition="TRUE"):
+    return f"""(SELECT '{part}' AS part, CAST({column} AS VARCHAR) AS value, count(*) AS count FROM mine
+ WHERE {condition} GROUP BY {column} ORDER BY count DESC, {column} LIMIT {n})"""
+
+
+@check("M7_state_details", ", mine AS (SELECT * FROM flows WHERE HMM_STATE = 1) " + " UNION ALL ".join((
+    _detail_sql("src_hosts", "IPV4_SRC_ADDR", 5), _detail_sql("dst_hosts", "IPV4_DST_ADDR", 5),
+    _detail_sql("timeline", f"{MS} // 3600000 * 3600000", 1000000),
+    _detail_sql("conn_states", "CONN_STATE", 10, "CONN_STATE IS NOT NULL"),
+    _detail_sql("ports", "L4_DST_PORT", 5), _detail_sql("services", "SERVICE", 5, "SERVICE <> ''"),
+    "(SELECT 'samples' AS part, 'flows' AS value, least(20, count(*)) AS count FROM mine)",
+)))
 def _(spark, sf):
-    return states.state_samples(labelled_flows(spark, sf))
+    """The bundle of one state as one long table."""
+    found = states.state_details(labelled_flows(spark, sf), 1)
+    columns = {"src_hosts": "ip", "dst_hosts": "ip", "timeline": "bucket", "conn_states": "conn_state",
+               "ports": "port", "services": "service"}
+    parts = [
+        found[part].select(F.lit(part).alias("part"), F.col(c).cast("string").alias("value"), "count")
+        for part, c in columns.items()
+    ]
+    sampled = found["samples"].agg(F.count("*").alias("count"))
+    parts.append(sampled.select(F.lit("samples").alias("part"), F.lit("flows").alias("value"), "count"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 MATRIX = ", ".join(
@@ -422,12 +474,12 @@ def _(spark, sf):
     return states.traffic_profiles(labelled_flows(spark, sf), by="SERVICE")
 
 
-EXPORTED = ", ".join(
-    f"{'round(' + c + ', 6)' if c in PROFILE_DOUBLES else c} AS {name}"
-    for name, c in [*writers.EXPORT_FIELDS.items(), ("tcp", "tcp_pct"), ("udp", "udp_pct"),
-                    ("icmp", "icmp_pct"), ("wellKnown", "well_known_pct"),
-                    ("registered", "registered_pct"), ("ephemeral", "ephemeral_pct")]
-)
+# Names of the exported fields.
+EXPORTED = """state_id AS stateId, flow_count AS flowCount, round(avg_in_bytes, 6) AS avgInBytes,
+ round(avg_out_bytes, 6) AS avgOutBytes, round(bytes_ratio, 6) AS bytesRatio, round(avg_duration_ms, 6) AS avgDurationMs,
+ round(avg_pkts_per_sec, 6) AS avgPktsPerSec, round(tcp_pct, 6) AS tcp, round(udp_pct, 6) AS udp,
+ round(icmp_pct, 6) AS icmp, round(well_known_pct, 6) AS wellKnown, round(registered_pct, 6) AS registered,
+ round(ephemeral_pct, 6) AS ephemeral"""
 
 
 @check("S14_export_profiles", f"""{STATE_PROFILES} SELECT {EXPORTED}, CASE state_id WHEN 0 THEN 'Reconnaissance'
@@ -474,30 +526,16 @@ def _(spark, sf):
 @check("M13_anomaly_scores_narrowed", _anomaly_sql(_profile_sql("L4_DST_PORT", "entity"), "entity"))
 def _(spark, sf):
     by_port = states.traffic_profiles(labelled_flows(spark, sf), by="L4_DST_PORT")
-    return scoring.anomaly_scores(by_port, "entity", exact_rows=100)
-
-
-def _tactic_sql(profiles, key, rules):
-    table, default = scoring.RULE_SETS[rules]
-    inputs = ", ".join(f"{source} AS {name}" for name, source in scoring.RULE_INPUTS.items())
-    one = []
-    for place, (tactic, tests, _) in enumerate(table):
-        terms = " + ".join(
-            "CASE " + " ".join(f"WHEN {a[0]} THEN {a[1]}::DOUBLE" for a in t) + " ELSE 0 END" for t in tests
-        )
-        one.append(f"SELECT {key}, {place} AS place, '{tactic}' AS tactic,"
-                   f" least(1.0::DOUBLE, round({terms}, 6)) AS confidence FROM inputs")
-    return f"""{profiles}, inputs AS (SELECT {key}, {inputs} FROM profiles),
- scores AS ({' UNION ALL '.join(one)}),
- best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY confidence DESC, place) = 1)
- SELECT {key}, CASE WHEN confidence > 0 THEN tactic ELSE '{default}' END AS tactic, confidence FROM best"""
+    return scoring.anomaly_scores(by_port, "entity")
 
 
 def _tactics(name, profiles_sql, make, key, rules):
-    @check(name, _tactic_sql(profiles_sql, key, rules))
+    table, default = {"traffic": (tactics.TRAFFIC, "Normal"), "signature": (tactics.SIGNATURES, "Unknown")}[rules]
+
+    @check(name, tactics.tactic_sql(profiles_sql, key, table, default))
     def _(spark, sf):
         found = scoring.suggest_tactics(make(spark, sf), key, rules)
-        return found.select(key, "tactic", "confidence")
+        return found.withColumn("reasons", F.array_join("reasons", "; "))
 
 
 _tactics("M14_suggest_tactics", STATE_PROFILES, _profiles, "state_id", "traffic")
@@ -507,6 +545,7 @@ _tactics("M15_signature_tactics_per_source", HOST_PROFILES, _host_profiles, "ent
 
 
 def _describe_sql(profiles, key):
+    # Thresholds and wording.
     return f"""{profiles}, p AS (SELECT *, avg_in_bytes + avg_out_bytes AS total FROM profiles)
  SELECT {key}, concat_ws(' ',
  CASE WHEN avg_duration_ms < 100 THEN 'short-duration' WHEN avg_duration_ms < 10000 THEN 'medium-duration'
@@ -548,8 +587,11 @@ def _(spark, sf):
     return scoring.describe(by_port, "entity")
 
 
+# The compared columns.
 DELTAS = ", ".join(
-    f"round((b.{c} - a.{c}) / nullif(a.{c}, 0) * 100, 6) + 0 AS {c}_delta" for c in states.COMPARED
+    f"round((b.{c} - a.{c}) / nullif(a.{c}, 0) * 100, 6) + 0 AS {c}_delta"
+    for c in ("avg_in_bytes", "avg_out_bytes", "avg_duration_ms", "avg_pkts_per_sec", "avg_bytes_per_pkt",
+              "avg_inter_flow_gap_ms")
 )
 
 
@@ -559,14 +601,18 @@ def _(spark, sf):
     return states.compare_profiles(_profiles(spark, sf), 0, 3)
 
 
-@check("M18_rank_profiles", f"{HOST_PROFILES}, ranked AS (SELECT entity, flow_count FROM profiles WHERE"
-       " flow_count >= 100 AND entity NOT IN ('10.0.0.1', '10.0.0.2')) SELECT * FROM ranked")
+@check("M18_rank_profiles", f"""{HOST_PROFILES} SELECT entity, flow_count,
+ row_number() OVER (ORDER BY avg_in_bytes + avg_out_bytes DESC, entity) AS place FROM profiles
+ WHERE flow_count >= 100 AND entity NOT IN ('10.0.0.1', '10.0.0.2')""")
 def _(spark, sf):
     assigned = spark.createDataFrame([("10.0.0.1",), ("10.0.0.2",)], "entity string")
     found = states.rank_profiles(
         _host_profiles(spark, sf), "avgBytes", True, 100, "unassigned", assigned, "entity"
     )
-    return found.select("entity", "flow_count")
+    # the order that the operator gives, as a number
+    placed = found.select("entity", "flow_count", F.monotonically_increasing_id().alias("at"))
+    place = F.row_number().over(Window.orderBy("at")).cast("long")
+    return placed.withColumn("place", place).drop("at")
 
 
 # ------------------------------------------------------------------- hunts

@@ -30,12 +30,6 @@ def sorted_set(column: Column | str) -> Column:
     return F.sort_array(F.collect_set(column))
 
 
-def joined_set(column: Column | str, separator: str = ", ") -> Column:
-    """Distinct values in order as one text; NULL when there is none."""
-    values = sorted_set(column)
-    return F.when(F.size(values) > 0, F.concat_ws(separator, values))
-
-
 def smallest_distinct(
     df: DataFrame, keys: list[str], column: str, n: int | None, alias: str
 ) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens.functions.predicates import all_of, compare, in_range
-from flowlens.schema import DST, END, FLOW_ID, FLOW_TYPES, SRC, START, STATE
+from flowlens.functions.predicates import all_of, compare, date_bounds, in_range
+from flowlens.schema import DATE, DST, END, FLOW_ID, FLOW_TYPES, SRC, START, STATE
 
 # What a user may call a column, and the columns of the two views.
 LABELS = {
@@ -65,6 +65,27 @@ def display_flows(f: DataFrame, limit: int | None = None) -> DataFrame:
     return rows if limit is None else rows.orderBy(START, FLOW_ID).limit(limit)
 
 
+def _newest_first(rows: DataFrame) -> DataFrame:
+    return rows.orderBy(F.col(START).desc_nulls_last(), F.col(FLOW_ID).asc())
+
+
+def page_rows(
+    f: DataFrame, where: Column | None = None, limit: int = 1000, offset: int = 0,
+    after: tuple[int, int] | None = None,
+) -> DataFrame:
+    """The (start, flow id) of the rows of a page; no other column is read but those of ``where``."""
+    rows = f.where(all_of(where, _beyond(after))).select(START, FLOW_ID)
+    rows = _newest_first(rows)
+    return rows.offset(offset).limit(limit) if offset else rows.limit(limit)
+
+
+def _beyond(after: tuple[int, int] | None) -> Column | None:
+    if after is None:
+        return None
+    start, flow_id = after
+    return (F.col(START) <= start) & ((F.col(START) < start) | (F.col(FLOW_ID) > flow_id))
+
+
 def flow_page(
     f: DataFrame,
     where: Column | None = None,
@@ -74,18 +95,30 @@ def flow_page(
 ) -> DataFrame:
     """One page, newest first; ties by flow id.
 
-    ``offset`` keeps offset + limit rows per task, so walk deep with ``after``:
-    the (start, flow id) of the last row already shown.
+    Two steps: when called, a job finds the span of start times that the page covers from two columns; the table
+    returned reads whole rows of that span only, by the date partitions and row groups that can hold it.
+    ``offset`` keeps offset + limit rows per task, so walk deep with ``after``: the (start, flow id) of the last
+    row already shown.
     """
-    rows = f.where(all_of(where))
-    if after is not None:
-        start, flow_id = after
-        rows = rows.where(
-            (F.col(START) <= start)
-            & ((F.col(START) < start) | (F.col(FLOW_ID) > flow_id))
-        )
-    rows = rows.orderBy(F.col(START).desc_nulls_last(), F.col(FLOW_ID).asc())
-    return rows.offset(offset).limit(limit) if offset else rows.limit(limit)
+    rows = f.where(all_of(where, _beyond(after)))
+    span = page_rows(f, where, limit, offset, after).agg(
+        F.min(START), F.max(START), F.count_if(F.col(START).isNull()), F.count(F.lit(1))
+    )
+    low, high, without, found = span.first()
+    if not found:
+        return _newest_first(rows.where(F.lit(False)))
+    if low is None:  # only rows without a start, which come last
+        inside, above = F.col(START).isNull(), F.col(START).isNotNull()
+    else:
+        inside = in_range(START, None if without else low, high)
+        if DATE in f.columns and not without:
+            inside = inside & date_bounds(DATE, low, high)
+        if without:
+            inside = inside | F.col(START).isNull()
+        above = F.col(START) > high
+    skip = offset - rows.where(above).count() if offset else 0
+    page = _newest_first(rows.where(inside))
+    return page.offset(skip).limit(limit) if skip else page.limit(limit)
 
 
 def preview(f: DataFrame) -> DataFrame:

@@ -6,17 +6,15 @@ or per host; all rules are column expressions, so they run on any number of rows
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from flowlens.functions.selection import upper_medians
 from flowlens.session import materialize
 
 # Fixed values of the anomaly score.
 ANOMALY_METRICS = ("bytes_ratio", "duration", "pkts_per_sec", "protocol_skew")
 MAD_SCALE, Z_CUT, POINTS_PER_Z, MAX_FACTORS = 1.4826, 2.0, 20, 3
 
-EXACT_ROWS = 200_000  # up to here one exact percentile aggregate is used
-SKETCH = 10_000
-
 
 def protocol_skew() -> Column:
     away = [F.abs(F.col(c) - F.lit(1 / 3)) for c in ("tcp_pct", "udp_pct", "icmp_pct")]
@@ -32,74 +30,19 @@ def _metric_columns() -> dict[str, Column]:
     }
 
 
-def upper_medians(df: DataFrame, columns: list[str], exact_rows: int = EXACT_ROWS) -> list[float]:
-    """The value at place floor(n/2) of each sorted column (n/2 smaller or equal).
-
-    A large table is narrowed first: a quantile sketch brackets the middle, rows
-    below are only counted, and the few values inside the bracket are ranked.
-    """
-    exact = [
-        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{c}` DESC)") for c in columns
-    ]
-    counts = df.agg(*[F.count(c) for c in columns]).first()
-    if max(counts) <= exact_rows:
-        return list(df.agg(*exact).first())
-    for width in (4, 64, 1024, SKETCH):  # wider where a bracket missed the middle
-        values = _middles(df, columns, counts, min(0.5, width / SKETCH))
-        if len(values) == len(columns):
-            break
-    return [values.get(i) for i in range(len(columns))]
-
-
-def _middles(df: DataFrame, columns: list[str], counts, width: float) -> dict[int, float]:
-    """The middle values by column number, where they lie within ``width`` of the sketched median."""
-    around = [0.5 - width, 0.5 + width]
-    brackets = df.agg(*[F.percentile_approx(c, around, SKETCH) for c in columns]).first()
-    below = df.agg(
-        *[F.count_if(F.col(c) < b[0]) for c, b in zip(columns, brackets)]
-    ).first()
-    need = [n // 2 + 1 - low for n, low in zip(counts, below)]
-    inside = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.when(
-                        F.col(c).between(*b),
-                        F.struct(
-                            F.lit(i).alias("i"), F.col(c).alias("v"), F.lit(need[i]).alias("need")
-                        ),
-                    )
-                    for i, (c, b) in enumerate(zip(columns, brackets))
-                ]
-            )
-        ).alias("x")
-    ).where(F.col("x").isNotNull())
-    upto = F.sum("n").over(Window.partitionBy("i").orderBy("v"))
-    found = (
-        inside.groupBy("x.i", "x.v", "x.need")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", upto)
-        .where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
-        .collect()  # one row per column
-    )
-    return {r.i: r.v for r in found}
-
-
-def anomaly_scores(
-    profiles: DataFrame, key: str = "state_id", exact_rows: int = EXACT_ROWS
-) -> DataFrame:
+def anomaly_scores(profiles: DataFrame, key: str = "state_id") -> DataFrame:
     """Robust outlier score (0-100) of every profile and the metrics behind it."""
     columns = _metric_columns()
     names = list(ANOMALY_METRICS)
     values = materialize(
         profiles.select(key, *[columns[m].cast("double").alias(m) for m in names]), "anomaly"
     )
-    middle = upper_medians(values, names, exact_rows)
+    middle = upper_medians(values, names)
     away = values.select(
         key,
         *[F.abs(F.col(m) - F.lit(mid)).alias(m) for m, mid in zip(names, middle)],
     )
-    spread = upper_medians(away, names, exact_rows)
+    spread = upper_medians(away, names)
     z = [
         F.col(m) / F.lit(s * MAD_SCALE) if s else F.lit(0.0) for m, s in zip(names, spread)
     ]

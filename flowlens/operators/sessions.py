@@ -13,9 +13,9 @@ from flowlens.functions.columns import (
     total_bytes,
 )
 from flowlens.functions.slices import SLICE, TimeSlices, time_slices
-from flowlens.functions.predicates import in_range
+from flowlens.functions.predicates import all_of, date_bounds, in_range
 from flowlens.operators.filters import session_flows
-from flowlens.schema import DST, END, FLOW_ID, SRC, START, STATE
+from flowlens.schema import DATE, DST, END, FLOW_ID, SRC, START, STATE
 from flowlens.session import materialize
 from flowlens.sources.writers import state_tactics
 
@@ -168,17 +168,39 @@ def kill_chain_phases(
     return _phases(rows, ["session_id", "src_ip"], max_targets).orderBy("phase_start", "tactic", "technique")
 
 
+ROWS_PER_SALT = 1_000_000  # flows of one source and time bucket that one task may join
+
+
+def hot_buckets(f: DataFrame, width_ms: int, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """(source, _bucket, _salts): the time buckets of sources with more flows than one task should join.
+
+    Counted, not guessed: two columns, summed in each task before the shuffle.
+    """
+    counts = f.groupBy(F.col(SRC), bucket(START, width_ms).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    salts = F.ceil(F.col("_n") / F.lit(rows_per_salt)).cast("int")
+    return counts.where(F.col("_n") > rows_per_salt).select(SRC, "_bucket", salts.alias("_salts"))
+
+
 def flows_in_sessions(
-    f: DataFrame, sessions: DataFrame, window: int = 30, salt: int = 8
+    f: DataFrame, sessions: DataFrame, window: int = 30, rows_per_salt: int = ROWS_PER_SALT
 ) -> DataFrame:
     """Flows inside the time span of a session of their source.
 
-    Range join as an equi join: a session is listed once per time bucket its
-    span touches and once per salt value, so a source with a large part of all
-    flows is spread over buckets x salts.  A small session list is still
-    broadcast by the optimizer.
+    Range join as an equi join on (source, time bucket).  When called, small jobs find the span of all sessions,
+    which prunes the scan, their sources, which thin the flows out before any shuffle while they are few enough
+    to be broadcast, and the (source, bucket) pairs with so many flows that they are dealt over several salts, as
+    many as their rows need.  A small session list is still broadcast by the optimizer.
     """
     width = window * MINUTE_MS
+    sessions = materialize(sessions.select("session_id", "src_ip", "start_time", "end_time"), "spans")
+    first, last, sources = sessions.agg(
+        F.min("start_time"), F.max("end_time"), F.approx_count_distinct("src_ip")
+    ).first()
+    rows = f.where(all_of(in_range(START, first, last), in_range(END, first, last)))
+    if first is not None and DATE in f.columns:
+        rows = rows.where(date_bounds(DATE, first, last))
+    if sources <= BROADCAST_SESSIONS:  # a sketch: off by a few per cent
+        rows = rows.join(F.broadcast(sessions.select(F.col("src_ip").alias(SRC)).distinct()), SRC, "left_semi")
     listed = sessions.select(
         "session_id",
         F.col("src_ip").alias(SRC),
@@ -187,13 +209,19 @@ def flows_in_sessions(
         F.explode(
             F.sequence(bucket("start_time", width), bucket("end_time", width))
         ).alias("_bucket"),
-    ).withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salt)])))
-    keyed = f.withColumn("_bucket", bucket(START, width)).withColumn(
-        "_salt", F.pmod(F.xxhash64(FLOW_ID), F.lit(salt)).cast("int")
     )
+    keyed = rows.withColumn("_bucket", bucket(START, width))
+    key = [SRC, "_bucket"]
+    hot = materialize(hot_buckets(rows, width, rows_per_salt), "hot")
+    if hot.limit(1).count():
+        hash_ = F.xxhash64(FLOW_ID)
+        keyed = keyed.join(hot, key, "left").withColumn("_salt", F.pmod(hash_, F.coalesce("_salts", F.lit(1))).cast("int"))
+        last_salt = F.coalesce("_salts", F.lit(1)) - 1
+        listed = listed.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last_salt)))
+        key = [*key, "_salt"]
     inside = (F.col(START) >= F.col("_from")) & (F.col(END) <= F.col("_to"))
     return (
-        keyed.join(listed, [SRC, "_bucket", "_salt"])
+        keyed.drop("_salts").join(listed.drop("_salts"), key)
         .where(inside)
         .drop("_bucket", "_salt", "_from", "_to")
     )
@@ -203,11 +231,11 @@ def kill_chain_phases_all(
     f: DataFrame,
     sessions: DataFrame,
     window: int = 30,
-    salt: int = 8,
+    rows_per_salt: int = ROWS_PER_SALT,
     max_targets: int | None = None,
 ) -> DataFrame:
     """:func:`kill_chain_phases` for every session of a list in one job."""
-    rows = flows_in_sessions(f.where(F.col("MITRE_TACTIC") != ""), sessions, window, salt)
+    rows = flows_in_sessions(f.where(F.col("MITRE_TACTIC") != ""), sessions, window, rows_per_salt)
     rows = rows.withColumn("src_ip", F.col(SRC))
     return _phases(rows, ["session_id", "src_ip"], max_targets)
 

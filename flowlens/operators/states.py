@@ -77,6 +77,7 @@ def state_details(f: DataFrame, state: int) -> dict[str, DataFrame]:
         "conn_states": state_conn_states(rows),
         "ports": state_ports(rows),
         "services": state_services(rows),
+        "samples": state_samples(rows),
     }
 
 

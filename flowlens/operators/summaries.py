@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.columns import (
     bucket_start,
-    joined_set,
     round_half_up,
     sorted_set,
     total_bytes,
@@ -114,28 +113,30 @@ def dedup_flows(f: DataFrame, where: Column | None = None) -> DataFrame:
     ``Label`` is the greatest text of the group, as in the summary it
     reproduces; ``any_attack`` says whether any flow was an attack.
 
-    Numbers are summed by the compiled hash aggregate and texts by the object
-    aggregate, each on its own columns: mixed, all of them would run in the
-    slower one.  Both sides come out partitioned by the tuple, so joining them
-    moves nothing; a tuple as one struct also matches where it holds a NULL.
+    One scan and one exchange: flows of a tuple are combined in each task before
+    they move.  The labels travel as one set of the few combinations that occur,
+    from which the three lists are read off.
     """
-    rows = f.where(all_of(where))
-    key = F.struct(*FIVE_TUPLE).alias("tuple")
-    numbers = rows.groupBy(key).agg(
+    technique = F.when(F.col("MITRE_TECHNIQUE") != "", F.col("MITRE_TECHNIQUE")).alias("MITRE_TECHNIQUE")
+    rows = f.where(all_of(where)).withColumn("_labels", F.struct("Attack", "MITRE_TACTIC", technique))
+    merged = rows.groupBy(*FIVE_TUPLE).agg(
         F.min(START).alias(START),
         F.max(END).alias(END),
         *[F.sum(c).alias(c) for c in _SUMS],
-        *[F.max(c).alias(c) for c in _MAX_NUMBERS],
+        *[F.max(c).alias(c) for c in (*_MAX_NUMBERS, *_MAX_TEXTS)],
         F.max(F.coalesce(F.col("Label") == "Attack", F.lit(False))).alias("any_attack"),
+        F.collect_set("_labels").alias("_labels"),
     )
-    technique = F.when(F.col("MITRE_TECHNIQUE") != "", F.col("MITRE_TECHNIQUE"))
-    texts = rows.groupBy(key).agg(
-        joined_set("Attack").alias("Attack"),
-        joined_set("MITRE_TACTIC").alias("MITRE_TACTIC"),
-        joined_set(technique).alias("MITRE_TECHNIQUE"),
-        *[F.max(c).alias(c) for c in _MAX_TEXTS],
+    return merged.select(
+        *[c for c in merged.columns if c != "_labels"],
+        *[_listed(F.col("_labels")[c]).alias(c) for c in ("Attack", "MITRE_TACTIC", "MITRE_TECHNIQUE")],
     )
-    return numbers.join(texts, "tuple").select("tuple.*", "*").drop("tuple")
+
+
+def _listed(values: Column) -> Column:
+    """Distinct values of an array in order as one text; NULL when there is none."""
+    known = F.array_sort(F.array_distinct(F.array_compact(values)))
+    return F.when(F.size(known) > 0, F.concat_ws(", ", known))
 
 
 def dedup_page(

@@ -24,14 +24,16 @@ def query(flows: DataFrame, text: str, max_rows: int | None = None) -> DataFrame
     """Run a SELECT over the view ``flows``.
 
     All rows come back unless ``max_rows`` is given.  The parsed text may read
-    ``flows`` and its own common table expressions only, and run no programs; a
-    view of that name that the caller has is put back.
+    ``flows`` and its own common table expressions only, and call built-in
+    functions that compute on their arguments; a temporary view of that name that
+    the caller has is put back, a stored table of that name is left as it is.
     """
     if not is_read_only(text):
         raise ValueError("only SELECT statements are allowed")
     spark = flows.sparkSession
     check_query(spark, text, ("flows",))
-    theirs = spark.table("flows") if spark.catalog.tableExists("flows") else None
+    hidden = spark._jsparkSession.sessionState().catalog().getTempView("flows").isDefined()
+    theirs = spark.table("flows") if hidden else None
     flows.createOrReplaceTempView("flows")
     try:
         result = spark.sql(text)

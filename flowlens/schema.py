@@ -11,32 +11,32 @@ START, END, DURATION = (
 )
 SRC, DST = "IPV4_SRC_ADDR", "IPV4_DST_ADDR"
 FLOW_ID, STATE = "FLOW_ID", "HMM_STATE"
+DATE = "flow_date"  # the partition column of a written table
 FIVE_TUPLE = (SRC, "L4_SRC_PORT", DST, "L4_DST_PORT", "PROTOCOL")
 REQUIRED = (SRC, DST)
 
 # The declared columns of a flow record, with what an exporter
 # that lacks the column is taken to have reported.
-_LONG_COLUMNS = """
-FLOW_START_MILLISECONDS FLOW_END_MILLISECONDS FLOW_DURATION_MILLISECONDS
-L4_SRC_PORT L4_DST_PORT IN_BYTES IN_PKTS OUT_BYTES OUT_PKTS
-TCP_FLAGS CLIENT_TCP_FLAGS SERVER_TCP_FLAGS DURATION_IN DURATION_OUT
-MIN_TTL MAX_TTL LONGEST_FLOW_PKT SHORTEST_FLOW_PKT MIN_IP_PKT_LEN MAX_IP_PKT_LEN
-SRC_TO_DST_SECOND_BYTES DST_TO_SRC_SECOND_BYTES
-RETRANSMITTED_IN_BYTES RETRANSMITTED_IN_PKTS RETRANSMITTED_OUT_BYTES RETRANSMITTED_OUT_PKTS
-NUM_PKTS_UP_TO_128_BYTES NUM_PKTS_128_TO_256_BYTES NUM_PKTS_256_TO_512_BYTES
-NUM_PKTS_512_TO_1024_BYTES NUM_PKTS_1024_TO_1514_BYTES
-TCP_WIN_MAX_IN TCP_WIN_MAX_OUT ICMP_TYPE ICMP_IPV4_TYPE
-DNS_QUERY_ID DNS_QUERY_TYPE DNS_TTL_ANSWER FTP_COMMAND_RET_CODE
-""".split()
-_DOUBLE_COLUMNS = """
-L7_PROTO SRC_TO_DST_AVG_THROUGHPUT DST_TO_SRC_AVG_THROUGHPUT
-SRC_TO_DST_IAT_MIN SRC_TO_DST_IAT_MAX SRC_TO_DST_IAT_AVG SRC_TO_DST_IAT_STDDEV
-DST_TO_SRC_IAT_MIN DST_TO_SRC_IAT_MAX DST_TO_SRC_IAT_AVG DST_TO_SRC_IAT_STDDEV
-""".split()
-_STRING_COLUMNS = """
-IPV4_SRC_ADDR IPV4_DST_ADDR Label Attack MITRE_TACTIC MITRE_TECHNIQUE
-CONN_STATE SERVICE HISTORY COMMUNITY_ID
-""".split()
+_LONG_COLUMNS = (
+    "FLOW_START_MILLISECONDS", "FLOW_END_MILLISECONDS", "FLOW_DURATION_MILLISECONDS", "L4_SRC_PORT",
+    "L4_DST_PORT", "IN_BYTES", "IN_PKTS", "OUT_BYTES", "OUT_PKTS", "TCP_FLAGS", "CLIENT_TCP_FLAGS",
+    "SERVER_TCP_FLAGS", "DURATION_IN", "DURATION_OUT", "MIN_TTL", "MAX_TTL", "LONGEST_FLOW_PKT",
+    "SHORTEST_FLOW_PKT", "MIN_IP_PKT_LEN", "MAX_IP_PKT_LEN", "SRC_TO_DST_SECOND_BYTES",
+    "DST_TO_SRC_SECOND_BYTES", "RETRANSMITTED_IN_BYTES", "RETRANSMITTED_IN_PKTS", "RETRANSMITTED_OUT_BYTES",
+    "RETRANSMITTED_OUT_PKTS", "NUM_PKTS_UP_TO_128_BYTES", "NUM_PKTS_128_TO_256_BYTES",
+    "NUM_PKTS_256_TO_512_BYTES", "NUM_PKTS_512_TO_1024_BYTES", "NUM_PKTS_1024_TO_1514_BYTES", "TCP_WIN_MAX_IN",
+    "TCP_WIN_MAX_OUT", "ICMP_TYPE", "ICMP_IPV4_TYPE", "DNS_QUERY_ID", "DNS_QUERY_TYPE", "DNS_TTL_ANSWER",
+    "FTP_COMMAND_RET_CODE",
+)
+_DOUBLE_COLUMNS = (
+    "L7_PROTO", "SRC_TO_DST_AVG_THROUGHPUT", "DST_TO_SRC_AVG_THROUGHPUT", "SRC_TO_DST_IAT_MIN",
+    "SRC_TO_DST_IAT_MAX", "SRC_TO_DST_IAT_AVG", "SRC_TO_DST_IAT_STDDEV", "DST_TO_SRC_IAT_MIN",
+    "DST_TO_SRC_IAT_MAX", "DST_TO_SRC_IAT_AVG", "DST_TO_SRC_IAT_STDDEV",
+)
+_STRING_COLUMNS = (
+    "IPV4_SRC_ADDR", "IPV4_DST_ADDR", "Label", "Attack", "MITRE_TACTIC", "MITRE_TECHNIQUE", "CONN_STATE",
+    "SERVICE", "HISTORY", "COMMUNITY_ID",
+)
 
 FLOW_SCHEMA = T.StructType(
     [T.StructField(FLOW_ID, T.LongType())]

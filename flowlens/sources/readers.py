@@ -8,23 +8,23 @@ from flowlens.schema import END, FLOW_ID, FLOW_TYPES, REQUIRED, START, conform
 
 # Header spellings of other exporters, in order of preference.
 ALIASES = {
-    "IPV4_SRC_ADDR": "ipv4_src_addr sa sip src_ip source_ip srcaddr srcip source",
-    "IPV4_DST_ADDR": "ipv4_dst_addr da dip dst_ip dest_ip dstaddr dstip destination",
-    "L4_SRC_PORT": "l4_src_port sp sport src_port source_port srcport",
-    "L4_DST_PORT": "l4_dst_port dp dport dst_port dest_port dstport",
-    "PROTOCOL": "protocol pr proto ip_protocol",
-    "IN_BYTES": "in_bytes ibyt bytes_in inbytes bytsin rxbytes",
-    "OUT_BYTES": "out_bytes obyt bytes_out outbytes bytsout txbytes",
-    "IN_PKTS": "in_pkts ipkt pkts_in inpkts rxpackets",
-    "OUT_PKTS": "out_pkts opkt pkts_out outpkts txpackets",
-    "Attack": "attack attack_type attacktype category threat",
-    "Label": "label is_attack malicious",
+    "IPV4_SRC_ADDR": ("ipv4_src_addr", "sa", "sip", "src_ip", "source_ip", "srcaddr", "srcip", "source"),
+    "IPV4_DST_ADDR": ("ipv4_dst_addr", "da", "dip", "dst_ip", "dest_ip", "dstaddr", "dstip", "destination"),
+    "L4_SRC_PORT": ("l4_src_port", "sp", "sport", "src_port", "source_port", "srcport"),
+    "L4_DST_PORT": ("l4_dst_port", "dp", "dport", "dst_port", "dest_port", "dstport"),
+    "PROTOCOL": ("protocol", "pr", "proto", "ip_protocol"),
+    "IN_BYTES": ("in_bytes", "ibyt", "bytes_in", "inbytes", "bytsin", "rxbytes"),
+    "OUT_BYTES": ("out_bytes", "obyt", "bytes_out", "outbytes", "bytsout", "txbytes"),
+    "IN_PKTS": ("in_pkts", "ipkt", "pkts_in", "inpkts", "rxpackets"),
+    "OUT_PKTS": ("out_pkts", "opkt", "pkts_out", "outpkts", "txpackets"),
+    "Attack": ("attack", "attack_type", "attacktype", "category", "threat"),
+    "Label": ("label", "is_attack", "malicious"),
 }
-# Times have no aliases in the reference's list; these are ours (epoch ms).
+# Times: these spellings are ours (epoch ms).
 TIME_ALIASES = {
-    START: "flow_start_milliseconds start_ms first_ms flow_start",
-    END: "flow_end_milliseconds end_ms last_ms flow_end",
-    "FLOW_DURATION_MILLISECONDS": "flow_duration_milliseconds duration_ms",
+    START: ("flow_start_milliseconds", "start_ms", "first_ms", "flow_start"),
+    END: ("flow_end_milliseconds", "end_ms", "last_ms", "flow_end"),
+    "FLOW_DURATION_MILLISECONDS": ("flow_duration_milliseconds", "duration_ms"),
 }
 
 
@@ -35,7 +35,7 @@ def detect_columns(headers: list[str]) -> dict[str, str]:
         found.setdefault(header.lower(), header)
     mapping = {}
     for standard, names in {**ALIASES, **TIME_ALIASES}.items():
-        match = next((found[n] for n in names.split() if n in found), None)
+        match = next((found[n] for n in names if n in found), None)
         if match is not None:
             mapping[standard] = match
     return mapping

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from flowlens.functions.columns import start_time
-from flowlens.schema import FLOW_ID, START, STATE, FLOW_SCHEMA
+from flowlens.schema import DATE, FLOW_ID, START, STATE, FLOW_SCHEMA
 from flowlens.sources.readers import read_flows, with_flow_id
 
-DATE, BATCH = "flow_date", "ingest_batch"
+BATCH = "ingest_batch"
 #: The number of the rows that a table starts with when deliveries are to be ingested into it.
 LOADED = -1
 

@@ -87,6 +87,49 @@ def test_range_join_is_an_equi_join(table):
     assert not re.search(r"\(\d+\) (CartesianProduct|BroadcastNestedLoopJoin)", text)
 
 
+def test_range_join_reads_the_span_of_its_sessions(table):
+    """Dates and times outside the sessions are not read, flows of other sources not shuffled."""
+    found = sessions.attack_sessions(table, limit=3, targets=False)
+    first, last = found.agg(F.min("start_time"), F.max("end_time")).first()
+    text = plan(sessions.flows_in_sessions(table, found))
+    assert f"GreaterThanOrEqual(FLOW_START_MILLISECONDS,{first})" in text
+    assert f"LessThanOrEqual(FLOW_END_MILLISECONDS,{last})" in text
+    assert re.search(r"PartitionFilters: \[.*flow_date", text)
+    assert re.search(r"BroadcastHashJoin.*LeftSemi|LeftSemi.*BroadcastHashJoin", text.replace("\n", " "))
+    assert "_salt" not in text  # nothing here needs more than one task
+
+
+def test_salts_follow_measured_rows(table, fixture_flows):
+    """A hot source is split by as many salts as its rows need, and no flow is lost or doubled."""
+    hot = {(r.IPV4_SRC_ADDR, r._bucket): r._salts for r in sessions.hot_buckets(table, 1_800_000, 3).collect()}
+    counts = table.groupBy("IPV4_SRC_ADDR", F.expr("FLOW_START_MILLISECONDS div 1800000 AS b")).count().collect()
+    assert hot and hot == {(r.IPV4_SRC_ADDR, r.b): -(-r["count"] // 3) for r in counts if r["count"] > 3}
+    found = sessions.attack_sessions(table, limit=None, targets=False)
+    plain = sessions.flows_in_sessions(table, found).select("session_id", "FLOW_ID")
+    salted = sessions.flows_in_sessions(table, found, rows_per_salt=1)
+    assert "_salt" in plan(salted)
+    salted = salted.select("session_id", "FLOW_ID")
+    assert plain.count() == salted.count() > 0 and plain.exceptAll(salted).isEmpty()
+
+
+def test_dedup_takes_one_scan_and_one_exchange(table):
+    text = plan(summaries.dedup_flows(table))
+    tree = text[: text.index("\n\n")]
+    assert tree.count("Exchange") == 1 and tree.count("Scan parquet") == 1 and "Join" not in tree
+
+
+def test_pages_read_two_columns_first(table):
+    """The rows of a page are found on (start, flow id); whole rows come from the span of the page only."""
+    where = F.col("PROTOCOL") == 6
+    text = plan(filters.page_rows(table, where, 50, 100))
+    assert scanned(text) == [{"FLOW_START_MILLISECONDS", "FLOW_ID", "PROTOCOL"}] and "TakeOrderedAndProject" in text
+    starts = [r.FLOW_START_MILLISECONDS for r in filters.page_rows(table, where, 50, 100).collect()]
+    text = plan(filters.flow_page(table, where, 50, 100))
+    assert f"GreaterThanOrEqual(FLOW_START_MILLISECONDS,{min(starts)})" in text
+    assert f"LessThanOrEqual(FLOW_START_MILLISECONDS,{max(starts)})" in text
+    assert re.search(r"PartitionFilters: \[.*flow_date", text)
+
+
 def test_samples_are_cut_before_the_shuffle(table):
     assert "WindowGroupLimit" in plan(states.state_samples(table))
     assert "WindowGroupLimit" in plan(states.state_top_hosts(table))

@@ -122,6 +122,42 @@ def test_sql_reads_only_the_view(spark, make_flows):
         with pytest.raises(ValueError):
             query(f, text)
     assert query(f, "WITH a AS (SELECT FLOW_ID FROM flows) SELECT max(FLOW_ID) FROM a").count() == 1
+    spark.range(3).createOrReplaceTempView("hidden")
+    for text in (  # a name is known only inside the WITH that defines it
+        "SELECT * FROM hidden WHERE EXISTS (WITH hidden AS (SELECT 1 AS x) SELECT * FROM hidden)",
+        "WITH a AS (SELECT * FROM hidden), hidden AS (SELECT 1 AS id) SELECT * FROM a",
+        "SELECT * FROM (WITH hidden AS (SELECT 1 AS id) SELECT * FROM hidden) JOIN hidden USING (id)",
+        "SELECT (SELECT max(id) FROM hidden) FROM flows",
+        "SELECT * FROM flows, LATERAL (SELECT * FROM hidden)",
+        "SELECT * FROM IDENTIFIER('hidden')",
+        "SELECT * FROM flows WHERE FLOW_ID IN (SELECT id FROM (WITH b AS (SELECT 1) SELECT id FROM hidden))",
+        "SELECT rank() OVER w FROM flows WINDOW w AS (ORDER BY (SELECT max(id) FROM hidden))",
+        "WITH hidden AS (SELECT * FROM hidden) SELECT * FROM hidden",
+        "SELECT * FROM range(5)",
+        "SELECT input_file_name() FROM flows",
+        "SELECT current_user() FROM flows",
+        "SELECT IDENTIFIER('reflect')('java.lang.System', 'currentTimeMillis') FROM flows",
+        "SELECT rank() OVER w FROM flows WINDOW w AS (ORDER BY reflect('java.lang.System', 'currentTimeMillis'))",
+        "SELECT no_such_function(1) FROM flows",
+        "SELECT * FROM flows LATERAL VIEW java_method('java.lang.System', 'currentTimeMillis') t",
+    ):
+        with pytest.raises(ValueError):
+            query(f, text)
+    spark.udf.register("mine", lambda: 1, "int")
+    with pytest.raises(ValueError):
+        query(f, "SELECT mine() FROM flows")
+    spark.catalog.dropTempView("hidden")
+    for text, n in (
+        ("WITH hidden AS (SELECT FLOW_ID FROM flows), b AS (SELECT * FROM hidden) SELECT * FROM b", 2),
+        ("WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r WHERE n < 4) SELECT * FROM r", 4),
+        ("SELECT * FROM flows WHERE EXISTS (WITH x AS (SELECT max(FLOW_ID) AS m FROM flows) SELECT * FROM x)", 2),
+        ("SELECT x FROM flows LATERAL VIEW explode(array(1, 2, 3)) t AS x", 6),
+        ("SELECT coalesce(upper(Attack), 'x'), count(*), sum(IN_BYTES) FROM flows GROUP BY 1", 1),
+        ("SELECT date_trunc('hour', timestamp_millis(FLOW_START_MILLISECONDS)), row_number() OVER w FROM flows"
+         " WINDOW w AS (PARTITION BY IPV4_SRC_ADDR ORDER BY FLOW_ID)", 2),
+        ("SELECT transform(array(1, 2), v -> v + FLOW_ID) FROM flows", 2),
+    ):
+        assert query(f, text).count() == n
     with pytest.raises(ValueError):
         p.custom("reflect('java.lang.System', 'currentTimeMillis') <> ''")
     with pytest.raises(ValueError):
@@ -134,3 +170,36 @@ def test_sql_row_limits(spark, make_flows):
     assert query(f, many).count() == query(f, many, max_rows=None).count() > 10_000
     assert query(f, many + " LIMIT 15000").count() == 15_000
     assert query(f, many + " LIMIT 1500").count() == 1500
+
+
+def test_tables_named_flows_are_left_alone(spark, make_flows):
+    f = make_flows([{}] * 2)
+    spark.sql("DROP TABLE IF EXISTS flows")
+    spark.range(7).write.saveAsTable("flows")
+    try:
+        assert query(f, "SELECT * FROM flows").count() == 2
+        assert spark.table("flows").count() == 7
+        spark.range(5).createOrReplaceTempView("flows")
+        assert query(f, "SELECT * FROM flows").count() == 2
+        assert spark.table("flows").count() == 5
+        spark.catalog.dropTempView("flows")
+        assert spark.table("flows").count() == 7
+    finally:
+        spark.catalog.dropTempView("flows")
+        spark.sql("DROP TABLE flows")
+
+
+@pytest.mark.parametrize("where", [None, "IN_BYTES % 3 <> 0"])
+def test_pages_equal_a_full_sort(make_flows, where):
+    """Many ties, rows without a start, every offset."""
+    from pyspark.sql import functions as F
+
+    f = make_flows([{"FLOW_START_MILLISECONDS": 1000 * (i % 5), "IN_BYTES": i} for i in range(44)])
+    f = f.withColumn("FLOW_START_MILLISECONDS", F.expr("CASE WHEN IN_BYTES % 11 <> 0 THEN FLOW_START_MILLISECONDS END"))
+    condition = None if where is None else F.expr(where)
+    rows = [r for r in f.collect() if where is None or r.IN_BYTES % 3]
+    rows.sort(key=lambda r: (r.FLOW_START_MILLISECONDS is None, -(r.FLOW_START_MILLISECONDS or 0), r.FLOW_ID))
+    order = [r.FLOW_ID for r in rows]
+    for offset in (0, 3, 9, 25, len(order) - 2, len(order), 90):
+        got = [r.FLOW_ID for r in filters.flow_page(f, condition, limit=7, offset=offset).collect()]
+        assert got == order[offset : offset + 7]

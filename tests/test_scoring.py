@@ -1,7 +1,10 @@
 """Golden cases of the profile rules."""
 
+import numpy as np
+import pandas as pd
 import pytest
 
+from flowlens.functions import selection
 from flowlens.operators import scoring, states
 
 BASE = dict(
@@ -64,15 +67,59 @@ def test_at_most_three_factors_largest_first(profiles):
 
 def test_even_count_uses_the_upper_median(spark):
     df = spark.createDataFrame([(float(v), -float(v)) for v in (4, 1, 3, 2)], "a double, b double")
-    assert scoring.upper_medians(df, ["a", "b"]) == [3.0, -2.0]
-
-
-def test_narrowed_median_is_exact(spark):
-    df = spark.range(50_000).selectExpr(
-        "CAST((id * 7919) % 50021 AS DOUBLE) AS a", "CAST(id % 3 AS DOUBLE) AS b", "CAST(-id * id AS DOUBLE) AS c"
-    )
-    names = ["a", "b", "c"]
-    assert scoring.upper_medians(df, names, exact_rows=10) == scoring.upper_medians(df, names)
+    assert selection.upper_medians(df, ["a", "b"]) == [3.0, -2.0]
+
+
+def columns_of(rng, n):
+    """Values that are hard to narrow: ties, many orders of magnitude, far ends, no spread."""
+    ties = rng.integers(0, 3, n).astype(float)
+    wide = np.exp(rng.normal(0, 60, n)) * rng.choice([-1.0, 1.0], n)
+    ends = np.where(rng.random(n) < 0.3, np.inf, rng.normal(0, 1, n))
+    ends[rng.random(n) < 0.1] = -np.inf
+    huge = rng.choice([1.7e308, -1.7e308, 5e-324, 1e-323, 0.0], n)
+    hot = np.where(rng.random(n) < 0.6, 7.0, rng.normal(7, 1e-9, n))
+    return {"ties": ties, "wide": wide, "ends": ends, "huge": huge, "hot": hot, "same": np.full(n, 3.5)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 5000])
+@pytest.mark.parametrize("beside", [0.01, 0.0])
+def test_ranks_are_exact(spark, monkeypatch, n, beside):
+    monkeypatch.setattr(selection, "BINS", 4)
+    monkeypatch.setattr(selection, "BESIDE", beside)
+    made = columns_of(np.random.default_rng(n), n)
+    df = spark.createDataFrame(pd.DataFrame(made).astype(float)).repartition(3)
+    for share in (0.0, 0.5, 0.93, 1.0):
+        rank = max(1, min(n, int(share * n) + 1))
+        got = selection.select_ranks(df, dict.fromkeys(made, rank))
+        assert got == {c: np.sort(v)[rank - 1] for c, v in made.items()}
+
+
+def test_ranks_with_nulls_and_no_values(spark):
+    rows = [(1.0, None), (None, None), (float("nan"), None), (3.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    assert selection.upper_medians(df, ["a", "b"]) == [3.0, None]
+    assert np.isnan(selection.select_ranks(df, {"a": 3})["a"])
+    assert selection.select_ranks(df, {"a": 4, "b": 1}) == {"a": None, "b": None}
+    assert selection.upper_medians(df.where("a IS NULL"), ["a"]) == [None]
+
+
+def test_medians_rank_no_rows(spark):
+    """Rows are counted by bins; no window sees them."""
+    df = spark.range(1000).selectExpr("CAST(id AS DOUBLE) AS a")
+    plans = []
+    old = selection._count
+
+    def seen(*args, **kwargs):
+        out = old(*args, **kwargs)
+        plans.append(out)
+        return out
+
+    selection._count = seen
+    try:
+        assert selection.upper_medians(df, ["a"]) == [500.0]
+    finally:
+        selection._count = old
+    assert len(plans) <= 3 and all(len(p["a"]) <= selection.BINS + 2 for p in plans)
 
 
 # ------------------------------------------------------------------ tactics
@@ -177,3 +224,58 @@ def test_compare_and_rank(profiles, spark):
     taken = spark.createDataFrame([(0,)], "state_id int")
     assert order(tactic_filter="assigned", assigned=taken) == [0]
     assert order(tactic_filter="unassigned", assigned=taken) == [2, 1]
+
+
+# ------------------------------------------------- the rules and their check
+
+
+def spread_profiles(n=4000, seed=11):
+    """Profiles whose values lie on, just below and just above the numbers that rules compare with."""
+    rng = np.random.default_rng(seed)
+    shares = [0.0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+    sizes = [0.0, 200.0, 500.0, 1000.0, 2000.0, 5000.0, 10000.0, 30000.0, 100000.0]
+    pick = lambda values: np.maximum(0.0, rng.choice(values, n) + rng.choice([-0.001, 0.0, 0.001], n))
+    frame = {"state_id": np.arange(n, dtype=np.int32), "flow_count": rng.choice([10, 1000, 1001], n)}
+    for c in ("tcp_pct", "udp_pct", "icmp_pct", "well_known_pct", "registered_pct", "ephemeral_pct",
+              "conn_complete_pct", "no_reply_pct", "rejected_pct"):
+        frame[c] = pick(shares)
+    for c in ("avg_in_bytes", "avg_out_bytes", "avg_bytes_per_pkt", "avg_inter_flow_gap_ms"):
+        frame[c] = pick(sizes)
+    frame["avg_duration_ms"] = pick([100.0, 200.0, 500.0, *sizes])
+    frame["bytes_ratio"] = pick([0.1, 0.5, 1.0, 2.0, 5.0])
+    frame["avg_pkts_per_sec"] = pick([2.0, 10.0])
+    return pd.DataFrame(frame)
+
+
+def both_ways(spark, frame, rules):
+    import duckdb
+
+    from catalog import tactics
+
+    table, default = {"traffic": (tactics.TRAFFIC, "Normal"), "signature": (tactics.SIGNATURES, "Unknown")}[rules]
+    con = duckdb.connect()
+    con.register("given", frame)
+    want = con.execute("WITH profiles AS (FROM given)" + tactics.tactic_sql("", "state_id", table, default)).fetchall()
+    found = scoring.suggest_tactics(spark.createDataFrame(frame), rules=rules).collect()
+    got = [(r.state_id, r.tactic, r.confidence, "; ".join(r.reasons)) for r in found]
+    return sorted(got), sorted(want)
+
+
+@pytest.mark.parametrize("rules", ["traffic", "signature"])
+def test_rules_equal_the_ranges_of_the_check(spark, monkeypatch, rules):
+    frame = spread_profiles()
+    got, want = both_ways(spark, frame, rules)
+    assert got == want and len({g[1] for g in got}) >= 5
+    table, default = scoring.RULE_SETS[rules]
+    for tactic in (0, 3, len(table) - 1):  # another threshold, another score: the check sees it
+        name, tests, otherwise = table[tactic]
+        condition, score, *rest = tests[0][0]
+        words = condition.split()
+        moved = " ".join([*words[:2], str(float(words[2]) * 1.5 + 0.05), *words[3:]])
+        for first in ((moved, score, *rest), (condition, score + 0.2, *rest)):
+            changed = [*table]
+            changed[tactic] = (name, [[first, *tests[0][1:]], *tests[1:]], otherwise)
+            monkeypatch.setitem(scoring.RULE_SETS, rules, (changed, default))
+            got, want = both_ways(spark, frame, rules)
+            assert got != want
+            monkeypatch.setitem(scoring.RULE_SETS, rules, (table, default))

@@ -118,6 +118,24 @@ def test_stratified_sample_is_exact_and_keeps_the_group(spark):
     assert everything.count() == 20_000
 
 
+@pytest.mark.parametrize("bits, ranked", [(14, 100_000), (3, 5), (2, 1), (20, 2)])
+def test_stratified_sample_takes_the_smallest_hashes(spark, monkeypatch, bits, ranked):
+    """Rounds of counting and ranks of a few rows give the sample of a full sort, groups without a name too."""
+    monkeypatch.setattr(samples, "ROUND_BITS", bits)
+    monkeypatch.setattr(samples, "RANKED_ROWS", ranked)
+    f = spark.range(600).selectExpr(
+        f"id AS {FLOW_ID}", "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS Attack"
+    ).repartition(3)
+    rows = f.withColumn("h", samples._key(42)).collect()
+    want = set()
+    for group in (None, "a", "b"):
+        mine = sorted((r.h, r[FLOW_ID]) for r in rows if r.Attack == group)
+        want |= {i for _, i in mine[: int(100 * len(mine) / 600)]}
+    got = [r[FLOW_ID] for r in samples.stratified_sample(f, target=100).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert samples.stratified_sample(f.limit(0)).count() == 0
+
+
 def test_random_sample(spark):
     f = spark.range(1000).withColumnRenamed("id", FLOW_ID)
     a = samples.random_sample(f, 50)
