@@ -5,12 +5,14 @@ full; a full piece is a sequence of its own).  The other pieces are packed insid
 best-fit decreasing.  Dual-feasible functions give a lower bound for each partition; a partition that meets its
 bound is certified and done.  The others hand the documents of their bins with space to a common pool of up to
 ``FAN_IN`` partitions, which runs best-fit decreasing over them again and keeps the better packing; rounds go on
-while a pool can still be joined with others.
+until one pool is left, however many that takes.  A pool is bounded: a partition offers the emptiest of its bins, and
+bins that it does not offer are done.  :func:`certificate` gives the number of sequences and the bound for all of them.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -24,16 +26,17 @@ from flowlens.session import materialize
 
 LENGTH = 1024
 END = 2
-#: Pieces that one packing partition is made for, partitions that join in a pool, rounds of exchange.
-PART_ITEMS, FAN_IN, ROUNDS = 4096, 8, 4
+#: Pieces that one packing partition is made for, partitions that join in a pool.
+PART_ITEMS, FAN_IN = 4096, 8
 _encoders: dict[str, "_Encoder"] = {}
 
 
 class _Encoder:
     """Text to packed ids with the vocabulary of a ``tokenizers`` byte-level BPE file.
 
-    The merges run in tiktoken over the same vocabulary and ranks (same ids, several times as fast).  Words are
-    not remembered: most words of a task's texts occur there once or twice.
+    The merges run in tiktoken over the same vocabulary and ranks (same ids, several times as fast).  The tokens that
+    the file adds to the vocabulary are found in a text first, as that library does, and what is between them is
+    encoded apart.  Words are not remembered: most words of a task's texts occur there once or twice.
     """
 
     def __init__(self, path: str):
@@ -41,15 +44,40 @@ class _Encoder:
         from public_tokenizers import PATTERN
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            whole = json.load(f)
+        self.added = {t["content"]: t["id"] for t in whole["added_tokens"]}
+        self.finds = _added_pattern(whole["added_tokens"])
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in plain}
         letters |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-        ranks = {bytes(map(letters.__getitem__, w)): i for w, i in vocabulary.items() if not w.startswith("<|")}
+        ranks = {
+            bytes(map(letters.__getitem__, w)): i for w, i in whole["model"]["vocab"].items() if w not in self.added
+        }
         self.encode = tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def ids(self, text: str) -> list[int]:
+        if self.finds is None or not any(content in text for content in self.added):
+            return self.encode(text)
+        out, at = [], 0
+        for m in self.finds.finditer(text):
+            out += self.encode(text[at : m.start()])
+            out.append(self.added[next(g for g in m.groups() if g is not None)])
+            at = m.end()
+        return out + self.encode(text[at:])
+
     def packed(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u4").tobytes()
+        return np.array(self.ids(text), "<u4").tobytes()
+
+
+def _added_pattern(tokens: list[dict]) -> re.Pattern | None:
+    """Where added tokens stand: the longest first, with the white space beside them that their flags take in."""
+    parts = []
+    for t in sorted(tokens, key=lambda t: -len(t["content"])):
+        part = f"({re.escape(t['content'])})"
+        if t["single_word"]:
+            part = rf"(?<!\w){part}(?!\w)"
+        parts.append((r"\s*" if t["lstrip"] else "") + part + (r"\s*" if t["rstrip"] else ""))
+    return re.compile("|".join(parts)) if parts else None
 
 
 def encoder(path: str) -> _Encoder:
@@ -125,9 +153,10 @@ def lower_bound(sizes: np.ndarray, length: int = LENGTH) -> int:
     The functions: the size itself; for each limit e up to half a bin, sizes over ``length - e`` count as whole
     bins and those under e as nothing; and for k, the rounding of size * (k + 1) / length down to k-ths.
     """
-    if not len(sizes):
-        return 0
-    counts = np.bincount(sizes, minlength=length + 1)
+    return _bound_of_counts(np.bincount(sizes, minlength=length + 1), length) if len(sizes) else 0
+
+
+def _bound_of_counts(counts: np.ndarray, length: int) -> int:
     values = np.arange(length + 1)
     best = -(-int(counts @ values) // length)
     amount = np.cumsum(counts * values)
@@ -144,6 +173,8 @@ def lower_bound(sizes: np.ndarray, length: int = LENGTH) -> int:
     return best
 
 
+#: Room for bins of one round and for rounds in a bin's number.
+BIN_BITS, PART_SHIFT = 26, 32
 PACKED = "uid long, part long, bin long, offset long, length long, loose boolean"
 
 
@@ -162,29 +193,29 @@ def _rows(frame: pd.DataFrame, part: int, bins: np.ndarray, first: int, loose: n
     )
 
 
-def _loose_bins(sizes: np.ndarray, bins: np.ndarray, length: int) -> np.ndarray:
+def _loose_bins(sizes: np.ndarray, bins: np.ndarray, length: int, most: int) -> np.ndarray:
     """Bins whose documents go to the pool: those with the most space, as many as keep the pool bounded."""
     fill, items = np.bincount(bins, sizes).astype(np.int64), np.bincount(bins)
     order = np.argsort(fill, kind="stable")
-    within = np.cumsum(items[order]) <= PART_ITEMS // FAN_IN
+    within = np.cumsum(items[order]) <= most
     loose = np.zeros(len(fill), bool)
     loose[order[within & (fill[order] < length)]] = True
     return loose
 
 
-def _first_round(length: int):
+def _first_round(length: int, offered: int):
     def pack(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("uid", kind="stable")
         sizes = frame["length"].to_numpy(np.int64)
         bins = best_fit_decreasing(sizes, length)
         gap = bins.max() + 1 - lower_bound(sizes, length)
-        loose = _loose_bins(sizes, bins, length) if gap > 0 else np.zeros(bins.max() + 1, bool)
+        loose = _loose_bins(sizes, bins, length, offered) if gap > 0 else np.zeros(bins.max() + 1, bool)
         return _rows(frame, int(key[0]), bins, 0, loose)
 
     return pack
 
 
-def _exchange(length: int, step: int, last: bool):
+def _exchange(length: int, offered: int, step: int, last: bool):
     """A pool's documents again; bins are numbered apart from those of other rounds."""
 
     def pack(key, frame: pd.DataFrame) -> pd.DataFrame:
@@ -196,48 +227,65 @@ def _exchange(length: int, step: int, last: bool):
         if bins.max() >= old.max():
             bins = old
         gap = bins.max() + 1 - lower_bound(sizes, length)
-        loose = _loose_bins(sizes, bins, length) if gap > 0 and not last else np.zeros(bins.max() + 1, bool)
-        return _rows(frame, int(key[0]), bins, step << 28, loose)
+        loose = _loose_bins(sizes, bins, length, offered) if gap > 0 and not last else np.zeros(bins.max() + 1, bool)
+        return _rows(frame, int(key[0]), bins, step << BIN_BITS, loose)
 
     return pack
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
+def pack(
+    docs: DataFrame, path: str, length: int = LENGTH, end: int = END,
+    part_items: int = PART_ITEMS, fan_in: int = FAN_IN,
+) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    ``part_items`` pieces make a partition, ``fan_in`` partitions join in a pool and offer it an equal share of
+    that many; a certified partition offers nothing.
+
     A null or empty text is the single end token.  Repeated rows and null ids are packed like any others.
     Columns besides doc_id and text are ignored.  An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     made = materialize(pieces(docs, path, length, end), "pieces")
     items = made.where("sequence_id is null").select("uid", "length")
-    parts = max(1, -(-items.count() // PART_ITEMS))
+    parts = max(1, -(-items.count() // part_items))
+    offered = max(1, part_items // fan_in)
     state = materialize(
         items.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(parts)))
-        .groupBy("part").applyInPandas(_first_round(length), PACKED), "packed",
+        .groupBy("part").applyInPandas(_first_round(length, offered), PACKED), "packed",
     )
     done = [state.where("not loose")]
-    for step in range(1, ROUNDS + 1):
-        pools = -(-parts // FAN_IN)
-        loose = state.where("loose")
-        last = step == ROUNDS or pools == 1
-        pooled = loose.groupBy(F.expr(f"part div {FAN_IN}").alias("pool")).applyInPandas(
-            _exchange(length, step, last), PACKED
-        )
-        parts = pools
-        if last:
-            done.append(pooled)
-            break
-        state = materialize(pooled, "pooled")
+    step = 0
+    while parts > 1:
+        step, parts = step + 1, -(-parts // fan_in)
+        pooled = state.where("loose").groupBy(F.expr(f"part div {fan_in}").alias("pool"))
+        state = pooled.applyInPandas(_exchange(length, offered, step, last=parts == 1), PACKED)
+        if parts > 1:
+            state = materialize(state, "pooled")
         done.append(state.where("not loose"))
+    if step == 0:  # one partition has nobody to exchange with
+        done.append(state.where("loose"))
     placed = done[0]
     for more in done[1:]:
         placed = placed.unionByName(more)
     placed = placed.select(
-        "uid", (F.col("part") * (1 << 32) + F.col("bin")).alias("packed_id"), F.col("offset").alias("place")
+        "uid", (F.col("part") * (1 << PART_SHIFT) + F.col("bin")).alias("packed_id"), F.col("offset").alias("place")
     )
     return made.join(placed, "uid", "left").select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         F.coalesce("sequence_id", "packed_id").alias("sequence_id"),
         F.coalesce("place", F.lit(0)).cast("long").alias("offset"),
     )
+
+
+def certificate(packed: DataFrame, length: int = LENGTH) -> tuple[int, int]:
+    """Number of sequences of :func:`pack`'s result, and a number that no packing of all its pieces is below.
+
+    The bound is that of :func:`lower_bound` over the sizes of all pieces; there are at most ``length`` sizes.
+    """
+    used = packed.agg(F.count_distinct("sequence_id")).first()[0]
+    counts = packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    by_size = np.zeros(length + 1, np.int64)
+    for r in counts:
+        by_size[r.length] = r.n
+    return used, _bound_of_counts(by_size, length)
