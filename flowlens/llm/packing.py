@@ -3,10 +3,11 @@
 Documents become token pieces (a document longer than a sequence is cut so that all pieces but the first are
 full; a full piece is a sequence of its own).  The other pieces are packed inside partitions of bounded size by
 best-fit decreasing.  Dual-feasible functions give a lower bound for each partition; a partition that meets its
-bound is certified and done.  The others hand the documents of their bins with space to a common pool of up to
-``FAN_IN`` partitions, which runs best-fit decreasing over them again and keeps the better packing; rounds go on
-until one pool is left, however many that takes.  A pool is bounded: a partition offers the emptiest of its bins, and
-bins that it does not offer are done.  :func:`certificate` gives the number of sequences and the bound for all of them.
+bound is certified and offers no more than its emptiest bin.  The others hand the documents of their bins with
+space to a common pool of up to ``FAN_IN`` partitions, which runs best-fit decreasing over them again and keeps the
+better packing; rounds go on until one pool is left, however many that takes.  A pool is bounded: a partition offers
+the emptiest of its bins, and bins that it does not offer are done.  :func:`certificate` gives the number of sequences
+and the bound for all of them.
 """
 
 from __future__ import annotations
@@ -194,9 +195,14 @@ def _rows(frame: pd.DataFrame, part: int, bins: np.ndarray, first: int, loose: n
 
 
 def _loose_bins(sizes: np.ndarray, bins: np.ndarray, length: int, most: int) -> np.ndarray:
-    """Bins whose documents go to the pool: those with the most space, as many as keep the pool bounded."""
+    """Bins whose documents go to the pool: those with the most space, as many as keep the pool bounded.
+
+    A certified partition offers its emptiest bin only: its bound is rounded up to a whole bin.
+    """
     fill, items = np.bincount(bins, sizes).astype(np.int64), np.bincount(bins)
     order = np.argsort(fill, kind="stable")
+    if len(fill) == lower_bound(sizes, length):
+        order = order[:1]
     within = np.cumsum(items[order]) <= most
     loose = np.zeros(len(fill), bool)
     loose[order[within & (fill[order] < length)]] = True
@@ -208,9 +214,7 @@ def _first_round(length: int, offered: int):
         frame = frame.sort_values("uid", kind="stable")
         sizes = frame["length"].to_numpy(np.int64)
         bins = best_fit_decreasing(sizes, length)
-        gap = bins.max() + 1 - lower_bound(sizes, length)
-        loose = _loose_bins(sizes, bins, length, offered) if gap > 0 else np.zeros(bins.max() + 1, bool)
-        return _rows(frame, int(key[0]), bins, 0, loose)
+        return _rows(frame, int(key[0]), bins, 0, _loose_bins(sizes, bins, length, offered))
 
     return pack
 
@@ -226,8 +230,7 @@ def _exchange(length: int, offered: int, step: int, last: bool):
         bins = best_fit_decreasing(sizes, length)
         if bins.max() >= old.max():
             bins = old
-        gap = bins.max() + 1 - lower_bound(sizes, length)
-        loose = _loose_bins(sizes, bins, length, offered) if gap > 0 and not last else np.zeros(bins.max() + 1, bool)
+        loose = np.zeros(bins.max() + 1, bool) if last else _loose_bins(sizes, bins, length, offered)
         return _rows(frame, int(key[0]), bins, step << BIN_BITS, loose)
 
     return pack
@@ -240,7 +243,7 @@ def pack(
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     ``part_items`` pieces make a partition, ``fan_in`` partitions join in a pool and offer it an equal share of
-    that many; a certified partition offers nothing.
+    that many.
 
     A null or empty text is the single end token.  Repeated rows and null ids are packed like any others.
     Columns besides doc_id and text are ignored.  An empty table gives an empty result.

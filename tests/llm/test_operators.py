@@ -104,6 +104,46 @@ def test_widely_copied_values_are_no_live_secrets(spark):
     assert all([s.live for s in r.spans] == [False, True] for r in made)
 
 
+def test_ownership_counts_and_looks(spark):
+    """Every value of the corpus counted by brute force; examples and phrases are not live, whatever their source."""
+    example, own, phrase = "s3cr3tEx4mple99", "q8Zr31xw0Lk", "required"
+    rows = [(i, f"text {i} password: {example} and more", "one") for i in range(9)]  # many documents of one source
+    rows += [(20 + i, f"the same text with password={own}", f"src{i}") for i in range(3)]  # copies of one document
+    rows += [(30, f"here the token: {phrase} by all", "a"), (31, "secret = 11111111", "a"), (32, "api_key: " + "ab" * 12, "b")]
+    rows += [(40 + i, f"{i} Zk3x9Qw8Lm2Pn5Vb7Tc1 end", s) for i, s in enumerate(["x", None, "x", "y"])]
+    rows += [(50, None, "x"), (None, "", None)]
+    made = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    values = defaultdict(lambda: (set(), set()))
+    for _, text, source in rows:
+        for kind, start, end, value in secrets.candidates(text or ""):
+            values[value][0].add(source)
+            values[value][1].add(text)
+    texts = {i: t for i, t, _ in rows}
+    for r in made:
+        for s in r.spans:
+            value = next(c[3] for c in secrets.candidates(texts[r.doc_id]) if c[:2] == (s.kind, s.start))
+            assert (s.n_repos, s.n_owners) == tuple(map(len, values[value]))
+            few = s.n_repos <= secrets.MOST_REPOS and s.n_owners <= secrets.MOST_OWNERS
+            assert s.live == (few and secrets.looks_random(s.kind, value))
+    live = {r.doc_id for r in made if any(s.live for s in r.spans)}
+    assert live == {20, 21, 22, 40, 41, 42, 43}
+    masked = secrets.mask_live(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert all((phrase in r.text, example in r.text) == (r.doc_id == 30, r.doc_id is not None and r.doc_id < 9)
+               for r in masked.collect() if r.text)
+
+
+def test_tokens_beside_and_inside_base_spans():
+    token = "Zk3x9Qw8Lm2Pn5Vb7Tc1"
+    text = f"{token} password={token}x {token} " + "0f" * 20 + f" {token}" * 400
+    found = secrets.candidates(text)
+    assert [c[0] for c in found[:4]] == [3, 0, 3, 2] and len(found) == 404
+    assert all(text[a:b].endswith(v) for _, a, b, v in found)
+
+
+def test_secret_stages_of_nothing(nothing):
+    assert secrets.scan(nothing).count() == secrets.mask_live(nothing).count() == 0
+
+
 def test_masks_belong_to_a_text_and_not_to_an_id_alone(spark):
     texts = ['x password = "hunter22" y', "a long clean text without any secret in it", None]
     rows = [(i, t, "s") for i in (None, 7) for t in texts]
@@ -175,6 +215,64 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, tokenizer_file("byte_bpe_50k.json")).count() == 0
 
 
+def test_added_tokens_inside_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    encode = Tokenizer.from_file(path).encode
+    texts = [
+        "<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b", "<|endoftext|><|endoftext|> x", "<|endoftext|", "  <|endoftext|>  ",
+        "é<|endoftext|>\n\n<|endoftext|>don't", "<|endoftext|> " * 700, "<|ENDOFTEXT|> <||endoftext|>|>",
+    ]
+    for t in texts:
+        assert packing.encoder(path).ids(t) == encode(t, add_special_tokens=False).ids
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    for i, t in enumerate(texts):
+        want = brute.token_pieces(encode(t, add_special_tokens=False).ids + [2])
+        assert sorted((r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == i) == want
+
+
+def test_flags_of_added_tokens():
+    tokens = [
+        {"content": "<a>", "single_word": False, "lstrip": True, "rstrip": False},
+        {"content": "<ab>", "single_word": False, "lstrip": False, "rstrip": True},
+        {"content": "mask", "single_word": True, "lstrip": False, "rstrip": False},
+    ]
+    found = [m.group() for m in packing._added_pattern(tokens).finditer("x  <a>  <ab>  y mask unmasked")]
+    assert found == ["  <a>", "<ab>  ", "mask"]
+    assert packing._added_pattern([]) is None
+
+
+@pytest.mark.parametrize("kind", ["halves", "mixed"])
+def test_partitions_exchange_over_many_rounds(spark, kind):
+    """Small partitions, more than four rounds: every piece once, halves of all partitions meet."""
+    rng = np.random.default_rng(4)
+    words = np.full(1501, 511) if kind == "halves" else np.clip(rng.lognormal(5.5, 1, 1500).astype(int), 2, 1000)
+    rows = [(i, " ".join(["the"] * int(n))) for i, n in enumerate(words)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    packed = packing.pack(table, tokenizer_file("byte_bpe_50k.json"), part_items=32, fan_in=2).persist()
+    placed = defaultdict(list)
+    for r in packed.collect():
+        placed[r.sequence_id].append((r.offset, r.length, r.doc_id))
+    assert sorted(d for mine in placed.values() for _, _, d in mine) == list(range(len(words)))
+    for mine in placed.values():
+        mine.sort()
+        assert [o for o, _, _ in mine] == [sum(n for _, n, _ in mine[:k]) for k in range(len(mine))]
+        assert sum(n for _, n, _ in mine) <= 1024
+    used, bound = packing.certificate(packed)
+    assert used == len(placed) and bound <= used
+    if kind == "halves":
+        assert used == bound == 751  # six rounds; without them every odd partition has a half to spare
+    else:
+        assert used <= 1.08 * bound
+
+
+def test_certificate_equals_the_bound_of_sizes(spark):
+    rows = [(1, 700), (2, 700), (3, 324), (4, 324), (5, 10)]
+    table = spark.createDataFrame(rows, "sequence_id long, length long")
+    assert packing.certificate(table) == (5, packing.lower_bound(np.array([n for _, n in rows])))
+
+
 def test_bounds_hold():
     for seed in range(30):
         sizes = np.random.default_rng(seed).integers(1, 1025, 40)
