@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from flowlens.llm.common import prepare, text_of
+from flowlens.llm.common import prepare, spare, text_of
 from flowlens.session import materialize
 
 SLOTS = 4
@@ -213,14 +213,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of fully repeated rows one stays."""
+    doc, sha, key, nth = spare(docs.columns, "__id", "__sha", "__key", "__nth")
     stay = exact_dedup(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")
+        F.col("doc_id").alias(doc), F.col("text_sha256").alias(sha)
     ).distinct()
-    here = docs.withColumn("__key", F.sha2(text_of(text_col).cast("binary"), 256))
+    here = docs.withColumn(key, F.sha2(text_of(text_col).cast("binary"), 256))
     kept = here.join(
         stay,
-        F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")),
+        F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(sha)),
         "left_semi",
     )
-    one = Window.partitionBy(F.col(f"`{id_col}`"), "__key").orderBy(F.lit(0))
-    return kept.withColumn("__nth", F.row_number().over(one)).where("__nth = 1").drop("__nth", "__key")
+    one = Window.partitionBy(F.col(f"`{id_col}`"), key).orderBy(F.lit(0))
+    return kept.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(nth, key)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from flowlens.llm import fragments as fr
-from flowlens.llm.common import mix, prepare, text_bytes, text_of
+from flowlens.llm.common import mix, prepare, spare, text_bytes, text_of
 from flowlens.session import materialize
 
 SHINGLE, THRESHOLD = 5, 80
@@ -364,9 +364,10 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Rows without an id stay, except that of fully repeated rows one stays; so do texts of one id that differ.
     """
-    stay = jaccard_join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    doc, nth = spare(docs.columns, "__id", "__nth")
+    stay = jaccard_join(docs).where("doc_id = component_id").select(F.col("doc_id").alias(doc)).distinct()
     stay = materialize(stay, "stay")
-    kept = docs.where("doc_id is not null").join(stay, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
+    kept = docs.where("doc_id is not null").join(stay, F.col("doc_id").cast("long") == F.col(doc), "left_semi")
     one = Window.partitionBy("doc_id", F.sha2(text_of("text").cast("binary"), 256)).orderBy(F.lit(0))
-    kept = kept.withColumn("__nth", F.row_number().over(one)).where("__nth = 1").drop("__nth")
+    kept = kept.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(nth)
     return kept.unionByName(docs.where("doc_id is null").distinct())

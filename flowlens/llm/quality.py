@@ -133,14 +133,18 @@ def _stats_batches(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
-    """Trees fitted on labelled rows outside the held-out fold (crc32 of the id mod 3 is 1), whole texts."""
+    """Trees fitted on labelled rows outside the held-out fold (crc32 of the id mod 3 is 1), whole texts.
+
+    Of several texts of one id the smallest counts.
+    """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~_held_out(F.col("doc_id")))
     chosen = (
         known.groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    # Bounded by sample_rows: a few bytes for each chosen row.
+    # Bounded by sample_rows: a few bytes for each chosen row, one text of each id however often it is repeated.
     texts = docs.select(F.col("doc_id"), text_of("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
     rows = texts.select("y", "text").mapInArrow(_stats_batches, "y double, x array<double>").toPandas()
     x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), N_FEATURES)
     # The order of rows from tasks varies; a fixed one makes equal sums and equal trees.
@@ -182,7 +186,10 @@ def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` the classifier accepts, with all their columns."""
+    """The rows of ``docs`` the classifier accepts, with all their columns.
+
+    Null texts are scored as empty ones; repeated rows and rows without an id are scored each.
+    """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     at = docs.columns.index("text")

@@ -18,7 +18,7 @@ from math import log2
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowlens.llm.common import prepare, text_of
+from flowlens.llm.common import prepare, spare, text_of
 from flowlens.session import materialize
 
 # The patterns of the base kinds and the least lengths.
@@ -203,34 +203,35 @@ def mask_live(docs: DataFrame, repo_col: str = "source", owner_col: str | None =
     an id, or have none, are cut each by its own.
     """
     prepare(docs.sparkSession)
+    doc, key, cuts = spare(docs.columns, "__doc", "__key", "__cut")
     cut = F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"))
     live = (
         scan(docs, repo_col, owner_col)
         .select("doc_id", "key", F.explode(F.filter("spans", lambda s: s["live"])).alias("s"))
-        .groupBy(F.col("doc_id").alias("__doc"), F.col("key").alias("__key")).agg(F.collect_set(cut).alias("__cut"))
+        .groupBy(F.col("doc_id").alias(doc), F.col("key").alias(key)).agg(F.collect_set(cut).alias(cuts))
     )
     live = materialize(live, "live")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text_of("text")) == F.col("__key"))
-    joined = docs.join(live, same, "left").drop("__doc", "__key")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text_of("text")) == F.col(key))
+    joined = docs.join(live, same, "left").drop(doc, key)
     at = {name: k for k, name in enumerate(docs.columns)}
 
     def run(batches):
         for batch in batches:
-            cuts = batch.column(len(at)).to_pylist()
-            if not any(cuts):
+            found = batch.column(len(at)).to_pylist()
+            if not any(found):
                 yield batch.select(list(range(len(at))))
                 continue
             columns = [batch.column(k) for k in range(len(at))]
             texts = columns[at["text"]].to_pylist()
             new = [
                 _mask(t, [(s["start"], s["end"]) for s in c]) if c and t else t
-                for t, c in zip(texts, cuts, strict=True)
+                for t, c in zip(texts, found, strict=True)
             ]
             columns[at["text"]] = pa.array(new, columns[at["text"]].type)
             if "n_chars" in at:
                 old = columns[at["n_chars"]]
                 counts = [
-                    len(n) if c and n else o for n, c, o in zip(new, cuts, old.to_pylist(), strict=True)
+                    len(n) if c and n else o for n, c, o in zip(new, found, old.to_pylist(), strict=True)
                 ]
                 columns[at["n_chars"]] = pa.array(counts, old.type)
             yield pa.RecordBatch.from_arrays(columns, names=list(at))
