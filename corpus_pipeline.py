@@ -1,6 +1,13 @@
 """The corpus pipeline: quality, exact copies, near copies, secrets, packing.
 
 Every stage takes the rows that its predecessor kept, written as Parquet and read again.
+
+A null text counts as empty in every stage and stays null until it is packed as the single end token.  Rows without
+an id are scored, deduplicated and packed like others; near copies among them stay, as there is no smallest id.
+Of fully repeated rows one is left after the second stage.  Ties: the larger id of equal texts stays, the smallest id
+of a group of near copies.  Other columns travel through the first four stages, whatever their names.  Empty
+documents give an empty result; without labels there is nothing to learn from, and the first stage keeps the rows
+that a tree-less model scores 0.5 or more, that is all of them.
 """
 
 from __future__ import annotations
