@@ -9,6 +9,7 @@ one the reader goes on at the next version line, also when the member is damaged
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -34,11 +35,19 @@ _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _LENGTH = re.compile("[0-9]{1,18}")
 
 
+# Names of digests in records, written in hexadecimal or base 32.
+_DIGESTS = {"md5": "md5", "sha1": "sha1", "sha-1": "sha1", "sha256": "sha256", "sha-256": "sha256", "sha512": "sha512"}
+
+
 class Damaged(Exception):
     pass
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path, and the path in it; what Hadoop calls s3a is S3 with the usual AWS settings."""
+    scheme, _, rest = path.partition("://")
+    if scheme in ("s3a", "s3n"):
+        return fs.S3FileSystem(), rest
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -161,7 +170,11 @@ def _checked(fields: dict[str, str], block: bytes) -> bytes | None:
 
     def holds(stated: str, data: bytes) -> bool:
         kind, _, value = stated.partition(":")
-        return kind != "sha256" or hashlib.sha256(data).hexdigest() == value.lower()
+        name = _DIGESTS.get(kind.strip().lower())
+        if name is None:  # none, or one that nobody here can check
+            return True
+        made, value = hashlib.new(name, data).digest(), value.strip()
+        return value.lower() == made.hex() or value.upper().rstrip("=") == base64.b32encode(made).decode().rstrip("=")
 
     if not holds(fields.get("warc-block-digest", ""), block):
         raise Damaged("block digest")
@@ -245,7 +258,7 @@ def _begins_record(source: _Source, at: int) -> bool:
 def _inside(data: bytes, sure: bool) -> list[tuple]:
     """(fields, payload, "") and (None, None, what was skipped) in the order of a member's bytes.
 
-    ``sure``: nothing says that the bytes are not those written; else records without a digest of ours are skipped.
+    ``sure``: nothing says that the bytes are not those written; else records without a digest that can be checked are skipped.
     """
     found, k, gap, reason = [], 0, None, ""
 
@@ -261,7 +274,7 @@ def _inside(data: bytes, sure: bool) -> list[tuple]:
                 raise Damaged("record length")
             past = stop + 4
             payload = _checked(fields, data[start:stop])
-            if not sure and not fields.get("warc-block-digest", "").startswith("sha256:"):
+            if not sure and fields.get("warc-block-digest", "").partition(":")[0].strip().lower() not in _DIGESTS:
                 raise Damaged("no digest in a damaged member")
         except Damaged as e:
             gap, reason = (k, str(e)) if gap is None else (gap, reason)

@@ -402,6 +402,77 @@ def test_salvage_inside_a_member(tmp_path):
     assert got[:4] == names[:4] and len(gaps) == 1 and gaps[0].startswith("gzip: ")
 
 
+def test_digests_of_other_writers_are_checked(tmp_path):
+    """sha1 in base 32 as crawlers write it, md5, upper case; a wrong one is a gap, an unknown kind is let pass."""
+    import base64
+    import hashlib
+
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + b"<p>text</p>" * 30
+    payload = block.partition(b"\r\n\r\n")[2]
+    sha1 = lambda data: base64.b32encode(hashlib.sha1(data).digest()).decode()
+    stated = {
+        "sha1": (f"sha1:{sha1(block)}", f"sha1:{sha1(payload)}"),
+        "hex": (f"SHA-1:{hashlib.sha1(block).hexdigest()}", f"md5:{hashlib.md5(payload).hexdigest()}"),
+        "long": (f"sha256:{hashlib.sha256(block).hexdigest().upper()}", f"sha512:{hashlib.sha512(payload).hexdigest()}"),
+        "unknown": ("blake9:zz", "blake9:zz"),
+        "wrong": (f"sha1:{sha1(block)}", f"sha1:{sha1(payload + b'x')}"),
+        "broken": (f"sha1:{sha1(b'x')}", f"sha1:{sha1(payload)}"),
+    }
+    path = tmp_path / "other.warc"
+    with open(path, "wb") as out:
+        for name, (of_block, of_payload) in stated.items():
+            head = [
+                "WARC/1.0", "WARC-Type: response", f"WARC-Record-ID: <urn:{name}>", "WARC-Date: 2020-01-01T00:00:00Z",
+                f"Content-Length: {len(block)}", f"WARC-Block-Digest: {of_block}", f"WARC-Payload-Digest: {of_payload}",
+            ]
+            out.write("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+    with open(path, "rb") as f:
+        from pyarrow import PythonFile
+
+        found = list(warc.read_records(warc._Source(PythonFile(f), path.stat().st_size), False))
+    kinds = [(x[0], x[3]["warc-record-id"] if x[0] == "record" else None) for x in found]
+    assert [n for k, n in kinds if k == "record"] == ["<urn:sha1>", "<urn:hex>", "<urn:long>", "<urn:unknown>"]
+    assert sum(k == "gap" for k, _ in kinds) >= 1
+
+
+def test_s3a_is_s3():
+    from pyarrow import fs
+
+    store, path = warc._store("s3a://bucket/folder/part.warc")
+    assert isinstance(store, fs.S3FileSystem) and path == "bucket/folder/part.warc"
+    assert isinstance(warc._store("/tmp/x")[0], fs.LocalFileSystem)
+
+
+def test_archives_of_no_pages(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.round_trip(none).count() == 0 and page_diff.extract(none).count() == 0
+
+
+def test_index_update_equals_a_new_index(spark):
+    """Withdrawn texts are gone, added ones count, an index built at once over what is left is the same."""
+    from pyspark.sql import functions as F
+
+    first = [(i, f"t{i % 7}") for i in range(30)] + [(None, "t1"), (None, None)]
+    second = [(100 + i, f"t{i}") for i in range(4, 10)] + [(200, None)]
+    gone = ["t0", "t5", "never there"]
+    made = lambda rows: exact_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"))
+    index = exact_dedup.build_index(made(first), 30)
+    deletes = made([(0, t) for t in gone]).select("digest")
+    after = exact_dedup.update_index(index, made(second), deletes, 64)
+    whole = exact_dedup.build_index(made([r for r in first if r[1] not in gone] + second), 30)
+    rows = lambda df: sorted((bytes(r.digest), str(r.keep_id), r.group_size) for r in df.collect())
+    assert rows(after) == rows(whole)
+    assert rows(exact_dedup.update_index(index, made(second).limit(0), deletes.limit(0), 64)) == rows(index)
+
+
+def test_fingerprints_and_tokens_of_nothing(nothing, spark):
+    from public_tokenizers import PATTERN
+
+    assert winnowing.report(winnowing.fingerprints(nothing)).count() == 0
+    shared = byte_bpe.codec(spark, tokenizer_file("byte_bpe_50k.tiktoken"), PATTERN)
+    assert byte_bpe.decode(byte_bpe.encode(nothing, shared), shared).count() == 0
+
+
 @pytest.mark.parametrize("compress", [True, False])
 def test_long_urls_are_read_back(spark, tmp_path, compress):
     pages = [(k, "http://h/" + "u" * n, f"<p>{k}</p>" * 40) for k, n in enumerate((5, 70_000, 400_000, 9))]
