@@ -12,7 +12,7 @@ import os
 import time
 
 from flow_fixture import STATE_SQL, flows
-from flowlens.operators import features, hunts, sessions, states, summaries
+from flowlens.operators import features, filters, hunts, sessions, states, summaries
 from flowlens.plans import hmm
 from flowlens.plans.dashboard import build_summaries, dashboard
 from flowlens.session import local_session, scratch_path
@@ -48,6 +48,7 @@ def main() -> None:
     timed("A2_top_talkers", lambda: summaries.top_talkers(f, "src", "bytes"))
     timed("A6_timeline", lambda: summaries.timeline(f))
     timed("A10_dedup_flows", lambda: summaries.dedup_flows(f))
+    timed("P14_flow_page", lambda: filters.flow_page(f, limit=50, offset=100))
     timed("A16_dashboard", lambda: dashboard(f))
     timed("S13_build_summaries", lambda: build_summaries(f, path + "-summaries"))
     timed("K1_attack_sessions", lambda: sessions.attack_sessions(f))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -26,6 +27,19 @@ SQL_SETTINGS = {
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    return _with_package(spark)
+
+
+def _with_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it, where they can reach that place.
+
+    Workers on other machines need it shipped (``--py-files``) or installed.
+    """
+    place = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if place not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, place])
     return spark
 
 
