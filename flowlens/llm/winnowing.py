@@ -1,10 +1,12 @@
 """Document fingerprints by winnowing, in SQL functions only.
 
 Tokens are words: runs of up to ``TOKEN_CHARS`` non-space characters.  A longer run (minified code, base64) and the
-scripts written without spaces have every character as a token, so that grams start at each.  The hashes of all ``K`` successive tokens are
-rolled over the text; of every ``WINDOW`` successive hashes the smallest is chosen, of equal ones the rightmost.
-Positions are kept, so two texts that share ``K + WINDOW - 1`` successive tokens always share a fingerprint, and so
-do two that share a passage of more than ``TOKEN_CHARS`` characters without spaces, wherever it stands in its run.
+scripts written without spaces have every character as a token, so that grams start at each.  Every token is hashed
+once; the polynomial hash of ``K`` successive ones is rolled together from those of two and of four.  Of every
+``WINDOW`` successive hashes the smallest is chosen, of equal ones the rightmost, again from the minima of two and of
+four.  Positions are kept, so two texts that share ``K + WINDOW - 1`` successive tokens always share a fingerprint,
+and so do two that share a passage of more than ``TOKEN_CHARS`` characters without spaces, wherever it stands in its
+run.  A chosen gram is given out with a 64-bit hash of its tokens.
 """
 
 from __future__ import annotations
@@ -17,11 +19,30 @@ from flowlens.llm.common import partitions, prepare, text_of
 from flowlens.session import materialize
 
 K, WINDOW, TOKEN_CHARS = 5, 6, 16
-_UNSPACED = "".join(
-    rf"\p{{Is{script}}}" for script in "Han Hiragana Katakana Bopomofo Thai Lao Khmer Myanmar Tibetan".split()
-)
-_OF_WORD = rf"[^\s{_UNSPACED}]"
+# The code points of scripts without spaces (Thai to Myanmar, Khmer, Han, kana, Bopomofo), and white space.
+_UNSPACED = (
+    (0x0E00, 0x109F), (0x1780, 0x17FF), (0x19E0, 0x19FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029),
+    (0x3038, 0x303B), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+    (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
+_SPACE = ((0x09, 0x0D), (0x20, 0x20))
+
+
+def _others(ranges: tuple[tuple[int, int], ...]) -> str:
+    """A class of all other code points; the range with the commonest ones is tried first."""
+    ends = [(-1, -1), *sorted(ranges), (0x110000, 0x110000)]
+    free = [(a[1] + 1, b[0] - 1) for a, b in zip(ends, ends[1:]) if a[1] + 1 < b[0]]
+    free.sort(key=lambda r: not r[0] <= ord("a") <= r[1])
+    return "[" + "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in free) + "]"
+
+
+_OF_WORD = _others(_UNSPACED + _SPACE)
 TOKEN = rf"(?<!{_OF_WORD}){_OF_WORD}{{1,{TOKEN_CHARS}}}+(?!{_OF_WORD})|\S"
+# The same for texts without a code point from the first unspaced script on, which most texts are: much cheaper.
+_FAR = rf"[\x{{{_UNSPACED[0][0]:X}}}-\x{{10FFFF}}]"
+_NEAR_TOKEN = rf"(?<!\S)\S{{1,{TOKEN_CHARS}}}+(?!\S)|\S"
+#: Prime that rolled hashes are taken by (products of two stay below 2^62), their base, bits of a position.
+PRIME, BASE, PLACE_BITS = (1 << 31) - 1, 1_000_003, 31
 #: Buckets of neighbouring documents to a shuffle partition, and at most in all (they are listed in the plan).
 BUCKETS, MOST_BUCKETS = 4, 20_000
 
@@ -31,29 +52,34 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _grams(tokens: Column) -> Column:
-    n = F.size(tokens)
-    rolled = F.transform(
-        F.sequence(F.lit(0), n - K), lambda i: F.xxhash64(*(F.get(tokens, i + k) for k in range(K)))
+def _rolled(tokens: Column) -> Column:
+    """The polynomial hash of the ``K`` = 5 tokens from each place: of two, of four, and one more."""
+    square = BASE * BASE % PRIME
+
+    def then(values: Column, other: Column, ahead: int, base: int) -> Column:
+        return F.transform(values, lambda x, i: (x * F.lit(base) + F.get(other, i + ahead)) % F.lit(PRIME))
+
+    small = F.transform(tokens, lambda t: F.pmod(t, F.lit(PRIME)))
+    return _let(
+        small,
+        lambda one: _let(
+            then(one, one, 1, BASE),
+            lambda two: then(F.slice(then(two, two, 2, square), 1, F.size(one) - K + 1), one, K - 1, BASE),
+        ),
     )
-    return F.when(n == 0, F.array().cast("array<bigint>")).when(n < K, F.array(F.xxhash64(tokens))).otherwise(rolled)
 
 
-def _chosen(grams: Column) -> Column:
-    """Positions of the minima, each once, in order."""
-    n = F.size(grams)
+def _minima(values: Column, width: Column) -> Column:
+    """The least of the ``WINDOW`` = 6 values from each place, each once, in order; of all if there are fewer."""
 
-    def rightmost(j: Column) -> Column:
-        place = F.lit(None)
-        for k in range(1, WINDOW):
-            here, before = F.get(grams, j + k), [F.get(grams, j + i) for i in range(k)]
-            least = F.least(*before) if k > 1 else before[0]
-            place = F.when(here <= least, j + k).otherwise(j if k == 1 else place)
-        return place
+    def least(here: Column, other: Column, ahead: int) -> Column:
+        return F.transform(here, lambda x, i: F.least(x, F.get(other, i + ahead)))
 
-    whole = n - F.array_position(F.reverse(grams), F.array_min(grams)).cast("int")
-    windows = F.array_distinct(F.transform(F.sequence(F.lit(0), n - WINDOW), rightmost))
-    return F.when(n == 0, F.array().cast("array<int>")).when(n < WINDOW, F.array(whole)).otherwise(windows)
+    windows = _let(
+        least(values, values, 1),
+        lambda two: F.array_distinct(F.slice(least(least(two, two, 2), two, 4), 1, F.greatest(width - WINDOW + 1, F.lit(0)))),
+    )
+    return F.when(width < WINDOW, F.array(F.array_min(values))).otherwise(windows)
 
 
 def fingerprint(text: Column) -> Column:
@@ -61,15 +87,28 @@ def fingerprint(text: Column) -> Column:
 
     A text with fewer than ``K`` tokens has one hash, over all of them; fewer hashes than a window are one window.
     """
-    tokens = F.transform(
-        F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t)
-    )
+    far, near = (F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) for pattern in (TOKEN, _NEAR_TOKEN))
+    tokens = F.transform(F.when(text.rlike(_FAR), far).otherwise(near), lambda t: F.xxhash64(t))
+    last = F.lit((1 << PLACE_BITS) - 1)
+
+    def chosen(t: Column) -> Column:
+        # Hash and place in one number: the place counts down, so that of equal hashes the rightmost is least.
+        numbered = F.transform(_rolled(t), lambda g, i: F.shiftleft(g, PLACE_BITS) + (last - i))
+        return F.transform(
+            _let(numbered, lambda v: _minima(v, F.size(t) - K + 1)),
+            lambda v: _let(
+                (last - v.bitwiseAND(last)).cast("int"),
+                lambda p: F.struct(p.alias("pos"), F.xxhash64(*(F.get(t, p + k) for k in range(K))).alias("hash")),
+            ),
+        )
+
+    none = F.array().cast("array<struct<pos:int,hash:bigint>>")
+    short = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).cast("long").alias("hash")))
     return _let(
         tokens,
-        lambda t: _let(
-            _grams(t),
-            lambda g: F.transform(_chosen(g), lambda p: F.struct(p.alias("pos"), F.get(g, p).alias("hash"))),
-        ),
+        lambda t: F.when(F.size(t) == 0, none)
+        .when(F.size(t) < K, F.transform(short, lambda s: F.struct(s["pos"].alias("pos"), F.xxhash64(t).alias("hash"))))
+        .otherwise(chosen(t)),
     )
 
 

@@ -83,6 +83,43 @@ def edited(docs: list[tuple[int, str | None]]) -> dict[int, str]:
     }
 
 
+UNSPACED = (
+    (0x0E00, 0x109F), (0x1780, 0x17FF), (0x19E0, 0x19FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029),
+    (0x3038, 0x303B), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+    (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
+
+
+def winnow_tokens(text: str) -> list[str]:
+    """op2: words of at most 16 characters, all other characters alone."""
+    out = []
+    for run in re.findall(r"[^ \t\n\x0b\f\r]+", text):
+        word = ""
+        for c in [*run, None]:
+            if c is not None and not any(a <= ord(c) <= b for a, b in UNSPACED):
+                word += c
+                continue
+            out += [word] if 0 < len(word) <= 16 else list(word)
+            out += [] if c is None else [c]
+            word = ""
+    return out
+
+
+def winnowed(text: str, token_hash, k: int = 5, window: int = 6) -> list[int]:
+    """op2: the positions chosen; hashes of grams are summed up anew at each place."""
+    h = [token_hash[t] % (2**31 - 1) for t in winnow_tokens(text)]
+    if len(h) < k:
+        return [0] if h else []
+    grams = []
+    for i in range(len(h) - k + 1):
+        g = 0
+        for x in h[i : i + k]:
+            g = (g * 1_000_003 + x) % (2**31 - 1)
+        grams.append(g)
+    spans = [range(j, j + window) for j in range(len(grams) - window + 1)] or [range(len(grams))]
+    return sorted({min(span, key=lambda i: (grams[i], -i)) for span in spans})
+
+
 def token_pieces(ids: list[int], length: int = 1024) -> list[tuple[int, int, int]]:
     """op10: (start, length, crc32) of the pieces of one document's ids, end token included."""
     first = len(ids) if len(ids) <= length else len(ids) % length or length

@@ -158,14 +158,58 @@ def test_fingerprints(docs):
     got = {r.doc_id: r for r in winnowing.report(winnowing.fingerprints(docs)).collect()}
     assert {i: r.edited_sha256 for i, r in got.items()} == {i: brute.sha(t) for i, t in edited.items()}
     assert got[6].fingerprint == got[7].fingerprint and got[6].near_next == 1.0 and got[16].near_edited > 0.2
-    # Rightmost minimum of each window, recomputed from the hashes of all grams.
-    made = {r.doc_id: r.prints for r in winnowing.fingerprints(docs).collect()}
     tokens = re.findall(r"\S{1,16}", BASE)
+    made = {r.doc_id: r.prints for r in winnowing.fingerprints(docs).collect()}
     assert max(p.pos for p in made[6]) <= len(tokens) - winnowing.K
     places = [p.pos for p in made[6]]
     assert all(b - a <= winnowing.WINDOW for a, b in zip(places, places[1:])) and places == sorted(set(places))
 
 
+def test_fingerprints_and_likenesses_equal_a_plain_version(spark):
+    """Tokens, rightmost minima and likenesses of awkward texts, ids that repeat and are null among them."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(12)
+    same = "go go go go go go go go go go go go go go stop"
+    texts = [
+        *TEXTS, same, "字漢ไทย mixed かな words", "a" * 17 + " " + "b" * 16, "x\u00a0y z\u0085w", "’quoted’ text “of” five words €5",
+        *(" ".join(rng.choice(["a", "bb", "ccc", "漢", "ü" * 20], n)) for n in (4, 5, 9, 10, 11, 300)),
+    ]
+    rows = list(enumerate(texts)) + [(3, "one two"), (3, "one two"), (None, "no id at all here"), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ordered = sorted(((-(2**63) if i is None else i), t or "") for i, t in rows)
+    edited = [
+        t[: len(t) - len(t) // 2] + ordered[(k + 1) % len(ordered)][1][: len(t) // 2] for k, (_, t) in enumerate(ordered)
+    ]
+    words = sorted({w for t in [*(t for _, t in ordered), *edited] for w in brute.winnow_tokens(t)})
+    hashed = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+    hashes = {r.w: r.h for r in hashed}
+    made = winnowing.fingerprints(table).collect()
+    assert len(made) == len(rows)
+
+    def grams(text, places):
+        tokens = brute.winnow_tokens(text)
+        return {tuple(tokens[p : p + winnowing.K]) for p in places}
+
+    prints = [brute.winnowed(t, hashes) for _, t in ordered]
+    for k, (key, text) in enumerate(ordered):
+        after = (k + 1) % len(ordered)
+        mine = [r for r in made if (r.doc_id is None, r.doc_id or 0) == (key < 0, 0 if key < 0 else key) and r.edited == edited[k]]
+        assert mine and all([p.pos for p in r.prints] == prints[k] for r in mine)
+        assert all([p.pos for p in r.edited_prints] == brute.winnowed(edited[k], hashes) for r in mine)
+    got = sorted((r.near_edited, r.near_next) for r in winnowing.report(winnowing.fingerprints(table)).collect())
+
+    def like(a, b):
+        return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+    sets = [grams(t, p) for (_, t), p in zip(ordered, prints)]
+    want = sorted(
+        (like(sets[k], grams(edited[k], brute.winnowed(edited[k], hashes))), like(sets[k], sets[(k + 1) % len(sets)]))
+        for k in range(len(sets))
+    )
+    assert np.allclose(got, want)
+
+
 def test_passages_without_spaces_are_found_at_any_offset(spark):
     rng = np.random.default_rng(6)
     code = "".join(rng.choice(list("abcdefgh0123456789+/"), 400))
