@@ -196,9 +196,10 @@ def flows_in_sessions(
     first, last, sources = sessions.agg(
         F.min("start_time"), F.max("end_time"), F.approx_count_distinct("src_ip")
     ).first()
-    rows = f.where(all_of(in_range(START, first, last), in_range(END, first, last)))
+    latest = None if last is None else (last // width + 1) * width - 1  # the end of the last bucket
+    rows = f.where(all_of(in_range(START, first, latest), in_range(END, high=last)))
     if first is not None and DATE in f.columns:
-        rows = rows.where(date_bounds(DATE, first, last))
+        rows = rows.where(date_bounds(DATE, first, latest))
     if sources <= BROADCAST_SESSIONS:  # a sketch: off by a few per cent
         rows = rows.join(F.broadcast(sessions.select(F.col("src_ip").alias(SRC)).distinct()), SRC, "left_semi")
     listed = sessions.select(
