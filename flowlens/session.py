@@ -95,19 +95,20 @@ def clear_scratch(spark: SparkSession) -> int:
     """
     gone = 0
     while _scratch:
-        place, files = _located(spark, _scratch.pop())
+        place, files = located(spark, _scratch.pop())
         gone += bool(files.exists(place) and files.delete(place, True))
     return gone
 
 
-def _located(spark: SparkSession, path: str):
+def located(spark: SparkSession, path: str):
+    """A path and its file system, as Hadoop objects."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in whatever store it names."""
-    place, files = _located(spark, path)
+    place, files = located(spark, path)
     return bool(files.exists(place))
 
 

@@ -17,7 +17,7 @@ from flowlens.functions.columns import start_time, total_bytes
 from flowlens.operators.sessions import MINUTE_MS, gap_sessions
 from flowlens.operators.summaries import timeline
 from flowlens.schema import END, FLOW_ID, SRC, START, conform
-from flowlens.session import path_exists
+from flowlens.session import located, path_exists
 from flowlens.sources.readers import NO_TEXT, map_columns, with_flow_id
 from flowlens.sources.writers import BATCH, LOADED, write_flows
 
@@ -154,39 +154,84 @@ def sessions_part(gap: int = 30) -> Callable[[DataFrame], DataFrame]:
     return lambda batch: gap_sessions(batch, gap).drop("session_no")
 
 
-def timeline_view(spark: SparkSession, path: str, minutes: int = 60, until: int | None = None) -> DataFrame:
-    """time, attack, count of all flows seen so far; ``until`` (ms) leaves out windows that end later."""
-    parts = spark.read.parquet(path)
-    if until is not None:
-        parts = parts.where(F.col("time") + F.lit(minutes * MINUTE_MS) <= until)
+def _merged_upto(spark: SparkSession, path: str) -> int | None:
+    """The last batch that whole merged parts cover."""
+    place, files = located(spark, f"{path}/merged/*/_SUCCESS")
+    found = files.globStatus(place) or []
+    return max((int(f.getPath().getParent().getName().split("=")[1]) for f in found), default=None)
+
+
+def _parts(spark: SparkSession, path: str) -> DataFrame:
+    """The parts of a view: merged ones, and those of later batches."""
+    upto = _merged_upto(spark, path)
+    place, files = located(spark, f"{path}/batch=*")
+    later = [
+        f.getPath() for f in files.globStatus(place) or []
+        if upto is None or int(f.getPath().getName().split("=")[1]) > upto
+    ]
+    paths = [p.toString() for p in later] + ([] if upto is None else [f"{path}/merged/upto={upto}"])
+    if not paths:
+        raise FileNotFoundError(f"no parts of a view in {path}")
+    return spark.read.parquet(*paths)
+
+
+def merge_parts(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame]) -> int:
+    """Merge all parts that a view has into one, as batches add up; returns the last batch covered.
+
+    Readers take the merged parts once they are whole and pass over the batches in them, so a merge that fails
+    half-way changes nothing.  Run it between batches; what it replaced can be deleted later.
+    """
+    place, files = located(spark, f"{path}/batch=*")
+    last = max(int(f.getPath().getName().split("=")[1]) for f in files.globStatus(place))
+    if last != _merged_upto(spark, path):
+        merge(_parts(spark, path)).write.mode("overwrite").parquet(f"{path}/merged/upto={last}")
+    return last
+
+
+def merged_timeline(parts: DataFrame) -> DataFrame:
     return parts.groupBy("time", "attack").agg(F.sum("count").alias("count"))
 
 
-def sessions_view(spark: SparkSession, path: str, gap: int = 30, until: int | None = None) -> DataFrame:
-    """Idle-gap sessions of all flows seen so far; ``until`` (ms) leaves out those that could still go on then.
+def merged_sessions(gap: int = 30) -> Callable[[DataFrame], DataFrame]:
+    """Parts of a source are merged where the next begins at most the gap after the latest start before it.
 
-    The parts of a source are merged where the next begins at most the gap after the latest start before it; that is
-    where the flows of both would be one session.
+    That is where the flows of both would be one session.
     """
-    parts = spark.read.parquet(path).drop("batch")
     gap_ms = gap * MINUTE_MS
-    order = Window.partitionBy("src_ip").orderBy("session_start", "last_start")
-    before = F.max("last_start").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.col("session_start") - before <= gap_ms, 0).otherwise(1)
-    merged = (
-        parts.withColumn("_new", new)
-        .withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("src_ip", "_run")
-        .agg(
-            F.min("session_start").alias("session_start"),
-            F.max("last_start").alias("last_start"),
-            F.max("session_end").alias("session_end"),
-            F.sum("flow_count").alias("flow_count"),
-            F.sum("total_bytes").alias("total_bytes"),
+
+    def merge(parts: DataFrame) -> DataFrame:
+        order = Window.partitionBy("src_ip").orderBy("session_start", "last_start")
+        before = F.max("last_start").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        new = F.when(F.col("session_start") - before <= gap_ms, 0).otherwise(1)
+        return (
+            parts.withColumn("_new", new)
+            .withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy("src_ip", "_run")
+            .agg(
+                F.min("session_start").alias("session_start"),
+                F.max("last_start").alias("last_start"),
+                F.max("session_end").alias("session_end"),
+                F.sum("flow_count").alias("flow_count"),
+                F.sum("total_bytes").alias("total_bytes"),
+            )
+            .drop("_run")
         )
-        .drop("_run")
-    )
-    return merged if until is None else merged.where(F.col("last_start") + F.lit(gap_ms) < until)
+
+    return merge
+
+
+def timeline_view(spark: SparkSession, path: str, minutes: int = 60, until: int | None = None) -> DataFrame:
+    """time, attack, count of all flows seen so far; ``until`` (ms) leaves out windows that end later."""
+    parts = _parts(spark, path)
+    if until is not None:
+        parts = parts.where(F.col("time") + F.lit(minutes * MINUTE_MS) <= until)
+    return merged_timeline(parts)
+
+
+def sessions_view(spark: SparkSession, path: str, gap: int = 30, until: int | None = None) -> DataFrame:
+    """Idle-gap sessions of all flows seen so far; ``until`` (ms) leaves out those that could still go on then."""
+    merged = merged_sessions(gap)(_parts(spark, path))
+    return merged if until is None else merged.where(F.col("last_start") + F.lit(gap * MINUTE_MS) < until)
 
 
 # ---------------------------------------------------- append-only streams

@@ -186,6 +186,29 @@ def test_views_equal_batch_results_with_late_files(spark, landed):
     assert rows(jobs.sessions_view(spark, sessions()), SESSION) == rows(gap_sessions(f), SESSION)
 
 
+def test_merged_parts_stand_for_their_batches(spark, landed):
+    """Merging between deliveries changes no result; a merge that is not whole is passed over."""
+    f, (first, second, _) = landed
+    folder = scratch_path(spark, "t-merge-in")
+    timelines = keep(spark, folder, f.schema, jobs.timeline_part(), "t-tl-merge")
+    sessions = keep(spark, folder, f.schema, jobs.sessions_part(), "t-gs-merge")
+    for part in (second, first):
+        deliver(folder, part)
+        hours, runs = timelines(), sessions()
+        assert jobs.merge_parts(spark, hours, jobs.merged_timeline) == jobs.merge_parts(spark, hours, jobs.merged_timeline)
+        last = jobs.merge_parts(spark, runs, jobs.merged_sessions())
+        assert jobs._merged_upto(spark, runs) == last and len(jobs._parts(spark, runs).inputFiles()) >= 1
+        assert not any("batch=" in name for name in jobs._parts(spark, runs).inputFiles())
+    spark.range(1).write.parquet(f"{hours}/merged/upto=99")
+    place, files = jobs.located(spark, f"{hours}/merged/upto=99/_SUCCESS")
+    files.delete(place, False)
+    got = jobs.timeline_view(spark, hours)
+    assert rows(got, ["time", "attack", "count"]) == rows(timeline(f), ["time", "attack", "count"])
+    assert rows(jobs.sessions_view(spark, runs), SESSION) == rows(gap_sessions(f), SESSION)
+    with pytest.raises(FileNotFoundError):
+        jobs.timeline_view(spark, scratch_path(spark, "t-no-view"))
+
+
 def test_sessions_of_a_hot_source_merge_across_batches(spark, make_flows):
     """A third of all flows of one source, dealt over batches so that parts interleave and enclose one another."""
     minute = 60_000
