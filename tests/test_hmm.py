@@ -301,3 +301,36 @@ def test_discovery_needs_data(fixture_flows):
 
     with pytest.raises(ValueError, match="insufficient"):
         discover_states(fixture_flows.limit(5))
+
+
+def test_rounds_read_packed_blocks(spark, both):
+    """Training on packed blocks gives the sums of the rows, and leaves nothing cached behind."""
+    start = {k: hmm.init_model(both[0], k) for k in (2, 4)}
+    for seqs in both:
+        packed = seqs.packed()
+        assert seqs.blocks is None and set(packed.blocks.columns) == {"lengths", "x"}
+        for k, sums in hmm.expectation(packed, start).items():
+            assert np.allclose(sums, hmm.expectation(seqs, start)[k], rtol=1e-9)
+        for k, model in hmm._start_models(packed, {k: hmm._centers(both[0], k, 42) for k in start}).items():
+            assert np.allclose(model.means, start[k].means) and np.allclose(model.variances, start[k].variances)
+        blocks = packed.blocks
+        packed.unpack()
+        assert packed.blocks is None and not blocks.storageLevel.useMemory
+
+
+def test_start_values_are_those_of_the_clusters(spark):
+    rows = [(i, "a", i, float(v), 1000.0 + v) for i, v in enumerate([0, 1, 2, 50, 51, 55])]
+    df = spark.createDataFrame(rows, f"{FLOW_ID} long, dst_ip string, FLOW_START_MILLISECONDS long, x double, y double")
+    model = hmm.init_model(hmm.sequences(df, NAMES), 2).relabelled()
+    assert np.allclose(model.means, [[1, 1001], [52, 1052]])
+    assert np.allclose(model.variances, [[2 / 3] * 2, [14 / 3] * 2])
+
+
+def test_layout_bounds_what_a_task_reads(spark, data):
+    assert hmm._partitions(data[0].rows, 36_000_000) >= 72
+
+
+def test_no_python_pass_over_the_layout_where_no_sequence_is_short(spark):
+    df = synthetic(spark, n_seq=2, length=40)[0]
+    plan_of = lambda n: hmm.sequences(df, NAMES, min_rows=n, persist=False).rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan_of(40) and "MapInPandas" in plan_of(41)
