@@ -236,3 +236,23 @@ def test_csv_stream(spark, make_flows):
     f.write.option("header", True).csv(folder)
     jobs.ingest_new_files(spark, folder, table, state, f.schema, "csv").awaitTermination()
     assert jobs.ingested(spark, table).count() == 5
+
+
+def test_quarters_are_written_by_all_tasks(spark, make_flows, tmp_path):
+    """A table read by several tasks is delivered by as many, and two quarters stay one batch."""
+    from catalog import behaviour
+
+    f = make_flows([{"IN_BYTES": i} for i in range(200)]).repartition(4).localCheckpoint()
+    folder = str(tmp_path / "in")
+    files = behaviour._land(f, folder, 0, 3)
+    assert files == 12 and behaviour._half(files, 3) == 8
+    assert behaviour._land(f, folder, 3, 4) == 16
+    assert rows(spark.read.parquet(folder), ["IN_BYTES"]) == [(i,) for i in range(200)]
+    assert (behaviour._half(3, 3), behaviour._half(4, 4)) == (2, 2)
+
+
+def test_views_hold_only_the_columns_they_need(spark, make_flows):
+    for part in (jobs.timeline_part(), jobs.sessions_part()):
+        f = make_flows([{"FLOW_START_MILLISECONDS": i * DAY // 4} for i in range(8)])
+        assert set(part.columns) < set(f.columns)
+        assert part(f.select(*part.columns)).exceptAll(part(f)).count() == 0
