@@ -148,3 +148,16 @@ def test_model_rounds_do_not_shuffle_flows(spark, table):
     above_cache = text[: text.index("InMemoryRelation")] if "InMemoryRelation" in text else text
     assert "InMemoryTableScan" in text and "Exchange" not in above_cache
     seqs.unpersist()
+
+
+def test_dedup_with_large_tuples_gives_the_same(spark, make_flows, monkeypatch):
+    """Tuples with a large share of the rows are merged apart from the others; a page moves only tuples and times."""
+    rows = [dict(IPV4_SRC_ADDR="10.0.0.9", Label="Attack", Attack="Discovery") for _ in range(30)]
+    rows += [dict(L4_SRC_PORT=i % 20, SERVICE=None) for i in range(40)]
+    f = make_flows(rows)
+    whole = lambda df: sorted(map(str, df.collect()))
+    flows, page = whole(summaries.dedup_flows(f)), whole(summaries.dedup_page(f, limit=5, offset=3))
+    monkeypatch.setattr(summaries, "PARTITION_ROWS", 10)
+    monkeypatch.setattr(summaries, "LARGE_SHARE", 0.2)
+    assert len(summaries._apart(f)) == 2 and len(flows) == 21 and len(page) == 5
+    assert whole(summaries.dedup_flows(f)) == flows and whole(summaries.dedup_page(f, limit=5, offset=3)) == page
