@@ -150,3 +150,13 @@ def test_assignments_keep_the_rest(spark, make_flows):
     out = writers.assign_tactics(out, {7: "Impact"})
     assert [r.MITRE_TACTIC for r in out.orderBy(FLOW_ID).collect()] == [None, "Impact", "old"]
     assert out.columns == f.columns or set(out.columns) == set(f.columns)
+
+
+def test_weeks_are_written_in_one_pass(spark):
+    import catalog
+    import catalog.basics  # noqa: F401
+    from flowlens import session
+
+    before = len(session._scratch)
+    catalog.QUERIES["S10_concat_weeks"](spark, "/root/testdata/sf0.001")
+    assert len(session._scratch) == before + 1
