@@ -334,3 +334,21 @@ def test_no_python_pass_over_the_layout_where_no_sequence_is_short(spark):
     df = synthetic(spark, n_seq=2, length=40)[0]
     plan_of = lambda n: hmm.sequences(df, NAMES, min_rows=n, persist=False).rows._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" not in plan_of(40) and "MapInPandas" in plan_of(41)
+
+
+def test_clusterings_share_passes_and_are_those_of_spark(spark, both):
+    """All searches take their rounds together, and end where k-means of Spark ends."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    seqs = both[0]
+    vectors = seqs.rows.select(array_to_vector(F.array(*seqs.features)).alias("vector"))
+    found = hmm._moved_centers(seqs, hmm._first_centers(seqs, [2, 4], 42))
+    for k, centers in found.items():
+        fitted = KMeans(k=k, maxIter=hmm.KMEANS_ROUNDS, seed=42, featuresCol="vector").fit(vectors)
+        assert np.allclose(centers, fitted.clusterCenters())
+
+
+def test_partitions_stay_small(data):
+    assert hmm._partitions(data[0].rows, 36_000_000) >= 144
