@@ -72,6 +72,14 @@ def test_ordered_features_shuffle_flows_once(table):
     assert not any("L4_SRC_PORT" in cols for cols in scanned(text))
 
 
+def test_profiles_order_only_what_gaps_need(table):
+    """Bytes, packets and flags are summed up where they are read."""
+    text = plan(states.traffic_profiles(table, by="SERVICE", slices=time_slices(table, 1000)))
+    assert text.count("hashpartitioning(_slice") == 1
+    read = [cols for cols in scanned(text) if "FLOW_ID" in cols]
+    assert len(read) == 1 and not any("BYTES" in c or "PROTOCOL" in c for c in read)
+
+
 def test_targets_are_cut_before_the_shuffle(table):
     assert "WindowGroupLimit" not in plan(sessions.attack_sessions(table))  # all targets are asked for
     text = plan(sessions.attack_sessions(table, max_targets=10, max_ports=20))

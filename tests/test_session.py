@@ -21,6 +21,15 @@ def test_scratch_is_cleared(spark):
         session._scratch[:] = kept
 
 
+def test_methods_the_jvm_leaves_uncompiled_are_not_run(spark):
+    """A filter on a long CASE makes a method beyond the JVM's 8000 bytes; tuned sessions do without it."""
+    cases = " ".join(f"WHEN (id * {i} + id % 7) % {i} = 1 THEN id % {i}" for i in range(3, 50))
+    long = spark.range(10).where(f"CASE {cases} ELSE 0 END = 1")
+    stages = long._jdf.queryExecution().debug().codegenToSeq()
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert max(sizes) > 8000 >= int(spark.conf.get("spark.sql.codegen.hugeMethodLimit"))
+
+
 def test_workers_find_the_package(tmp_path):
     """A script elsewhere that extends its own path only."""
     script = tmp_path / "elsewhere.py"

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from flowlens.functions.slices import SLICE, time_slices, with_previous_start
+from flowlens.functions.slices import SLICE, TimeSlices, time_slices, with_previous_start
 from flowlens.operators import sessions, states
 
 MIN = 60_000
@@ -52,6 +52,52 @@ def test_previous_start_equals_lag(make_flows, crowd):
     assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
 
 
+@pytest.mark.parametrize("by", ["HMM_STATE", "IPV4_SRC_ADDR"])
+@pytest.mark.parametrize("crowd", [False, True])
+def test_profile_gaps_equal_brute_force(make_flows, by, crowd):
+    f = skewed(make_flows, crowd=crowd)
+    rows = [r for r in f.collect() if r[by] is not None]
+    last, sums, counts = {}, {}, {}
+    for r in sorted(rows, key=lambda r: (r.FLOW_START_MILLISECONDS, r.FLOW_ID)):
+        gap = r.FLOW_START_MILLISECONDS - last.get(r.IPV4_DST_ADDR, r.FLOW_START_MILLISECONDS)
+        last[r.IPV4_DST_ADDR] = r.FLOW_START_MILLISECONDS
+        sums[r[by]] = sums.get(r[by], 0) + gap
+        counts[r[by]] = counts.get(r[by], 0) + 1
+    labelled = f.where(F.col(by).isNotNull())
+    for slices in (None, TimeSlices(), time_slices(labelled, 50)):
+        got = states.traffic_profiles(f, by=by, slices=slices).collect()
+        assert {r[0]: r.flow_count for r in got} == counts
+        assert {r[0]: r.avg_inter_flow_gap_ms for r in got} == pytest.approx({k: sums[k] / counts[k] for k in sums})
+
+
+def test_profile_gaps_of_missing_starts_are_zero(make_flows):
+    starts = [None, 5, None, 9, None, 30]
+    f = make_flows([{"FLOW_ID": i, "HMM_STATE": i % 2} for i in range(6)]).drop("FLOW_START_MILLISECONDS")
+    start = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("FLOW_ID").cast("int") + 1)
+    f = f.withColumn("FLOW_START_MILLISECONDS", start)
+    for slices in (TimeSlices(), TimeSlices([9.0, 20.0]), TimeSlices([5.0, 9.0, 30.0])):
+        got = {r.state_id: r.avg_inter_flow_gap_ms for r in states.traffic_profiles(f, slices=slices).collect()}
+        assert got == {0: 0.0, 1: pytest.approx((4 + 21) / 3)}
+
+
+def test_profiles_of_no_flows(make_flows):
+    assert states.traffic_profiles(skewed(make_flows, n=20).where("FLOW_ID < 0")).count() == 0
+
+
+def test_slices_are_chosen_in_one_pass(spark, make_flows):
+    """A table that needs no finer sketch is read once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    f = skewed(make_flows, crowd=False).select("FLOW_ID", "FLOW_START_MILLISECONDS")
+    assert len(time_slices(f.mapInArrow(read, f.schema)).bounds) >= 3
+    assert seen.value == 1500
+
+
 @pytest.mark.parametrize("scope", ["global", "host"])
 def test_transitions_equal_brute_force(make_flows, scope):
     f = skewed(make_flows)
