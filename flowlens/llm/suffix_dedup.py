@@ -9,6 +9,8 @@ Equal windows have equal leading grams and splitters cut between grams, so none
 Chunks of documents are compared inside the map task first (by 64-bit hash, then byte by byte), so a passage in a
 third of all documents reaches its bucket as one window for each chunk; what is left of the commonest leading grams
 (windows over the edge of such a passage, each different) is dealt out window by window instead of by gram.
+A leading gram is known by a second hash: the smallest hashes lie close together, fragments have to be even.  Windows
+are sorted some ``AT_ONCE`` at a time, equal ones together; each other window of a bucket takes three bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.llm import fragments as fr
-from flowlens.llm.common import mix, partitions, prepare, runs, text_bytes, text_of
+from flowlens.llm.common import mix, partitions, prepare, release_memory, runs, text_bytes, text_of
 from flowlens.session import materialize
 
 LENGTH, GRAM = 100, 30
@@ -33,8 +35,13 @@ _GRAMS = LENGTH - GRAM + 1
 PIECE = 1 << 24
 #: Text that a map task compares at once, in bytes.
 CHUNK_TEXT = 8 << 20
-#: Leading grams with more than one HOT-th of all suffixes are dealt out by window: there are fewer than HOT.
+#: Suffixes to a bucket, about.
+SUFFIXES_OF_BUCKET = 100_000
+#: Leading grams with more than one HOT-th of all suffixes, or more than a bucket is meant for, are dealt out by window:
+#: there are fewer than HOT, or than buckets.
 HOT = 1000
+#: Windows that are sorted at once.
+AT_ONCE = 1 << 19
 _BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _POWER = np.cumprod(np.concatenate([[np.uint64(1)], np.full(_BLOCK + LENGTH, np.uint64(_BASE))]))
@@ -50,7 +57,7 @@ def _prefix(raw: np.ndarray) -> np.ndarray:
 
 
 def leaders(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one leading gram: the gram's hash, the first window, the number of windows."""
+    """Runs of windows with one leading gram: the gram's second hash, the first window, the number of windows."""
     tokens, first, count = [], [], []
     for a in range(0, max(0, len(raw) - LENGTH + 1), _BLOCK):
         part = raw[a : a + _BLOCK + LENGTH - 1]
@@ -66,7 +73,7 @@ def leaders(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         lead = np.minimum(behind[: n - _GRAMS + 1], ahead[_GRAMS - 1 : n])
         start, many = runs(lead)
-        tokens.append(gram[(lead[start] & _PLACE).astype(np.int64)])
+        tokens.append(mix(gram[(lead[start] & _PLACE).astype(np.int64)] + np.uint64(_BASE)))
         first.append(start + a)
         count.append(many)
     if not tokens:
@@ -86,16 +93,33 @@ def window_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def shares(n: int, keys):
+    """The numbers below ``n`` in shares of about ``AT_ONCE``, ascending; those of one key are in one share.
+
+    ``keys(a, b)`` gives the keys from a to b, spread over 64 bits.
+    """
+    several = -(-n // AT_ONCE)
+    if several < 2:
+        yield np.arange(n)
+        return
+    share = np.empty(n, np.uint16)
+    for a in range(0, n, AT_ONCE):
+        share[a : a + AT_ONCE] = keys(a, min(n, a + AT_ONCE)) % np.uint64(several)
+    for k in range(several):
+        yield np.flatnonzero(share == k)
+
+
 def later_copies(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which windows equal an earlier one (in the order given), and the hashes; ``starts`` ascend."""
     hashes = window_hashes(raw, starts)
-    order = np.argsort(hashes, kind="stable")
-    begin, count = runs(hashes[order])
-    head = np.repeat(order[begin], count)
     later = np.zeros(len(starts), bool)
-    several = np.repeat(count > 1, count)
-    mine, first = order[several], head[several]
-    if len(mine):
+    for own in shares(len(starts), lambda a, b: hashes[a:b]):
+        order = own[np.argsort(hashes[own], kind="stable")]
+        begin, count = runs(hashes[order])
+        several = count > 1
+        mine, first = order[np.repeat(several, count)], np.repeat(order[begin[several]], count[several])
+        if not len(mine):
+            continue
         views = sliding_window_view(raw, LENGTH)
         same = np.empty(len(mine), bool)
         for a in range(0, len(mine), 1 << 15):
@@ -115,6 +139,19 @@ def later_copies(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 _CHARACTERS = (*range(0, LENGTH - 8, 8), LENGTH - 8)
 
 
+def _characters(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place."""
+    return np.ndarray(max(0, len(raw) - 7), "<u8", np.ascontiguousarray(raw), strides=(1,))
+
+
+def _window_keys(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Numbers that equal windows have in common, from characters at both ends and in the middle."""
+    characters, keys = _characters(raw), np.zeros(len(starts), np.uint64)
+    for depth in (0, LENGTH // 2, LENGTH - 8):
+        keys = mix(keys + np.uint64(_BASE) ^ characters[starts + depth])
+    return keys
+
+
 def multikey_copies(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Which windows equal one listed before them.
 
@@ -125,7 +162,7 @@ def multikey_copies(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     later = np.zeros(len(starts), bool)
     order = np.arange(len(starts))
     head = np.zeros(len(starts), np.int64)  # for each window still tied, where its range begins in ``order``
-    characters = np.ndarray(max(0, len(raw) - 7), "<u8", np.ascontiguousarray(raw), strides=(1,))
+    characters = _characters(raw)
     for depth in _CHARACTERS:
         if not len(order):
             break
@@ -193,6 +230,8 @@ def _scan(bits: int):
                         seen = set()
         if meta:
             yield flush()
+        held, meta, seen = [], [], set()
+        release_memory()
 
     return run
 
@@ -237,10 +276,11 @@ _NO_ID = -(2**63)
 
 
 def _expand(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of the entries: its entry, and its place from the entry's first window."""
-    count = entries["count"].astype(np.int64)
-    owner = np.repeat(np.arange(len(entries)), count)
-    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    """For each window of the entries of a chunk: its entry, and its place from the entry's first window."""
+    count = entries["count"]
+    owner = np.repeat(np.arange(len(entries), dtype=np.int32), count)
+    before = np.repeat(np.cumsum(count, dtype=np.int32) - count, count)
+    return owner, (np.arange(len(owner), dtype=np.int32) - before).astype(np.uint8)
 
 
 def _spans(keys: np.ndarray, starts: np.ndarray) -> list[tuple[int, list[int], list[int]]]:
@@ -277,22 +317,24 @@ def _compare(splitters: np.ndarray, hot: np.ndarray):
         entries = np.zeros(len(places), _ENTRY)
         entries["start"], entries["count"] = places >> 7, places & 127
         owner, step = _expand(entries)
-        local = entries["start"][owner] + step
-        at = local + shift[which[owner]]
+        at = (entries["start"] + shift[which])[owner] + step
         later, hashes = later_copies(raw, at)
         doc = np.array([c[0] for c in chunk], np.int64)
         uid = np.array([c[1] for c in chunk], np.int64)
         origin = np.array([c[2] for c in chunk], np.int64)
-        who = which[owner]
-        if later.any():
-            yield REMOVED, 0, _removed_rows(uid[who[later]], (local + origin[who])[later])
+        begins = entries["start"] + origin[which]
+        removed = np.flatnonzero(later)
+        for a in range(0, len(removed), AT_ONCE):
+            pick = removed[a : a + AT_ONCE]
+            yield REMOVED, 0, _removed_rows(uid[which[owner[pick]]], begins[owner[pick]] + step[pick])
         left = ~later
         is_hot = np.isin(tokens, hot)
         single = left & is_hot[owner]
         if single.any():
             rows = np.zeros(int(single.sum()), _ROW)
-            w = who[single]
-            rows["doc"], rows["uid"], rows["start"] = doc[w], uid[w], local[single] + origin[w]
+            o = owner[single]
+            w = which[o]
+            rows["doc"], rows["uid"], rows["start"] = doc[w], uid[w], begins[o] + step[single]
             rows["a"] = hashes[single]
             views = sliding_window_view(raw, LENGTH)
             rows["b"] = [
@@ -307,7 +349,7 @@ def _compare(splitters: np.ndarray, hot: np.ndarray):
             # Of each suffix the span from its first to its last open window.
             o, s = owner[keep], step[keep]
             begin, many = runs(o)
-            low, high = s[begin], s[begin + many - 1]
+            low, high = s[begin].astype(np.int64), s[begin + many - 1].astype(np.int64)
             e = entries[o[begin]].copy()
             w = which[o[begin]]
             e["doc"], e["uid"] = doc[w], uid[w]
@@ -335,11 +377,13 @@ def _compare(splitters: np.ndarray, hot: np.ndarray):
                     tokens = np.array(p["tokens"], np.int64).view(np.uint64)
                     chunk.append((key, p["uid"], p["offset"], part, tokens, np.array(p["places"], np.int64)))
                     size += len(part)
-            if size >= CHUNK_TEXT:
-                yield _batch(resolve(chunk))
-                chunk, size = [], 0
+                    if size >= CHUNK_TEXT:
+                        yield _batch(resolve(chunk))
+                        chunk, size = [], 0
         if chunk:
             yield _batch(resolve(chunk))
+        chunk = []
+        release_memory()
 
     return run
 
@@ -366,18 +410,30 @@ def _bucket(key, group: pd.DataFrame) -> pd.DataFrame:
         entries.append(np.frombuffer(plain[: n * _ENTRY.itemsize], _ENTRY))
         data.append(np.frombuffer(plain[n * _ENTRY.itemsize :], np.uint8))
     if entries:
-        e = np.concatenate(entries)
-        raw = np.concatenate(data)
+        e, raw = np.concatenate(entries), np.concatenate(data)
+        del entries, data
         at = np.cumsum(e["size"].astype(np.int64)) - e["size"]
+        # The suffixes in the order of documents, so that order among equal windows is that of positions.
         order = np.lexsort((e["start"], e["uid"], e["doc"]))
-        # The bytes in the order of documents, so that order among equal windows is that of positions.
-        size = e["size"][order].astype(np.int64)
-        new = np.cumsum(size) - size
-        raw = raw[np.repeat(at[order] - new, size) + np.arange(len(raw))]
-        e = e[order]
-        owner, step = _expand(e)
-        later = multikey_copies(raw, new[owner] + step)
-        out += _spans(e["uid"][owner[later]], (e["start"][owner] + step)[later])
+        e, at = e[order], at[order]
+        ends = np.cumsum(e["count"].astype(np.int64))
+        begins = ends - e["count"]
+        later = np.zeros(int(ends[-1]), bool)
+
+        def windows(numbers):
+            owner = np.searchsorted(ends, numbers, side="right")
+            return owner, numbers - begins[owner]
+
+        def starts(numbers):
+            owner, step = windows(numbers)
+            return at[owner] + step
+
+        for own in shares(len(later), lambda a, b: _window_keys(raw, starts(np.arange(a, b)))):
+            later[own] = multikey_copies(raw, starts(own))
+        for a in range(0, len(later), AT_ONCE):
+            owner, step = windows(a + np.flatnonzero(later[a : a + AT_ONCE]))
+            out += _spans(e["uid"][owner], e["start"][owner] + step)
+        del raw, later
     windows = [np.frombuffer(p, _ROW) for p in group[group.kind == WINDOWS].payload]
     if windows:
         w = np.concatenate(windows)
@@ -391,6 +447,7 @@ def _bucket(key, group: pd.DataFrame) -> pd.DataFrame:
         for a, n in zip(begin.tolist(), count.tolist()):
             part = rows[a : a + n]
             out.append((int(part["uid"][0]), part["start"].tolist(), part["b"].astype(np.int64).tolist()))
+    release_memory()
     return pd.DataFrame(out, columns=["uid", "starts", "ends"])
 
 
@@ -460,9 +517,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     tokens = lead.select(F.explode("piece.tokens").alias("token"))
     counts = tokens.groupBy("token").count()
     total = counts.agg(F.sum("count")).first()[0] or 0
-    hot = [r[0] for r in counts.where(F.col("count") * HOT > total).where("count > 100").select("token").collect()]
+    many = max(100, min(total // HOT, SUFFIXES_OF_BUCKET))
+    hot = [r[0] for r in counts.where(F.col("count") > many).select("token").collect()]
     hot = np.array(sorted(hot), np.int64).view(np.uint64)
-    n_buckets = max(64, 2 * partitions(spark), total // 100_000)
+    n_buckets = max(64, 2 * partitions(spark), total // SUFFIXES_OF_BUCKET)
     at = [k / n_buckets for k in range(1, n_buckets)]
     found = tokens.agg(F.percentile_approx("token", F.lit(at), F.lit(20 * n_buckets)).alias("q")).first()["q"] or []
     splitters = np.array(sorted(set(found)), np.int64).view(np.uint64)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
+import zstandard
 
 from flowlens.llm import (
     byte_bpe, exact_dedup, ngram_join, packing, page_diff, quality, secrets, suffix_dedup, warc, winnowing,
@@ -539,3 +542,55 @@ def test_multikey_sort_finds_every_later_window():
             seen.add(window)
         assert suffix_dedup.multikey_copies(raw, starts).tolist() == want
     assert not len(suffix_dedup.multikey_copies(np.empty(0, np.uint8), np.empty(0, np.int64)))
+
+
+def test_leading_grams_fill_fragments_evenly():
+    raw = np.random.default_rng(3).integers(97, 123, 200_000).astype(np.uint8)
+    tokens, _, _ = suffix_dedup.leaders(raw)
+    filled = np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=64)
+    assert filled.max() < 2 * filled.mean()
+
+
+def suffix_bucket(texts, count):
+    """Rows of a bucket: each text a document with one suffix of ``count`` windows, in blocks of 97, last ones first."""
+    rows = []
+    for a in range(0, len(texts), 97):
+        own = texts[a : a + 97]
+        entries = np.array([(a + k, 7 * (a + k), 5, count, len(t)) for k, t in enumerate(own)], suffix_dedup._ENTRY)
+        packed = zstandard.ZstdCompressor(level=1).compress(entries.tobytes() + b"".join(own))
+        rows.append((suffix_dedup.SUFFIXES, 0, len(own).to_bytes(4, "little") + packed))
+    return pd.DataFrame(rows[::-1], columns=["kind", "bucket", "payload"])
+
+
+def test_windows_compared_in_shares_are_all_found(monkeypatch):
+    rng = np.random.default_rng(5)
+    passages = [bytes(rng.integers(97, 99, 170).astype(np.uint8)) for _ in range(12)]
+    texts = [b"".join(passages[k][a : a + 85] for k, a in zip(rng.integers(0, 12, 2), (0, 85))) for _ in range(300)]
+    seen, want = set(), set()
+    for k, text in enumerate(texts):
+        for p in range(71):
+            if text[p : p + 100] in seen:
+                want.update((7 * k, 5 + b) for b in range(p, p + 100))
+            seen.add(text[p : p + 100])
+    for at_once in (1 << 19, 1000, 37):
+        monkeypatch.setattr(suffix_dedup, "AT_ONCE", at_once)
+        got = set()
+        for r in suffix_dedup._bucket(None, suffix_bucket(texts, 71)).itertuples():
+            got.update((r.uid, b) for s, e in zip(r.starts, r.ends) for b in range(s, e))
+        assert got == want
+        raw, starts = np.frombuffer(b"".join(texts), np.uint8), np.arange(len(texts) * 170 - 99)
+        later, _ = suffix_dedup.later_copies(raw, starts)
+        windows = [raw[i : i + 100].tobytes() for i in starts]
+        first = {}
+        assert later.tolist() == [first.setdefault(w, i) != i for i, w in enumerate(windows)]
+
+
+def test_memory_of_a_bucket_does_not_follow_its_windows():
+    raw = np.random.default_rng(6).integers(97, 123, 20_000 * 170).astype(np.uint8).tobytes()
+    group = suffix_bucket([raw[a : a + 170] for a in range(0, len(raw), 170)], 71)
+    tracemalloc.start()
+    try:
+        assert not len(suffix_dedup._bucket(None, group))
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
