@@ -50,3 +50,14 @@ print("rows", spark.range(5).mapInPandas(run, "id long").count())
     clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=120)
     assert "rows 5" in out.stdout, out.stderr[-2000:]
+
+
+def test_writes_into_few_folders_do_not_sort(spark, tmp_path):
+    spark.sql(f"CREATE TABLE t_weeks (id BIGINT, week INT) USING parquet PARTITIONED BY (week) LOCATION '{tmp_path}/t'")
+    try:
+        plan = spark.sql("EXPLAIN INSERT INTO t_weeks SELECT id, CAST(id % 2 AS INT) FROM range(9)").first()[0]
+        assert "Sort" not in plan
+        spark.range(40).selectExpr("id", "CAST(id % 9 AS INT) AS week").write.insertInto("t_weeks")  # more than are held open
+        assert sorted(r.id for r in spark.table("t_weeks").where("week = id % 9").collect()) == list(range(40))
+    finally:
+        spark.sql("DROP TABLE t_weeks")
