@@ -352,3 +352,35 @@ def test_clusterings_share_passes_and_are_those_of_spark(spark, both):
 
 def test_partitions_stay_small(data):
     assert hmm._partitions(data[0].rows, 36_000_000) >= 144
+
+
+def test_packed_blocks_travel_in_small_rows():
+    """A block is cut into rows of bounded size and put together again, wherever batches end."""
+    import pandas as pd
+
+    x = np.random.default_rng(2).normal(size=(50_000, 2))
+    frame = pd.DataFrame({"dst_ip": ["a"] * 30_000 + ["b"] * 20_000, "run": 0, "chunk": 0, "x": x[:, 0], "y": x[:, 1]})
+    out = list(hmm._pack_task(NAMES, ["dst_ip", "run"])(iter([frame, frame.iloc[:7].assign(dst_ip="c")])))
+    assert max(len(part) for f in out for part in f["x"]) <= 1 << 17
+    rows = pd.concat(out, ignore_index=True)
+    for size in (1, 3, len(rows)):
+        back = list(hmm._unpacked((rows.iloc[i : i + size] for i in range(0, len(rows), size)), 2))
+        assert np.array_equal(np.concatenate([b for b, _ in back]), np.concatenate([x, x[:7]]))
+        assert [n for _, lengths in back for n in lengths] == [30_000, 20_000, 7]
+
+
+def test_layouts_beyond_memory_stay_on_disk(spark, data, monkeypatch):
+    """What is cached of a layout that would crowd the memory out is on disk; the model is the same."""
+    df, _ = synthetic(spark)
+    want = hmm.fit_hmm(data[0], 2, max_iter=3)
+    assert data[0].rows.storageLevel.useMemory
+    monkeypatch.setattr(hmm, "storage_memory", lambda _: 1)
+    seqs = hmm.sequences(df, NAMES)
+    packed = seqs.packed()
+    for cached in (seqs.rows, packed.blocks):
+        assert cached.storageLevel.useDisk and not cached.storageLevel.useMemory
+    packed.unpack()
+    got = hmm.fit_hmm(seqs, 2, max_iter=3)
+    assert np.allclose(got.history, want.history) and np.allclose(got.model.means, want.model.means)
+    assert hmm._first_centers(seqs, [2, 3], 1)[3].tolist() == hmm._first_centers(data[0], [2, 3], 1)[3].tolist()
+    seqs.unpersist()

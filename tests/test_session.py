@@ -61,3 +61,9 @@ def test_writes_into_few_folders_do_not_sort(spark, tmp_path):
         assert sorted(r.id for r in spark.table("t_weeks").where("week = id % 9").collect()) == list(range(40))
     finally:
         spark.sql("DROP TABLE t_weeks")
+
+
+def test_memory_for_cached_tables_is_known(spark):
+    from flowlens import session
+
+    assert session.storage_memory(spark) > 1 << 20
