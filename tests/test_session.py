@@ -63,6 +63,19 @@ def test_writes_into_few_folders_do_not_sort(spark, tmp_path):
         spark.sql("DROP TABLE t_weeks")
 
 
+def test_shuffles_of_written_tables_are_dropped(spark, monkeypatch):
+    """Only while the table is written, and the table is whole."""
+    from flowlens import session
+
+    seen = []
+    with session.shuffles_dropped(spark):
+        seen.append(spark.conf.get(session.DROP_SHUFFLES))
+    seen.append(spark.conf.get(session.DROP_SHUFFLES))
+    assert seen == ["true", "false"]
+    table = session.materialize(spark.range(100).repartition(3), "t", drop_shuffles=True)
+    assert table.count() == 100 and spark.conf.get(session.DROP_SHUFFLES) == "false"
+
+
 def test_memory_for_cached_tables_is_known(spark):
     from flowlens import session
 
