@@ -369,18 +369,19 @@ def test_packed_blocks_travel_in_small_rows():
         assert [n for _, lengths in back for n in lengths] == [30_000, 20_000, 7]
 
 
-def test_layouts_beyond_memory_stay_on_disk(spark, data, monkeypatch):
+def test_layouts_beyond_memory_stay_on_disk(spark, monkeypatch):
     """What is cached of a layout that would crowd the memory out is on disk; the model is the same."""
-    df, _ = synthetic(spark)
-    want = hmm.fit_hmm(data[0], 2, max_iter=3)
-    assert data[0].rows.storageLevel.useMemory
+    plain = hmm.sequences(synthetic(spark)[0], NAMES)
+    want, centers = hmm.fit_hmm(plain, 2, max_iter=3), hmm._first_centers(plain, [2, 3], 1)
+    assert plain.rows.storageLevel.useMemory
     monkeypatch.setattr(hmm, "storage_memory", lambda _: 1)
-    seqs = hmm.sequences(df, NAMES)
+    seqs = hmm.sequences(synthetic(spark)[0], NAMES)
     packed = seqs.packed()
     for cached in (seqs.rows, packed.blocks):
         assert cached.storageLevel.useDisk and not cached.storageLevel.useMemory
     packed.unpack()
     got = hmm.fit_hmm(seqs, 2, max_iter=3)
     assert np.allclose(got.history, want.history) and np.allclose(got.model.means, want.model.means)
-    assert hmm._first_centers(seqs, [2, 3], 1)[3].tolist() == hmm._first_centers(data[0], [2, 3], 1)[3].tolist()
+    assert all(np.allclose(c, centers[k]) for k, c in hmm._first_centers(seqs, [2, 3], 1).items())
+    plain.unpersist()
     seqs.unpersist()
